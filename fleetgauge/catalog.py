@@ -12,6 +12,7 @@ from fleetgauge.functions import expressions as X
 from fleetgauge.plans import drift, features, kpis, models, scoring, stats
 from fleetgauge.schemas import SCHEMAS, required_nulls
 from fleetgauge.sources import fixtures as V
+from fleetgauge.sources.files import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,24 +41,25 @@ def _events_releases(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, d: run(V.device_events(spark, d), V.firmware_releases(spark, d))
 
 
-def _base(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: run(V.patch_base(spark, d))
+def _over(view: Callable) -> Callable:
+    """Queries over one patch view; ``store`` names the columns that several passes read."""
 
+    def make(run: Callable[[DataFrame], DataFrame], store: list[str] | None = None) -> Query:
+        def query(spark: SparkSession, d: str) -> DataFrame:
+            df = view(spark, d)
+            return run(stored(df.select(store)) if store else df)
 
-def _patches(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: run(V.patch_features(spark, d))
+        return query
 
+    return make
 
-def _scored(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: run(V.scored_patches(spark, d))
 
+def _qa_view(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.qa_priority(V.scored_patches(spark, d))
 
-def _qa(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: run(scoring.qa_priority(V.scored_patches(spark, d)))
 
-
-def _predictions(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: run(V.predictions(spark, d))
+_base, _patches, _scored = _over(V.patch_base), _over(V.patch_features), _over(V.scored_patches)
+_qa, _predictions = _over(_qa_view), _over(V.predictions)
 
 
 def _monitoring(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +68,9 @@ def _monitoring(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_monitored = _over(_monitoring)
+
+
 def _sides(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return V.history(patches), V.new_patches(patches)
 
@@ -188,8 +193,17 @@ def _buckets() -> list[str]:
 # Models: rows only, as trees and hash splits have no SQL form.
 
 
+MODEL_COLUMNS = ["firmware_version", "release_date", "error_rate_per_10k", *S.RISK_FEATURES]
+
+
+def _labelled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows for training: read again by every pass of a learner, so stored."""
+    rows = stored(V.patch_features(spark, d).select(MODEL_COLUMNS))
+    return stored(models.add_label(rows))
+
+
 def _train_test(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return models.split(models.add_label(V.patch_features(spark, d)), "firmware_version")
+    return models.split(_labelled_rows(spark, d), "firmware_version")
 
 
 def _regression(train: Callable, **options) -> Query:
@@ -234,15 +248,15 @@ def scored_by_model(spark: SparkSession, d: str) -> DataFrame:
 
 def retrained(spark: SparkSession, d: str) -> DataFrame:
     """Held-out AUC after refitting on history and new rows, with few rounds."""
-    patches = models.add_label(V.patch_features(spark, d))
-    old, new = _sides(patches)
+    old, new = _sides(_labelled_rows(spark, d))
     _, auc = models.retrain(drift.append_new(old, drift.mark_new(new)), rounds=20, step=0.1)
     return auc
 
 
 def split_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Rows and positives on both sides of the plain and the stratified split."""
-    rows = models.add_label(V.patch_base(spark, d))
+    rows = stored(V.patch_base(spark, d).select("firmware_version", "error_rate_per_10k"))
+    rows = models.add_label(rows)
     parts = []
     for kind, sides in (
         ("plain", models.split(rows, "firmware_version")),
@@ -262,6 +276,8 @@ def history_sample(spark: SparkSession, d: str) -> DataFrame:
     return drift.mark_new(drift.sample_n(V.history(V.patch_base(spark, d)), "firmware_version"))
 
 
+AUDITED = [*S.PRE_DEPLOYMENT_FEATURES, "error_rate_per_10k"]
+
 QUERIES: dict[str, Query] = {
     "required_nulls": _events(
         lambda e: required_nulls(e.withColumn("region", F.lit("")), "device_events").drop("region")
@@ -315,28 +331,38 @@ QUERIES: dict[str, Query] = {
     "merge_features": merge_features,
     "training_table": training_table,
     "error_rate_quantile": _base(
-        lambda p: rounded(stats.quantile(p, "error_rate_per_10k", 0.75), "value")
+        lambda p: rounded(stats.quantile(p, "error_rate_per_10k", 0.75), "value"),
+        store=["error_rate_per_10k"],
+    ),
+    "churn_bounds": _base(
+        lambda p: rounded(stats.churn_bounds(p), "churn_min", "churn_max"),
+        store=["code_churn_score"],
     ),
-    "churn_bounds": _base(lambda p: rounded(stats.churn_bounds(p), "churn_min", "churn_max")),
-    "describe_risk": _scored(lambda p: _summary(p, "risk_score")),
-    "describe_qa": _qa(lambda p: _summary(p, "QA_priority_score")),
+    "describe_risk": _scored(lambda p: _summary(p, "risk_score"), store=["risk_score"]),
+    "describe_qa": _qa(lambda p: _summary(p, "QA_priority_score"), store=["QA_priority_score"]),
     "risk_counts": _scored(lambda p: stats.value_counts(p, "high_risk_flag")),
     "bucket_shares": _qa(lambda p: rounded(stats.value_counts(p, "QA_bucket", True), "share")),
     "bucket_by_hotfix": _qa(lambda p: stats.crosstab(p, "is_hotfix", "QA_bucket", _buckets())),
-    "tier_by_age": lambda spark, d: stats.crosstab(
-        _monitoring(spark, d), "older_device_flag", "monitoring_tier", _tiers()
+    "tier_by_age": _monitored(
+        lambda m: stats.crosstab(m, "older_device_flag", "monitoring_tier", _tiers())
     ),
     "risk_histogram": _scored(lambda p: _bins(p, "risk_score", 20)),
-    "qa_histogram": _qa(lambda p: _bins(p, "QA_priority_score", 30)),
-    "error_rate_histogram": _base(lambda p: _bins(p, "error_rate_per_10k", 20)),
+    "qa_histogram": _qa(
+        lambda p: _bins(p, "QA_priority_score", 30), store=["QA_priority_score"]
+    ),
+    "error_rate_histogram": _base(
+        lambda p: _bins(p, "error_rate_per_10k", 20), store=["error_rate_per_10k"]
+    ),
     "hotfix_mean": _base(
         lambda p: rounded(stats.group_mean(p, "is_hotfix", "error_rate_per_10k"), "mean")
     ),
-    "tier_risk_quantiles": lambda spark, d: _five(
-        stats.group_quantiles(_monitoring(spark, d), "monitoring_tier", "risk_score")
+    "tier_risk_quantiles": _monitored(
+        lambda m: _five(stats.group_quantiles(m, "monitoring_tier", "risk_score")),
+        store=["monitoring_tier", "risk_score"],
     ),
-    "tier_priority_quantiles": lambda spark, d: _five(
-        stats.group_quantiles(_monitoring(spark, d), "monitoring_tier", "monitoring_priority")
+    "tier_priority_quantiles": _monitored(
+        lambda m: _five(stats.group_quantiles(m, "monitoring_tier", "monitoring_priority")),
+        store=["monitoring_tier", "monitoring_priority"],
     ),
     "churn_correlation": _base(
         lambda p: rounded(stats.pearson(p, "code_churn_score", "error_rate_per_10k"), "r")
@@ -347,13 +373,19 @@ QUERIES: dict[str, Query] = {
             "r",
         )
     ),
-    "signal_audit": _patches(lambda p: rounded(stats.signal_audit(p), "spearman")),
+    "signal_audit": _patches(
+        lambda p: rounded(stats.signal_audit(p, complete=True), "spearman"), store=AUDITED
+    ),
+    "signal_audit_pairwise": _patches(
+        lambda p: rounded(stats.signal_audit(p), "spearman"), store=AUDITED
+    ),
     "feature_summary": _patches(lambda p: rounded(stats.feature_summary(p), "mean_error_rate")),
     "quality_report": quality_report,
     "cumulative_share": _qa(
         lambda p: rounded(
             stats.cumulative_share(p, "QA_priority_score"), "QA_priority_score", "cumulative_pct"
-        )
+        ),
+        store=["QA_priority_score"],
     ),
     "gate": _scored(lambda p: rounded(scoring.gate(p), "avg_risk_score")),
     "qa_sheet": _scored(
@@ -365,39 +397,49 @@ QUERIES: dict[str, Query] = {
             "QA_priority_score",
         )
     ),
-    "monitoring_sheet": lambda spark, d: rounded(_monitoring(spark, d), "monitoring_priority"),
-    "monitoring_top": lambda spark, d: rounded(
-        scoring.top_by(
-            _monitoring(spark, d).select("firmware_version", "monitoring_priority", "monitoring_tier"),
+    "monitoring_sheet": _monitored(lambda m: rounded(m, "monitoring_priority")),
+    "monitoring_top": _monitored(
+        lambda m: rounded(
+            scoring.top_by(
+                m.select("firmware_version", "monitoring_priority", "monitoring_tier"),
+                "monitoring_priority",
+                3,
+            ),
             "monitoring_priority",
-            3,
-        ),
-        "monitoring_priority",
+        )
     ),
     "qa_hours": _scored(lambda p: rounded(scoring.qa_hours(p), "pct_saved")),
     "drift_report": _patches(
-        lambda p: rounded(drift.drift_report(*_sides(p)), "history_mean", "new_mean", "drift_pct")
+        lambda p: rounded(drift.drift_report(*_sides(p)), "history_mean", "new_mean", "drift_pct"),
+        store=["release_date", *S.DRIFT_FEATURES],
+    ),
+    "should_retrain": _patches(
+        lambda p: drift.should_retrain(drift.drift_report(*_sides(p))),
+        store=["release_date", *S.DRIFT_FEATURES],
+    ),
+    "class_balance": _base(
+        lambda p: rounded(drift.class_balance(*_sides(_labelled(p))), "share"),
+        store=["release_date", "error_rate_per_10k"],
     ),
-    "should_retrain": _patches(lambda p: drift.should_retrain(drift.drift_report(*_sides(p)))),
-    "class_balance": _base(lambda p: rounded(drift.class_balance(*_sides(_labelled(p))), "share")),
     "append_new": append_new,
     "risk_labels": _base(
-        lambda p: rounded(
-            models.add_label(p).select("firmware_version", "error_rate_per_10k", "label"),
-            "error_rate_per_10k",
-        )
+        lambda p: rounded(models.add_label(p), "error_rate_per_10k"),
+        store=["firmware_version", "error_rate_per_10k"],
     ),
     "regression_metrics": _predictions(
         lambda p: rounded(models.regression_metrics(p, "error_rate_per_10k", "estimate"), "rmse", "r2")
     ),
     "classification_metrics": _predictions(
-        lambda p: rounded(models.classification_metrics(p), "accuracy", "roc_auc")
+        lambda p: rounded(models.classification_metrics(p), "accuracy", "roc_auc"),
+        store=["label", "predicted", "risk_score"],
     ),
     "classification_report": _predictions(
         lambda p: rounded(models.classification_report(p), "precision", "recall", "f1")
     ),
     "confusion_matrix": _predictions(models.confusion_matrix),
-    "roc_curve": _predictions(lambda p: rounded(models.roc_curve(p), "fpr", "tpr")),
+    "roc_curve": _predictions(
+        lambda p: rounded(models.roc_curve(p), "fpr", "tpr"), store=["label", "risk_score"]
+    ),
     "prediction_band": _predictions(
         lambda p: rounded(models.prediction_band(p, "error_rate_per_10k", "estimate"), "band")
     ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
+def present(*columns: str) -> Column:
+    """All of the columns are non-null."""
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
 def round_to(col: Column, digits: int) -> Column:
     """Decimal half-up rounding of a double."""
     return F.round(col.cast("double"), digits)

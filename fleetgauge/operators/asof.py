@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.expressions import present
+
 
 def minute_cell(ts: Column) -> Column:
     """Minutes since 1970 of a wall-clock time, without any time zone."""
@@ -33,21 +35,25 @@ def asof_join(
     inside (key, minute), and the newest row of each minute is carried forward
     over a second window that sees one row per key and minute. Times have
     microseconds, so a minute holds at most 60 million of them.
+
+    The null filters keep the branches alike, so that they share their shuffles.
     """
     on = list(on)
     cell = [*on, "_minute"]
     newest = F.max(F.struct(right_time, tie, *values))
     points = (
-        right.where(F.col(right_time).isNotNull())
+        right.where(present(*on, right_time))
         .groupBy(*on, F.col(right_time).alias("_t"))
         .agg(newest.alias("_match"))
         .withColumn("_minute", minute_cell(F.col("_t")))
+        .where(present("_minute"))
     )
     probes = (
         left.select(*on, F.col(left_time).alias("_t"))
-        .where(F.col("_t").isNotNull())
+        .where(present(*on, "_t"))
         .distinct()
         .withColumn("_minute", minute_cell(F.col("_t")))
+        .where(present("_minute"))
     )
 
     shown = [*cell, "_t", "_match", "_probe"]

@@ -5,10 +5,11 @@ a date is first cut into ordered cells; a window runs inside each cell, a small
 summary per cell carries the state across, and the two are joined. The result
 is the same as that of the plain window.
 
-For doubles a cell is the binary exponent plus the leading 26 bits of the
-significand. Two doubles of one cell differ in their last 26 bits only, and an
-exponent has at most 2**26 cells, so no window partition over distinct values
-passes 2**26 rows, however the values are spread.
+The cell of a double is its value as a float: casting keeps the order, merges at
+most 2**29 neighbouring doubles and leaves at most 2**23 floats to a binary
+exponent. Windows run over the distinct doubles of a cell, the cells of an
+exponent and the exponents, so their size is bounded however many rows there
+are and however the values are spread.
 """
 
 from __future__ import annotations
@@ -19,23 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SIGNIFICAND_BITS = 26
+from fleetgauge.functions.expressions import present
+
 SEQ_BLOCK = 1 << 20
 _CELL = ["_band", "_cell"]
 
 
-def value_cell(value: Column) -> tuple[Column, Column]:
-    """Band and cell of a finite double; their order is the order of the values."""
-    exponent = F.floor(F.log2(F.abs(value)))
-    band = F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * (exponent + 2000))
-    scaled = value / F.pow(F.lit(2.0), exponent.cast("double")) * float(1 << SIGNIFICAND_BITS)
-    cell = F.when(value == 0, F.lit(0)).otherwise(F.floor(scaled))
-    return band.cast("int"), cell.cast("bigint")
+def cell_of(value: Column) -> Column:
+    """Ordered cell of a double; null for NaN."""
+    return F.nanvl(value, F.lit(None).cast("double")).cast("float")
 
 
-def _with_cells(df: DataFrame, value: str) -> DataFrame:
-    band, cell = value_cell(F.col(value).cast("double"))
-    return df.withColumn("_band", band).withColumn("_cell", cell)
+def band_of(cell: Column) -> Column:
+    """Signed binary exponent of a cell, in the order of the cells."""
+    exponent = F.floor(F.log2(F.abs(cell))) + 2000
+    return F.when(cell == 0, F.lit(0.0)).otherwise(F.signum(cell) * exponent)
 
 
 def _sums_before(df, group, order, sums, descending):
@@ -61,7 +60,9 @@ def running_totals(
     collapsed; count or sum them first.
     """
     by = list(by)
-    rows = _with_cells(values, value)
+    cell = cell_of(F.col(value).cast("double"))
+    rows = values.withColumn("_cell", cell).withColumn("_band", band_of(F.col("_cell")))
+    rows = rows.where(present(*by, *_CELL))
     cells = rows.groupBy(*by, *_CELL).agg(*[F.sum(s).alias(s) for s in sums])
     bands = cells.groupBy(*by, "_band").agg(*[F.sum(s).alias(s) for s in sums])
     bands = _sums_before(bands, by, "_band", sums, descending).select(
@@ -101,10 +102,10 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str]
     """
     by = list(by)
     number = F.col(value).cast("double")
-    rows = _with_cells(
-        df.where(number.isNotNull() & ~F.isnan(number)).select(*by, number.alias("_v")), "_v"
-    )
-    hist = rows.groupBy(*by, *_CELL).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(*by, number.alias("_v"), cell_of(number).alias("_cell"))
+    rows = rows.where(present(*by, "_cell"))
+    hist = rows.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    hist = hist.withColumn("_band", band_of(F.col("_cell"))).where(present("_band"))
     bands = hist.groupBy(*by, "_band").agg(F.sum("_n").alias("_n"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     bands = _sums_before(bands, by, "_band", ["_n"], False).select(
@@ -126,17 +127,17 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str]
         _sums_before(hist, [*by, "_band"], "_cell", ["_n"], False)
         .join(bands, [*by, "_band"])
         .where(F.size(hit(start)) > 0)
-        .select(*by, *_CELL, start.alias("_start"), "_total")
+        .select(*by, "_cell", start.alias("_start"), "_total")
     )
     if not by:
         # At most two cells per quantile, whatever the size of the data.
         chosen = F.broadcast(chosen)
     picked = (
-        rows.join(chosen, [*by, *_CELL])
-        .groupBy(*by, *_CELL, "_start", "_total", "_v")
+        rows.join(chosen, [*by, "_cell"])
+        .groupBy(*by, "_cell", "_start", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    picked = _sums_before(picked, [*by, *_CELL], "_v", ["_n"], False)
+    picked = _sums_before(picked, [*by, "_cell"], "_v", ["_n"], False)
     picked = picked.select(
         *by, "_total", "_v", F.explode(hit(F.col("_start") + F.col("_n_before"))).alias("_rank")
     )
@@ -164,10 +165,11 @@ def previous_row(
     Order within ``line`` is (``date``, ``seq``), ``seq`` being a unique integer.
     Cells are (line, date, block of seq), so one holds at most ``block`` rows;
     the last row of a cell is carried to the next cell of that date, the last
-    row of a date to the next date.
+    row of a date to the next date. Rows without line, date or ``seq`` are dropped.
     """
     payload = F.struct(*columns)
     rows = df.withColumn("_block", F.floor(F.col(seq) / F.lit(block)))
+    rows = rows.where(present(line, date, "_block"))
     cells = rows.groupBy(line, date, "_block").agg(F.max_by(payload, F.col(seq)).alias("_last"))
     dates = cells.groupBy(line, date).agg(F.max_by("_last", "_block").alias("_last"))
     dates = dates.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.expressions import present
+
 
 def pair_support(df: DataFrame, holder: str, item: str, minimum: int) -> DataFrame:
     """Item pairs and the number of holders that have both, from ``minimum`` up.
@@ -14,7 +16,7 @@ def pair_support(df: DataFrame, holder: str, item: str, minimum: int) -> DataFra
     An item with fewer than ``minimum`` holders cannot be in a result pair and
     leaves before the sets are built.
     """
-    held = df.select(holder, item).where(F.col(holder).isNotNull() & F.col(item).isNotNull()).distinct()
+    held = df.select(holder, item).where(present(holder, item)).distinct()
     frequent = (
         held.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum)
     )

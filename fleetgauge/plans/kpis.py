@@ -118,8 +118,9 @@ def rma_rate_joined(events: DataFrame, tickets: DataFrame, minimum: int = S.MIN_
     ids repeated over several keys need their versions made distinct.
     """
     key = ["device_id", "error_code"]
-    cells = _event_cells(events)
-    homes = tickets.select("ticket_id", *key).where("ticket_id is not null").distinct()
+    cells = _event_cells(events.where(X.present(*key)))
+    tickets = tickets.where(X.present(*key))
+    homes = tickets.select("ticket_id", *key).where(X.present("ticket_id")).distinct()
     per_id = homes.groupBy("ticket_id").agg(X.rows().alias("_homes"), F.min(F.struct(*key)).alias("_home"))
     single = per_id.where("_homes = 1").groupBy("_home").agg(X.rows().alias("_ids")).select("_home.*", "_ids")
     repeated = homes.join(per_id.where("_homes > 1").select("ticket_id"), "ticket_id", "left_semi")

@@ -107,48 +107,58 @@ def signal_audit(
     features: Sequence[str] = tuple(S.PRE_DEPLOYMENT_FEATURES),
     target: str = "error_rate_per_10k",
     drop_booleans: bool = False,
+    complete: bool = False,
 ) -> DataFrame:
     """Spearman correlation of each feature with the target, strongest first.
 
     Booleans enter as 0 and 1 unless dropped. Rows lacking either value are left
-    out feature by feature. The correlation is that of average ranks, centred
-    before they are multiplied. Target ranks are looked up and summed per
-    distinct feature value before the feature ranks join, so a feature of few
-    values makes no big key.
+    out feature by feature, so the target is ranked once per feature; with
+    ``complete`` rows lacking any value are left out and it is ranked once.
+
+    The correlation is that of average ranks. Target ranks are summed per
+    distinct feature value first, so feature ranks need no join with the rows.
     """
     kinds = dict(df.dtypes)
-    used = [
-        c for c in features if c in kinds and not (drop_booleans and kinds[c] == "boolean")
-    ]
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in used]
-    long = (
-        df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*entries)).alias("_e"))
-        .select("_e.feature", "_e.x", "y")
-        .where("x is not null and y is not null")
-    )
-    targets = average_ranks(long, "y", ["feature"])
-    totals = targets.groupBy("feature").agg(F.sum("n").alias("total"))
-    middle = (F.col("total") + 1) / 2
-    centred = F.col("avg_rank") - middle
-    spread_y = targets.join(totals, "feature").groupBy("feature", "total").agg(
-        F.sum(F.col("n") * centred * centred).alias("yy")
-    )
-    per_value = (
-        long.join(targets.select("feature", "y", F.col("avg_rank").alias("_ry")), ["feature", "y"])
-        .groupBy("feature", "x")
-        .agg(X.rows().alias("n"), F.sum("_ry").alias("_ry"))
-    )
-    ranked = running_totals(per_value, "x", ["n"], ["feature"])
-    rank_x = F.col("n_before") + (F.col("n") + 1) / 2 - middle
+    used = [c for c in features if c in kinds and not (drop_booleans and kinds[c] == "boolean")]
+    wide = df.select(
+        F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in used]
+    ).where("y is not null")
+
+    def long(rows: DataFrame, *kept: str) -> DataFrame:
+        entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in used]
+        return rows.select(*kept, F.explode(F.array(*entries)).alias("_e")).select(*kept, "_e.*")
+
+    rank2 = F.sum(F.col("n") * F.col("avg_rank") * F.col("avg_rank"))
+    if complete:
+        wide = wide.dropna()
+        targets = average_ranks(wide, "y")
+        ranked = wide.join(targets.select("y", F.col("avg_rank").alias("ry")), "y")
+        pairs = long(ranked, "ry")
+    else:
+        pairs = long(wide, "y").where("x is not null")
+        targets = average_ranks(pairs, "y", ["feature"])
+        pairs = pairs.join(
+            targets.select("feature", "y", F.col("avg_rank").alias("ry")), ["feature", "y"]
+        )
+    per_value = pairs.groupBy("feature", "x").agg(X.rows().alias("n"), F.sum("ry").alias("ry"))
+    rank_x = F.col("n_before") + (F.col("n") + 1) / 2
     sums = (
-        ranked.join(spread_y, "feature")
-        .groupBy("feature", "yy")
+        running_totals(per_value, "x", ["n"], ["feature"])
+        .groupBy("feature")
         .agg(
-            F.sum(rank_x * (F.col("_ry") - F.col("n") * middle)).alias("xy"),
+            F.sum("n").alias("total"),
+            F.sum(rank_x * F.col("ry")).alias("xy"),
             F.sum(F.col("n") * rank_x * rank_x).alias("xx"),
         )
     )
-    rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    if complete:
+        sums = sums.withColumn("yy", targets.agg(rank2).scalar())
+    else:
+        sums = sums.join(targets.groupBy("feature").agg(rank2.alias("yy")), "feature")
+    # The mean of average ranks is the middle rank.
+    shift = F.col("total") * F.pow((F.col("total") + 1) / 2, F.lit(2.0))
+    spread = F.sqrt((F.col("xx") - shift) * (F.col("yy") - shift))
+    rho = F.try_divide(F.col("xy") - shift, spread)
     return sums.select("feature", rho.alias("spearman")).orderBy(F.desc("spearman"), "feature")
 
 

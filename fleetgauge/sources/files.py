@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -104,6 +106,23 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder and read back.
+
+    For an input that is costly to derive and read in several passes: it is
+    derived once, each pass reads only its columns, and lost executors recover
+    from the files. The folder is the one the cluster names in
+    ``spark.checkpoint.dir``; without it a temporary one is used.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = posixpath.join(tempfile.gettempdir(), "fleetgauge")
+    path = posixpath.join(folder, f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Events partitioned by day, so that date ranges read their days only.
 

@@ -297,6 +297,15 @@ DRIFT = f"""
     AS drift_pct FROM ({DRIFT_ROWS})"""
 
 # Query name -> views it reads, SQL.
+SPEARMAN = _spearman(
+    [
+        "code_churn_score", "previous_version_error_rate", "avg_device_age_days", "is_hotfix",
+        "patch_security", "days_since_previous_release", "patch_size_mb", "files_changed",
+        "lines_changed", "pre_errors",
+    ],
+    "error_rate_per_10k",
+)
+
 SQL: dict[str, tuple[list[str], str]] = {
     "required_nulls": (
         ["ev"],
@@ -614,17 +623,8 @@ SQL: dict[str, tuple[list[str], str]] = {
         ["base"],
         f" SELECT {r('corr(CAST(CAST(is_hotfix AS INTEGER) AS DOUBLE), error_rate_per_10k)', 6)} AS r FROM base",
     ),
-    "signal_audit": (
-        ["patch"],
-        _spearman(
-            [
-                "code_churn_score", "previous_version_error_rate", "avg_device_age_days", "is_hotfix",
-                "patch_security", "days_since_previous_release", "patch_size_mb", "files_changed",
-                "lines_changed", "pre_errors",
-            ],
-            "error_rate_per_10k",
-        ),
-    ),
+    "signal_audit": (["patch"], SPEARMAN),
+    "signal_audit_pairwise": (["patch"], SPEARMAN),
     "feature_summary": (
         ["patch"],
         f"""
