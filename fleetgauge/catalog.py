@@ -38,7 +38,7 @@ def _events_tickets(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def _events_releases(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: run(V.device_events(spark, d), V.firmware_releases(spark, d))
+    return lambda spark, d: run(V.device_events(spark, d), V.release_dates(spark, d))
 
 
 def _over(view: Callable) -> Callable:
@@ -98,7 +98,7 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
     events, tickets = V.device_events(spark, d), V.support_tickets(spark, d)
     table = features.training_table(
         V.versioned_patches(spark, d),
-        features.pre_post_errors(V.firmware_releases(spark, d), events),
+        features.pre_post_errors(V.release_dates(spark, d), events),
         features.rma_by_firmware(tickets, events),
     )
     # As doubles: unmatched versions leave nulls in these counts.
@@ -116,9 +116,7 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pre_post(spark: SparkSession, d: str, **options) -> DataFrame:
-    return features.pre_post_errors(
-        V.firmware_releases(spark, d), V.device_events(spark, d), **options
-    )
+    return features.pre_post_errors(V.release_dates(spark, d), V.device_events(spark, d), **options)
 
 
 def top_regressions(spark: SparkSession, d: str) -> DataFrame:
@@ -290,7 +288,7 @@ QUERIES: dict[str, Query] = {
     "rma_rate_joined": _events_tickets(kpis.rma_rate_joined),
     "weekly_trend": _events(kpis.weekly_trend),
     "by_model": _events(kpis.by_model),
-    "by_region": lambda spark, d: kpis.by_region(V.device_events_with_region(spark, d)),
+    "by_region": lambda spark, d: kpis.by_region(V.regional_counts(spark, d), "n_events"),
     "error_cooccurrence": _events(kpis.error_cooccurrence),
     "version_regressions": _events(kpis.version_regressions),
     "version_regressions_consecutive": _events(
@@ -301,7 +299,7 @@ QUERIES: dict[str, Query] = {
     "table_counts": lambda spark, d: features.table_counts(
         {
             "device_events": V.device_events(spark, d),
-            "firmware_releases": V.firmware_releases(spark, d),
+            "firmware_releases": V.release_dates(spark, d),
             "support_tickets": V.support_tickets(spark, d),
         }
     ),

@@ -93,12 +93,20 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     )
 
 
-def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame,
+    value: str,
+    qs: Sequence[float],
+    by: Sequence[str] = (),
+    few_groups: bool = False,
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (``by``, ``q``).
 
     A count per cell finds the cells that hold the wanted ranks; only the rows
     of those cells are then ordered. Nothing but counts is shuffled in the first
-    pass, and in the second only values of the chosen cells.
+    pass, and in the second only values of the chosen cells. ``few_groups`` says
+    that the groups are few by their nature, such as tiers or classes; the
+    chosen cells, two per quantile and group, are then broadcast.
     """
     by = list(by)
     number = F.col(value).cast("double")
@@ -129,8 +137,7 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str]
         .where(F.size(hit(start)) > 0)
         .select(*by, "_cell", start.alias("_start"), "_total")
     )
-    if not by:
-        # At most two cells per quantile, whatever the size of the data.
+    if few_groups or not by:
         chosen = F.broadcast(chosen)
     picked = (
         rows.join(chosen, [*by, "_cell"])

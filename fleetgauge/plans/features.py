@@ -97,11 +97,23 @@ def meaningful_rma(rma: DataFrame, minimum: int = S.MIN_TICKETS) -> DataFrame:
 
 
 def top_rma(rma: DataFrame, k: int = 10, minimum: int = S.MIN_TICKETS) -> DataFrame:
-    """Top versions by RMA rate among those with enough tickets; by tickets if none has."""
-    some = rma.agg(F.coalesce(F.bool_or(F.col("tickets") >= minimum), F.lit(False))).scalar()
-    ranked = rma.withColumn("_some", some).where(~F.col("_some") | (F.col("tickets") >= minimum))
-    measure = F.when(F.col("_some"), F.col("rma_rate")).otherwise(F.col("tickets").cast("double"))
-    return ranked.orderBy(F.desc(measure), "firmware_version").limit(k).drop("_some")
+    """Top versions by RMA rate among those with enough tickets; by tickets if none has.
+
+    Versions with enough tickets sort first, so the ``k`` rows kept are enough
+    to tell whether there is any.
+    """
+    enough = F.col("tickets") >= minimum
+    best = (
+        rma.withColumn("_enough", enough)
+        .orderBy(
+            F.desc("_enough"),
+            F.desc(F.when(enough, F.col("rma_rate")).otherwise(F.col("tickets").cast("double"))),
+            "firmware_version",
+        )
+        .limit(k)
+    )
+    any_enough = F.max("_enough").over(W.partitionBy(F.lit(0)))
+    return best.withColumn("_any", any_enough).where("_enough or not _any").drop("_enough", "_any")
 
 
 def daily_errors(events: DataFrame) -> DataFrame:

@@ -166,13 +166,18 @@ def weekly_trend(events: DataFrame) -> DataFrame:
     )
 
 
-def by_dimension(events: DataFrame, dimension: str, distinct: str, name: str) -> DataFrame:
-    """Devices, errors and a distinct count for each value of a device dimension."""
+def by_dimension(
+    events: DataFrame, dimension: str, distinct: str, name: str, weight: str | None = None
+) -> DataFrame:
+    """Devices, errors and a distinct count for each value of a device dimension.
+
+    Rows may be counts of events already; ``weight`` then names the count.
+    """
     return (
         events.groupBy(dimension)
         .agg(
             F.count_distinct("device_id").alias("device_count"),
-            X.rows().alias("total_errors"),
+            (F.sum(weight) if weight else X.rows()).alias("total_errors"),
             F.count_distinct(distinct).alias(name),
         )
         .select(
@@ -188,12 +193,12 @@ def by_dimension(events: DataFrame, dimension: str, distinct: str, name: str) ->
     )
 
 
-def by_model(events: DataFrame) -> DataFrame:
-    return by_dimension(events, "model", "error_code", "unique_error_types")
+def by_model(events: DataFrame, weight: str | None = None) -> DataFrame:
+    return by_dimension(events, "model", "error_code", "unique_error_types", weight)
 
 
-def by_region(events: DataFrame) -> DataFrame:
-    return by_dimension(events, "region", "firmware_version", "firmware_versions")
+def by_region(events: DataFrame, weight: str | None = None) -> DataFrame:
+    return by_dimension(events, "region", "firmware_version", "firmware_versions", weight)
 
 
 def error_cooccurrence(events: DataFrame, minimum: int = S.MIN_DEVICES, k: int = 15) -> DataFrame:

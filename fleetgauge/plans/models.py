@@ -56,11 +56,12 @@ def split_stratified(
 ) -> tuple[DataFrame, DataFrame]:
     """As ``split``, with the same share of test rows in each label.
 
-    The border is the quantile of the hash within the label, one row per label.
+    The border is the quantile of the hash within the label: one row per class.
     """
     hashed = df.withColumn("_hash", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)))
-    borders = quantiles(hashed, "_hash", [test], by=[label]).select(label, "value")
-    placed = hashed.join(borders, label)
+    borders = quantiles(hashed, "_hash", [test], by=[label], few_groups=True)
+    borders = borders.select(label, "value")
+    placed = hashed.join(F.broadcast(borders), label)
     return tuple(
         placed.where(side).select(df.columns)
         for side in (F.col("_hash") >= F.col("value"), F.col("_hash") < F.col("value"))

@@ -89,9 +89,9 @@ def group_mean(df: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def group_quantiles(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Minimum, quartiles and maximum of each group."""
+    """Minimum, quartiles and maximum of each of a few groups, such as tiers."""
     names = {0.0: "min", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "max"}
-    long = quantiles(df, column, list(names), by=[group])
+    long = quantiles(df, column, list(names), by=[group], few_groups=True)
     wide = [
         F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in names.items()
     ]

@@ -68,27 +68,44 @@ def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def device_events_with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events with the sales region of the customer who owns the device."""
+def regional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per device and version with the sales region of the device's owner.
+
+    Counted before the owners join, so a busy device is a few rows by then.
+    """
     owners = (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("c_custkey").alias("user_id"), F.col("r_name").alias("region"))
     )
-    return device_events(spark, sf_dir).join(owners, "user_id")
+    counts = (
+        device_events(spark, sf_dir)
+        .groupBy("user_id", "device_id", "firmware_version")
+        .agg(X.rows().alias("n_events"))
+    )
+    return counts.join(owners, "user_id")
 
 
-def firmware_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One release per version seen, with the gap to the one before it in its line."""
-    seen = (
+def _seen_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("release_seq") * 3 / 10).cast("int"))
+    return (
         _versioned(table(spark, sf_dir, "events"))
         .select(F.col("k").cast("bigint").alias("release_seq"), "firmware_version")
         .distinct()
+        .withColumn("release_date", day)
     )
-    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("release_seq") * 3 / 10).cast("int"))
-    dated = seen.withColumn("product_line", F.floor(F.col("release_seq") / 10)).withColumn(
-        "release_date", day
+
+
+def release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions and their release dates, for queries that need no more."""
+    return _seen_releases(spark, sf_dir).select("firmware_version", "release_date")
+
+
+def firmware_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One release per version seen, with the gap to the one before it in its line."""
+    dated = _seen_releases(spark, sf_dir).withColumn(
+        "product_line", F.floor(F.col("release_seq") / 10)
     )
     gaps = release_gaps(dated).withColumn("error_rate_per_10k", F.lit(0.0))
     return add_previous_release(gaps).select(
@@ -128,7 +145,7 @@ def patch_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("release_seq"))
-        .agg(F.count(F.lit(1)).alias("_files"), F.sum("l_quantity").alias("_quantity"))
+        .agg(X.rows().alias("_files"), F.sum("l_quantity").alias("_quantity"))
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("release_seq"),
