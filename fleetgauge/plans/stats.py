@@ -41,7 +41,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFrame:
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(X.rows().alias("n"))
     if normalize:
-        total = df.agg(F.count(column)).scalar()
+        total = counts.agg(F.sum("n")).scalar()
         counts = counts.withColumn("share", X.ratio(F.col("n"), total))
     return counts.orderBy(F.desc("n"), column)
 

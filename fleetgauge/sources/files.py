@@ -112,11 +112,14 @@ def stored(df: DataFrame) -> DataFrame:
     For an input that is costly to derive and read in several passes: it is
     derived once, each pass reads only its columns, and lost executors recover
     from the files. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; without it a temporary one is used.
+    ``spark.checkpoint.dir``. Only a local session without it may use a
+    temporary folder.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = posixpath.join(tempfile.gettempdir(), "fleetgauge")
     path = posixpath.join(folder, f"stored-{uuid.uuid4().hex}")
     df.write.parquet(path)

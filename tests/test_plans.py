@@ -348,3 +348,39 @@ def test_settings_are_the_published_ones():
     ]
     assert all(isinstance(c, str) for c in S.RISK_FEATURES)
     assert S.RISK_THRESHOLD == 0.50 and 0 <= S.RISK_THRESHOLD <= 1
+
+
+def test_hot_key_forms_no_pairs(spark):
+    """60,000 events and 20,000 tickets of one device and code: over 10^9 pairs if joined."""
+    n, m = 60_000, 20_000
+    base = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+
+    def later(seconds):
+        return base + F.make_dt_interval(secs=seconds)
+
+    ids = F.col("id")
+    key = [F.lit("hot").alias("device_id"), F.lit("E").alias("error_code")]
+    ev = spark.range(n).select(
+        ids.alias("event_id"),
+        *key,
+        later(ids).alias("timestamp"),
+        F.concat(F.lit("1.0."), (ids % 3).cast("string")).alias("firmware_version"),
+    )
+    tk = spark.range(m).select(
+        ids.cast("string").alias("ticket_id"),
+        *key,
+        later(ids * 3 + 1).alias("created_at"),
+        F.lit(2).alias("tier"),
+        (ids % 2).cast("int").alias("rma_issued"),
+    )
+    assert [tuple(r) for r in features.rma_by_firmware(tk, ev).collect()] == [("1.0.1", m, m // 2, 0.5)]
+    joined = {r.firmware_version: (r.support_tickets, r.rma_count) for r in kpis.rma_rate_joined(ev, tk).collect()}
+    assert joined == {f"1.0.{i}": (m, n // 3 * (m // 2)) for i in range(3)}
+    health = {r.firmware_version: (r.error_rate, r.rma_rate) for r in kpis.release_health(ev, tk).collect()}
+    assert health == {f"1.0.{i}": (n / 3 * m, 0.5) for i in range(3)}
+
+
+def test_null_counts_and_shares(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), (None, 2)], "c string, n int")
+    assert tuple(stats.null_counts(df).first()) == (1, 1)
+    assert [(r.c, r.n, r.share) for r in stats.value_counts(df, "c", normalize=True).collect()] == [("a", 2, 1.0)]

@@ -40,6 +40,26 @@ def test_feature_tables_round_trip(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path), "error_rates").collect() == df.collect()
 
 
+def test_feature_folder_and_side_tables(spark, tmp_path):
+    for name in schemas.FEATURE_TABLES:
+        empty = spark.createDataFrame([], schemas.SCHEMAS[name])
+        files.write_table(empty, str(tmp_path / f"{name}.parquet"))
+    read = files.read_features(spark, str(tmp_path))
+    assert {n: df.count() for n, df in read.items()} == dict.fromkeys(schemas.FEATURE_TABLES, 0)
+    csv(tmp_path / "device_inventory.csv", "device_id,model,region,manufacture_date,hardware_revision,cpu_class\n"
+        "DEV_0001,M,APAC,2024-01-02,B,high\n")
+    assert str(files.read_device_inventory(spark, str(tmp_path)).first().manufacture_date) == "2024-01-02"
+    csv(tmp_path / "firmware_metadata.csv", "firmware_version,release_date,days_since_previous_release,is_hotfix\n"
+        "10.0.1,2024-01-30,,0\n")
+    row = files.read_firmware_metadata(spark, str(tmp_path)).first()
+    assert row.days_since_previous_release is None and row.is_hotfix == 0
+
+
+def test_defaults_fill_only_known_columns(spark):
+    df = spark.createDataFrame([(None, 1.0)], "a string, b double")
+    assert tuple(schemas.fill_defaults(df, {"a": "9.9.9", "c": 0}).first()) == ("9.9.9", 1.0)
+
+
 def test_scored_headers_are_trimmed(spark, tmp_path):
     path = csv(tmp_path / "s.csv", "firmware_version , risk_score,is_hotfix\nv1,0.5,True\n")
     row = files.read_scored(spark, path).first()
