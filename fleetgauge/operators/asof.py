@@ -29,57 +29,49 @@ def asof_join(
 ) -> DataFrame:
     """Left rows with ``right_time``, ``tie`` and ``values`` of their match.
 
-    Pairs are never formed. Both sides shrink to one row per key and time, so
-    a key with a great share of all rows, or a pile of copies of one row, costs
-    no more than its distinct times. These are cut into minutes: a window runs
-    inside (key, minute), and the newest row of each minute is carried forward
-    over a second window that sees one row per key and minute. Times have
-    microseconds, so a minute holds at most 60 million of them.
+    Pairs are never formed. Both sides shrink to one row per key and time (and
+    per set of values on the right), so a key with a great share of all rows, or
+    a pile of copies of one row, costs no more than its distinct times. These
+    are cut into minutes: a window runs inside (key, minute), and the newest row
+    of each minute is carried forward over a second window that sees one row per
+    key and minute. Times have microseconds, so a minute holds at most 60
+    million of them.
 
     The null filters keep the branches alike, so that they share their shuffles.
     """
     on = list(on)
     cell = [*on, "_minute"]
-    newest = F.max(F.struct(right_time, tie, *values))
+    match = F.struct(F.col("_t").alias(right_time), tie, *values)
     points = (
-        right.where(present(*on, right_time))
-        .groupBy(*on, F.col(right_time).alias("_t"))
-        .agg(newest.alias("_match"))
-        .withColumn("_minute", minute_cell(F.col("_t")))
-        .where(present("_minute"))
+        right.groupBy(*on, F.col(right_time).alias("_t"), *values)
+        .agg(F.max(tie).alias(tie))
+        .select(*on, "_t", F.col(tie).alias("_tie"), match.alias("_match"))
     )
-    probes = (
-        left.select(*on, F.col(left_time).alias("_t"))
-        .where(present(*on, "_t"))
-        .distinct()
+    probes = left.select(*on, F.col(left_time).alias("_t")).distinct()
+    timeline = (
+        points.withColumn("_probe", F.lit(False))
+        .unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
         .withColumn("_minute", minute_cell(F.col("_t")))
-        .where(present("_minute"))
+        .where(present(*cell, "_t"))
     )
 
-    shown = [*cell, "_t", "_match", "_probe"]
-    timeline = points.withColumn("_probe", F.lit(False)).select(shown).unionByName(
-        probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True
-    )
-    so_far = W.partitionBy(*cell).orderBy("_t", "_probe").rowsBetween(W.unboundedPreceding, 0)
-    within = (
-        timeline.withColumn("_within", F.last("_match", ignorenulls=True).over(so_far))
-        .where("_probe")
-        .select(*cell, "_t", "_within")
-    )
-
-    minutes = (
-        points.select(*cell, "_match")
-        .unionByName(probes.select(*cell), allowMissingColumns=True)
-        .groupBy(*cell)
-        .agg(F.max("_match").alias("_match"))
+    in_order = W.partitionBy(*cell).orderBy("_t", "_probe", "_tie")
+    so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
+    seen = timeline.select(
+        *cell,
+        "_t",
+        "_probe",
+        F.last("_match", ignorenulls=True).over(so_far).alias("_within"),
+        F.lead(F.lit(1)).over(in_order).isNull().alias("_ends"),
     )
     earlier = W.partitionBy(*on).orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
-    carried = minutes.select(
-        *cell, F.last("_match", ignorenulls=True).over(earlier).alias("_carried")
+    carried = seen.where("_ends").select(
+        *cell, F.last("_within", ignorenulls=True).over(earlier).alias("_carried")
     )
-
-    answers = within.join(carried, cell).select(
-        *on, F.col("_t").alias(left_time), F.coalesce("_within", "_carried").alias("_match")
+    answers = (
+        seen.where("_probe")
+        .join(carried, cell)
+        .select(*on, F.col("_t").alias(left_time), F.coalesce("_within", "_carried").alias("_match"))
     )
     if how == "inner":
         answers = answers.where(F.col("_match").isNotNull())

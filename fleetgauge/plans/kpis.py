@@ -113,37 +113,32 @@ def rma_rate_joined(events: DataFrame, tickets: DataFrame, minimum: int = S.MIN_
 
     Each event meets each ticket of its key, so RMAs are counted once per event
     while tickets are counted once: the rate may pass 100 %. The join is not
-    carried out; counts per key give the same sums. A ticket id that belongs to
-    one key is met by a version at most once, so such ids add up per key. Only
-    ids repeated over several keys need their versions made distinct.
+    carried out; counts per key give the same sums. Tickets of one row each add
+    up per key. Only ids of several rows are joined to the versions, to replace
+    their rows by distinct ids.
     """
     key = ["device_id", "error_code"]
     cells = _event_cells(events.where(X.present(*key)))
     tickets = tickets.where(X.present(*key))
-    homes = tickets.select("ticket_id", *key).where(X.present("ticket_id")).distinct()
-    per_id = homes.groupBy("ticket_id").agg(X.rows().alias("_homes"), F.min(F.struct(*key)).alias("_home"))
-    single = per_id.where("_homes = 1").groupBy("_home").agg(X.rows().alias("_ids")).select("_home.*", "_ids")
-    repeated = homes.join(per_id.where("_homes > 1").select("ticket_id"), "ticket_id", "left_semi")
-
-    per_key = (
-        tickets.groupBy(*key)
-        .agg(F.sum("rma_issued").alias("_rmas"))
-        .unionByName(single, allowMissingColumns=True)
-        .groupBy(*key)
-        .agg(F.sum("_rmas").alias("_rmas"), F.sum("_ids").alias("_ids"))
+    per_key = tickets.groupBy(*key).agg(
+        F.sum("rma_issued").alias("_rmas"), F.count("ticket_id").alias("_ids")
     )
     sums = (
         cells.join(per_key, key)
         .groupBy("firmware_version")
         .agg(F.sum(F.col("_n") * F.col("_rmas")).alias("_rmas"), F.sum("_ids").alias("_ids"))
     )
-    more = (
-        cells.join(repeated, key)
+    per_home = tickets.where(X.present("ticket_id")).groupBy("ticket_id", *key)
+    per_home = per_home.agg(X.rows().alias("_rows"))
+    repeated = per_home.groupBy("ticket_id").agg(F.sum("_rows").alias("_all")).where("_all > 1")
+    surplus = (
+        cells.join(per_home.join(repeated.select("ticket_id"), "ticket_id", "left_semi"), key)
         .groupBy("firmware_version")
-        .agg(F.count_distinct("ticket_id").alias("_ids"))
+        .agg(F.count_distinct("ticket_id").alias("_distinct"), F.sum("_rows").alias("_rows"))
+        .select("firmware_version", (F.col("_distinct") - F.col("_rows")).alias("_ids"))
     )
     counted = (
-        sums.unionByName(more, allowMissingColumns=True)
+        sums.unionByName(surplus, allowMissingColumns=True)
         .groupBy("firmware_version")
         .agg(F.sum("_ids").alias("support_tickets"), F.sum("_rmas").alias("rma_count"))
     )
