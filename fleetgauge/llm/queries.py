@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import langid, simhash
+from fleetgauge.llm import decontaminate, langid, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,12 +18,17 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_languages(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
 }
 
