@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontaminate, langid, simhash
+from fleetgauge.llm import bpe, decontaminate, langid, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,10 +26,15 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_languages(_table(spark, folder, "documents"))
 
 
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLES: dict[str, str] = {}
