@@ -208,14 +208,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         items = [(r[0], words_of(r[1])) for r in some]
         items = [x for x in items if len(x[1]) >= MIN_WORDS]
-        sent = docs.sparkSession.sparkContext.broadcast(Items(items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
         found.append(rows.mapInArrow(_finder(sent), "doc_id long, item_id long, distance long, item_words long, start_word long, n_words long"))
     return reduce(DataFrame.union, found)
 
 
 def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
+        items = Items(sent.value)
         for batch in batches:
             held, size, out = [], 0, []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
