@@ -15,7 +15,6 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -23,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.llm.shared import add_columns
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words and fragments a task remembers; it starts anew when there are more.
 CACHED = 300_000
@@ -200,20 +201,14 @@ def _numbers(ids: bytes) -> array:
 
 
 def _over(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
-    """``row(coder, text)`` for each row, by a coder that each task makes."""
+    """doc_id and what ``row(coder, text)`` gives, by a coder that each task makes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         coder = Coder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                out = [row(coder, t.as_py() or "") for t in some.column(1)]
-                columns = [some.column(0), *(pa.array(c) for c in zip(*out, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
+        return lambda column: [pa.array(c) for c in zip(*[row(coder, t.as_py() or "") for t in column], strict=True)]
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return add_columns(rows, "text", start, schema).drop("text")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -225,7 +220,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     must exist on every executor.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    return _over(docs, path, "doc_id long, ids binary, decoded string", _both)
+    return _over(docs, path, "ids binary, decoded string", _both)
 
 
 def _both(coder: Coder, text: str) -> tuple[bytes, str]:
@@ -242,4 +237,4 @@ def _digests(coder: Coder, text: str) -> tuple[int, str, str]:
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, as ``encode`` has them."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    return _over(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+    return _over(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)

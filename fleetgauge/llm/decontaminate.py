@@ -14,13 +14,14 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.llm.shared import add_columns
+
 #: Shorter items are no evidence: their words meet by chance.
 MIN_WORDS = 5
 #: Share of an item's words that may be replaced, added or missing.
@@ -30,8 +31,6 @@ WALKS, TABLES, SAMPLED = 8, 6, 3
 CLASS = 1.2
 #: Words of items that are looked for in one pass over the documents.
 PASS_WORDS = 2_000_000
-#: Words of documents that a task holds at a time (a longer document is held whole).
-HELD = 1_000_000
 
 _BLANK = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
@@ -166,11 +165,11 @@ class Items:
         return met
 
 
-def _matches(docs: list[tuple[int | None, list[bytes]]], items: Items) -> Iterator[tuple]:
-    """The best place of each item in each document, if it is near enough."""
+def _matches(docs: list[list[bytes]], items: Items) -> Iterator[tuple[int, dict]]:
+    """(document, match): the best place of each item in each document, if near enough."""
     get = items.symbols.__getitem__
-    flat = np.concatenate([np.array([*map(get, words), items.pad], np.int32) for _, words in docs])
-    stops = np.cumsum([len(words) + 1 for _, words in docs]) - 1
+    flat = np.concatenate([np.array([*map(get, words), items.pad], np.int32) for words in docs])
+    stops = np.cumsum([len(words) + 1 for words in docs]) - 1
     ends = np.repeat(stops, np.diff(np.concatenate([[-1], stops])))
     best: dict[tuple[int, int], tuple] = {}
     for start, i in sorted(items.search(flat, ends)):
@@ -178,14 +177,49 @@ def _matches(docs: list[tuple[int | None, list[bytes]]], items: Items) -> Iterat
         allowed = edits_allowed(len(item))
         d = int(np.searchsorted(stops, start))
         distance, length = edit_distance(item, flat[start : min(start + len(item) + allowed, stops[d])].tolist())
-        if distance <= allowed and (distance,) < best.get((d, i), (allowed + 1,)):
-            offset = start - (int(stops[d - 1]) + 1 if d else 0)
-            best[d, i] = (distance, offset, length)
-    for (d, i), (distance, offset, length) in best.items():
-        yield docs[d][0], items.ids[i], distance, len(items.words[i]), offset, length
+        if distance < best.get((d, i), (allowed + 1,))[0]:
+            best[d, i] = (distance, len(item), start - (int(stops[d - 1]) + 1 if d else 0), length)
+    for (d, i), found in sorted(best.items()):
+        yield d, dict(zip(FIELDS, (items.ids[i], *found), strict=True))
+
+
+FIELDS = ("item_id", "distance", "item_words", "start_word", "n_words")
+MATCHES = pa.list_(pa.struct([(f, pa.int64()) for f in FIELDS]))
+MATCHES_DDL = "array<struct<" + ", ".join(f"{f}: bigint" for f in FIELDS) + ">>"
+
+
+def add_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFrame:
+    """``docs`` and the array ``passages`` of what each row holds of the items.
+
+    Items go to the tasks in passes of ``PASS_WORDS`` words, each a pass over the rows.
+    """
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    total = own.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\s\p{Punct}]+"))), F.lit(0))).first()[0]
+    passes = -(-total // PASS_WORDS) or 1
+    rows = docs
+    for k in range(passes):
+        some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
+        items = [(r[0], words_of(r[1])) for r in some]
+        sent = docs.sparkSession.sparkContext.broadcast([x for x in items if len(x[1]) >= MIN_WORDS])
+        rows = add_columns(rows, column, _start(sent), f"passages_{k} {MATCHES_DDL}")
+    found = F.concat(*[f"passages_{k}" for k in range(passes)])
+    return rows.select(*docs.columns, found.alias("passages"))
+
+
+def _start(sent):
+    def start():
+        items = Items(sent.value)
+
+        def work(column: pa.Array) -> list[pa.Array]:
+            docs = [words_of(t) for t in column.to_pylist()]
+            found: list[list[dict]] = [[] for _ in docs]
+            for d, match in _matches(docs, items):
+                found[d].append(match)
+            return [pa.array(found, MATCHES)]
 
+        return work
 
-SCHEMA = pa.schema({"doc_id": pa.int64(), "item_id": pa.int64(), "distance": pa.int64(), "item_words": pa.int64(), "start_word": pa.int64(), "n_words": pa.int64()})
+    return start
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -195,37 +229,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A place matches if ``EDITS`` of the item's words are replaced, added or missing at most.
     Null and empty texts match nothing, nor do items of fewer than ``MIN_WORDS`` words.
     Items with equal texts are all reported, repeated documents each for themselves, null
-    ids as null. Other columns are not looked at; empty tables give no rows. Items go to the
-    tasks in passes of ``PASS_WORDS`` words, each a pass over the documents.
+    ids as null. Other columns are not looked at; empty tables give no rows.
     """
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = F.size(F.split("text", r"[\s\p{Punct}]+"))
-    total = own.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    passes = -(-total // PASS_WORDS) or 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for k in range(passes):
-        some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        items = [(r[0], words_of(r[1])) for r in some]
-        items = [x for x in items if len(x[1]) >= MIN_WORDS]
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-        found.append(rows.mapInArrow(_finder(sent), "doc_id long, item_id long, distance long, item_words long, start_word long, n_words long"))
-    return reduce(DataFrame.union, found)
+    return add_passages(rows, benchmark).select("doc_id", F.inline("passages"))
 
 
-def _finder(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value)
-        for batch in batches:
-            held, size, out = [], 0, []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                held.append((doc_id, words))
-                size += len(words) + 1
-                if size >= HELD:
-                    out += _matches(held, items)
-                    held, size = [], 0
-            out += _matches(held, items) if held else []
-            yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in out], SCHEMA)
-
-    return run
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of the benchmark."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return add_passages(rows, benchmark).where(F.size("passages") == 0).select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import write_shared
+from fleetgauge.llm.shared import add_columns, write_shared
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The mark that the vocabulary puts before a word.
@@ -221,39 +221,39 @@ def learn(docs: DataFrame, labelled: Column, path: str, sample: int = SAMPLE, ro
 
 
 def identify(docs: DataFrame, languages: list[str], chance: np.ndarray, path: str) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; the score is the language's share among all."""
+    """``docs`` with lang_pred and score; the score is the language's share among all."""
     sent = docs.sparkSession.sparkContext.broadcast((letter_pieces(path), languages, chance))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         names, languages, chance = sent.value
-        pieces = Pieces(names)
-        place: dict[str, int] = {}
-        known = np.zeros((0, len(languages)))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                texts = [words_of(t) for t in batch.column(1).to_pylist()]
-                fresh = list({w for words in texts for w in words if w not in place})
-                if len(place) + len(fresh) > CACHED and place:
-                    place, known = {}, known[:0]
-                    fresh = list({w for words in texts for w in words})
-                if fresh and languages:
-                    place.update((w, len(known) + i) for i, w in enumerate(fresh))
-                    known = np.concatenate([known, word_scores(fresh, pieces, chance)])
-                best, share = [], []
-                for words in texts:
-                    if not words or not languages:
-                        best.append(UNKNOWN)
-                        share.append(0.0)
-                        continue
-                    total = known[[place[w] for w in words]].sum(axis=0)
-                    odds = np.exp(total - total.max())
-                    best.append(languages[int(total.argmax())])
-                    share.append(float(odds.max() / odds.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+        pieces, place, known = Pieces(names), {}, np.zeros((0, len(languages)))
+
+        def work(column: pa.Array) -> list[pa.Array]:
+            nonlocal known
+            texts = [words_of(t) for t in column.to_pylist()]
+            fresh = list({w for words in texts for w in words if w not in place})
+            if len(place) + len(fresh) > CACHED and place:
+                place.clear()
+                known = known[:0]
+                fresh = list({w for words in texts for w in words})
+            if fresh and languages:
+                place.update((w, len(known) + i) for i, w in enumerate(fresh))
+                known = np.concatenate([known, word_scores(fresh, pieces, chance)])
+            best, share = [], []
+            for words in texts:
+                if not words or not languages:
+                    best.append(UNKNOWN)
+                    share.append(0.0)
+                    continue
+                total = known[[place[w] for w in words]].sum(axis=0)
+                odds = np.exp(total - total.max())
+                best.append(languages[int(total.argmax())])
+                share.append(float(odds.max() / odds.sum()))
+            return [pa.array(best, pa.string()), pa.array(share, pa.float64())]
+
+        return work
+
+    return add_columns(docs, "text", start, "lang_pred string, score double")
 
 
 def fold(of: int) -> Column:
@@ -270,7 +270,15 @@ def predict_languages(docs: DataFrame, vocabulary: str | None = None, sample: in
     null id stays null and is not held out. Other columns play no part.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    own = docs.select("doc_id", "text", "lang")
-    languages, chance = learn(own, fold(4) != 2, path, sample)
-    found = identify(own, languages, chance, path)
+    languages, chance = learn(docs.select("doc_id", "text", "lang"), fold(4) != 2, path, sample)
+    found = identify(docs.select("doc_id", "text"), languages, chance, path)
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, vocabulary: str | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is found with a score of ``least`` at least."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    languages, chance = learn(docs.select("doc_id", "text", "lang"), fold(4) != 2, path)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = identify(rows, languages, chance, path)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.llm.shared import add_columns
 from fleetgauge.llm.tagger import Tagger, char_classes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -218,45 +219,63 @@ def _spans(tags: np.ndarray, first: int, text: str, base: list[tuple[int, int, i
     return spans
 
 
-def find(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep_text: bool = False) -> DataFrame:
+def _finder(docs: DataFrame, sample_docs: int, columns):
+    """``start`` of ``add_columns``: ``columns(texts, base, added)`` makes the new columns."""
+    tagger = learn(docs, sample_docs)
+    sent = docs.sparkSession.sparkContext.broadcast(tagger and tagger.p)
+
+    def start():
+        tagger = Tagger(2 * len(KINDS) + 1) if sent.value else None
+        if tagger:
+            tagger.p = sent.value
+
+        def work(column: pa.Array) -> list[pa.Array]:
+            given = column.to_pylist()
+            texts = [t or "" for t in given]
+            base = [base_spans(t) for t in texts]
+            more = added_spans(texts, tagger, base) if tagger else [[] for _ in texts]
+            return columns(given, base, more)
+
+        return work
+
+    return start
+
+
+def find(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_added, base, spans) of every row of ``docs``.
 
     The counts and ``base`` are the patterns' spans; ``spans`` has the added ones too.
     Positions are code points, ends exclusive. A null text counts as empty and has none.
     Repeated rows and null ids stay (a null id is not learned from); other columns are not
     looked at. Texts are searched whole. Where no sampled document has a span, none is added.
-    ``keep_text``: a further column ``clean`` with each span replaced by its kind (null stays
-    null; where spans overlap, the union is replaced by the first one's kind).
     """
+
+    def columns(texts: list, base: list, more: list) -> list[pa.Array]:
+        counts = [[sum(k == kind for kind, _, _ in b) for b in base] for k in range(len(KINDS))]
+        out = [pa.array(c, pa.int64()) for c in (*counts, list(map(len, more)))]
+        return [*out, pa.array(map(spelled, base), pa.string()), pa.array([spelled(b + m) for b, m in zip(base, more, strict=True)], pa.string())]
+
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tagger = learn(own, sample_docs)
-    sent = docs.sparkSession.sparkContext.broadcast(tagger and tagger.p)
-    schema = ", ".join(["doc_id long", *[f"n_{k} long" for k in KINDS], "n_added long", "base string", "spans string", *["clean string"] * keep_text])
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = ", ".join([*[f"n_{k} long" for k in KINDS], "n_added long, base string, spans string"])
+    return add_columns(own, "text", _finder(own, sample_docs, columns), schema).drop("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(2 * len(KINDS) + 1) if sent.value else None
-        if tagger:
-            tagger.p = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                given = batch.column(1).to_pylist()
-                texts = [t or "" for t in given]
-                base = [base_spans(t) for t in texts]
-                more = added_spans(texts, tagger, base) if tagger else [[] for _ in texts]
-                counts = [[sum(k == kind for kind, _, _ in b) for b in base] for k in range(len(KINDS))]
-                columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([len(m) for m in more], pa.int64())]
-                columns += [pa.array([spelled(b) for b in base], pa.string()), pa.array([spelled(b + m) for b, m in zip(base, more, strict=True)], pa.string())]
-                if keep_text:
-                    columns.append(pa.array([t and redact(t, b + m) for t, b, m in zip(given, base, more, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return own.mapInArrow(run, schema)
+
+def clean(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """All rows of ``docs``, each span in ``text`` replaced by its kind; where there is a
+    column ``n_chars`` it follows. Null texts stay null."""
+
+    def columns(texts: list, base: list, more: list) -> list[pa.Array]:
+        return [pa.array([t and redact(t, b + m) for t, b, m in zip(texts, base, more, strict=True)], pa.string())]
+
+    own = docs.select("doc_id", "text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    done = add_columns(rows, "text", _finder(own, sample_docs, columns), "clean string")
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean") != F.col("text"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """Each span replaced by its kind in angle brackets."""
+    """Each span replaced by its kind in angle brackets; spans that overlap as the first one."""
     out, at = [], 0
     for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
         if s >= at:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+#: Rows that a task's Python function gets at a time.
+ROWS = 500
 
 #: White space between words, and the other side of it, as the operators' contracts fix them.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -36,3 +42,19 @@ def remove_shared(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def add_columns(df: DataFrame, column: str, start: Callable[[], Callable], schema: str) -> DataFrame:
+    """``df`` and the columns of ``schema``. Each task calls ``start`` once; what it returns
+    gets the Arrow array ``column`` of some rows and returns the new columns' arrays."""
+    added = T.StructType.fromDDL(schema)
+    place, names = df.columns.index(column), [*df.columns, *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(place))], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
