@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetgauge.llm import bpe, decontaminate, langid, pii, simhash
+from fleetgauge.llm import bpe, chats, decontaminate, langid, pii, simhash, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,14 +37,24 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_table(spark, folder, "documents"))
 
 
+def op8_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.maximal_conversations(_table(spark, folder, "conversations"))
+
+
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
+    "op8_chats": op8_chats,
     "op9_bpe": op9_bpe,
+    "op10_urls": op10_urls,
     "pipeline": corpus_pipeline.run,
 }
 
-#: None of these can be expressed in SQL; the tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others can't be expressed in SQL; the tests hold them against brute force.
+ORACLES: dict[str, str] = {"op8_chats": chats.ORACLE, "op10_urls": urls.ORACLE}
