@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import add_columns, write_shared
+from fleetgauge.llm.shared import add_columns, fold, write_shared
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The mark that the vocabulary puts before a word.
@@ -256,11 +256,6 @@ def identify(docs: DataFrame, languages: list[str], chance: np.ndarray, path: st
     return add_columns(docs, "text", start, "lang_pred string, score double")
 
 
-def fold(of: int) -> Column:
-    """crc32 of the id as text, modulo ``of``; rows without an id are in fold 0."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0)).cast("int")
-
-
 def predict_languages(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``.
 

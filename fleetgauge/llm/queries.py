@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetgauge.llm import bpe, chats, decontaminate, embeddings, langid, licenses, pii, simhash, urls
+from fleetgauge.llm import bpe, chats, decontaminate, embeddings, langid, licenses, lm, pii, simhash, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op7_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(_table(spark, folder, "documents"))
+
+
 def op8_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chats.maximal_conversations(_table(spark, folder, "conversations"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_licenses": op5_licenses,
     "op6_embeddings": op6_embeddings,
+    "op7_lm": op7_lm,
     "op8_chats": op8_chats,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that a task's Python function gets at a time.
@@ -58,3 +59,8 @@ def add_columns(df: DataFrame, column: str, start: Callable[[], Callable], schem
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(place))], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
+def fold(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``; rows without an id are in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0)).cast("int")
