@@ -69,7 +69,7 @@ def monitoring_tier(score: Column) -> Column:
 
 def risk_tier(rate: Column, average: Column) -> Column:
     return (
-        F.when(rate > average * 1.5, "HIGH RISK")
+        F.when(rate > average * S.HIGH_RISK_TIMES, "HIGH RISK")
         .when(rate > average, "MODERATE")
         .otherwise("LOW")
     )
@@ -77,8 +77,8 @@ def risk_tier(rate: Column, average: Column) -> Column:
 
 def regression_status(current: Column, previous: Column) -> Column:
     return (
-        F.when(current > previous * 1.2, "REGRESSION")
-        .when(current < previous * 0.8, "IMPROVEMENT")
+        F.when(current > previous * S.REGRESSION_TIMES, "REGRESSION")
+        .when(current < previous * S.IMPROVEMENT_TIMES, "IMPROVEMENT")
         .otherwise("STABLE")
     )
 
@@ -113,8 +113,20 @@ def days_toward_zero(day: Column, midnight: Column, release: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Array of ints that orders ``10.9.0`` before ``10.10.0``."""
-    return F.transform(F.split(version, "[.]"), lambda part: part.try_cast("int"))
+    """Array that orders ``10.9.0`` before ``10.10.0``: of each part, its leading number
+    (null sorts first) and the text after it."""
+
+    def part(text: Column) -> Column:
+        number = F.regexp_extract(text, "^[0-9]+", 0)
+        return F.struct(number.try_cast("decimal(38,0)").alias("number"), F.substring(text, F.length(number) + 1, F.length(text)).alias("rest"))
+
+    return F.transform(F.split(version, "[.]"), part)
+
+
+def hash_share(key: Column, seed: int) -> Column:
+    """A number in [0, 1) from a hash of the key; plain SQL can compute it too."""
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def churn_score(lines: Column, files: Column, gap_days: Column) -> Column:

@@ -15,6 +15,8 @@ are and however the values are spread.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,9 +34,16 @@ def cell_of(value: Column) -> Column:
 
 
 def band_of(cell: Column) -> Column:
-    """Signed binary exponent of a cell, in the order of the cells."""
+    """Signed binary exponent of a cell, in the order of the cells.
+
+    Infinite values and doubles beyond the range of floats share the outermost bands.
+    """
     exponent = F.floor(F.log2(F.abs(cell))) + 2000
-    return F.when(cell == 0, F.lit(0.0)).otherwise(F.signum(cell) * exponent)
+    return (
+        F.when(cell == 0, F.lit(0.0))
+        .when(F.abs(cell) == float("inf"), F.signum(cell) * 5000)
+        .otherwise(F.signum(cell) * exponent)
+    )
 
 
 def _sums_before(df, group, order, sums, descending):
@@ -98,15 +107,12 @@ def quantiles(
     value: str,
     qs: Sequence[float],
     by: Sequence[str] = (),
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (``by``, ``q``).
 
     A count per cell finds the cells that hold the wanted ranks; only the rows
     of those cells are then ordered. Nothing but counts is shuffled in the first
-    pass, and in the second only values of the chosen cells. ``few_groups`` says
-    that the groups are few by their nature, such as tiers or classes; the
-    chosen cells, two per quantile and group, are then broadcast.
+    pass, and in the second only values of the chosen cells.
     """
     by = list(by)
     number = F.col(value).cast("double")
@@ -137,8 +143,6 @@ def quantiles(
         .where(F.size(hit(start)) > 0)
         .select(*by, "_cell", start.alias("_start"), "_total")
     )
-    if few_groups or not by:
-        chosen = F.broadcast(chosen)
     picked = (
         rows.join(chosen, [*by, "_cell"])
         .groupBy(*by, "_cell", "_start", "_total", "_v")
@@ -156,7 +160,9 @@ def quantiles(
     )
     pos = F.col("q") * last
     low, high = F.col("_at")[F.floor(pos)], F.col("_at")[F.ceil(pos)]
-    return at.select(*by, "q", (low + (high - low) * (pos - F.floor(pos))).alias("value"))
+    # equal ends first: the difference of two infinite ones is no number
+    between = F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos)))
+    return at.select(*by, "q", between.alias("value"))
 
 
 def previous_row(
@@ -172,12 +178,16 @@ def previous_row(
     Order within ``line`` is (``date``, ``seq``), ``seq`` being a unique integer.
     Cells are (line, date, block of seq), so one holds at most ``block`` rows;
     the last row of a cell is carried to the next cell of that date, the last
-    row of a date to the next date. Rows without line, date or ``seq`` are dropped.
+    row of a date to the next date. Rows without line, date or ``seq`` stay, with
+    no row before them and none after.
     """
     payload = F.struct(*columns)
-    rows = df.withColumn("_block", F.floor(F.col(seq) / F.lit(block)))
-    rows = rows.where(present(line, date, "_block"))
-    cells = rows.groupBy(line, date, "_block").agg(F.max_by(payload, F.col(seq)).alias("_last"))
+    placed = present(line, date, seq)
+    # rows without a place are spread by their content
+    rows = df.withColumn(
+        "_block", F.when(placed, F.floor(F.col(seq) / F.lit(block))).otherwise(F.xxhash64(*df.columns))
+    )
+    cells = rows.where(placed).groupBy(line, date, "_block").agg(F.max_by(payload, F.col(seq)).alias("_last"))
     dates = cells.groupBy(line, date).agg(F.max_by("_last", "_block").alias("_last"))
     dates = dates.select(
         line, date, F.lag("_last").over(W.partitionBy(line).orderBy(date)).alias("_day_before")
@@ -193,6 +203,32 @@ def previous_row(
     in_cell = F.lag(payload).over(W.partitionBy(line, date, "_block").orderBy(seq))
     return (
         rows.select("*", in_cell.alias("_in_cell"))
-        .join(carried, [line, date, "_block"])
-        .select(*df.columns, F.coalesce("_in_cell", "_carried").alias("_previous"))
+        .join(carried, [line, date, "_block"], "left")
+        .select(*df.columns, F.when(placed, F.coalesce("_in_cell", "_carried")).alias("_previous"))
     )
+
+
+def previous_in_cells(
+    df: DataFrame, cells: Sequence[str], order: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Add ``_previous``: a struct of ``columns`` of the row before this one in the order of
+    ``cells``, then ``order``, over the whole frame.
+
+    A window runs inside the innermost cells; the last row of each cell is carried to the
+    next one of the same outer cell, level by level. Only the outermost cells, one row
+    each, meet in one window.
+    """
+    payload, cells = F.struct(*columns), list(cells)
+    place = F.struct(*order)
+    out = df.withColumn("_previous", F.lag(payload).over(W.partitionBy(*cells).orderBy(*order)))
+    lasts = df.groupBy(*cells).agg(F.max_by(payload, place).alias("_last"))
+    for depth in range(len(cells), 0, -1):
+        outer, own = cells[: depth - 1], cells[depth - 1]
+        before = F.lag("_last").over(W.partitionBy(*outer or [F.lit(0)]).orderBy(own))
+        carried = lasts.select(*cells[:depth], before.alias("_carried"))
+        same = reduce(and_, [out[c].eqNullSafe(carried[c]) for c in cells[:depth]])
+        kept = [out[c] for c in out.columns if c != "_previous"]
+        out = out.join(carried, same, "left").select(*kept, F.coalesce(out["_previous"], carried["_carried"]).alias("_previous"))
+        if outer:
+            lasts = lasts.groupBy(*outer).agg(F.max_by("_last", own).alias("_last"))
+    return out

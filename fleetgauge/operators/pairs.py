@@ -25,12 +25,14 @@ def pair_support(df: DataFrame, holder: str, item: str, minimum: int) -> DataFra
         .groupBy(holder)
         .agg(F.sort_array(F.collect_list(item)).alias("_items"))
         .where(F.size("_items") > 1)
-        .groupBy("_items")
+        .groupBy(F.xxhash64("_items").alias("_set"), "_items")
         .agg(F.count(F.lit(1)).alias("_holders"))
     )
-    firsts = sets.select("_items", "_holders", F.posexplode("_items").alias("_at", "item_1"))
+    firsts = sets.select("_set", "_items", "_holders", F.posexplode("_items").alias("_at", "item_1"))
     rest = F.slice("_items", F.col("_at") + 2, F.size("_items"))
-    pairs = firsts.select("item_1", F.explode(rest).alias("item_2"), "_holders")
+    # dealt out by set and place, so that no task writes all pairs of a large set
+    firsts = firsts.select("_set", "_at", "item_1", rest.alias("_rest"), "_holders").repartition("_set", "_at")
+    pairs = firsts.select("item_1", F.explode("_rest").alias("item_2"), "_holders")
     return (
         pairs.groupBy("item_1", "item_2")
         .agg(F.sum("_holders").alias("holders"))
@@ -45,7 +47,7 @@ def blocked_pairs(
 
     Each row goes to one block and to every tile of that block's row or column,
     so each pair meets in exactly one tile. The work spreads over all tiles and
-    neither side has to fit in memory.
+    neither side has to fit in memory; raise ``blocks`` with the number of rows.
     """
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     tall = left.withColumn("_row", F.pmod(F.xxhash64(left_key), F.lit(blocks)).cast("int"))

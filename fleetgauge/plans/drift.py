@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetgauge import settings as S
@@ -13,7 +14,7 @@ from fleetgauge.functions import expressions as X
 
 def sample_n(df: DataFrame, key: str, n: int = 50, seed: int = 99) -> DataFrame:
     """``n`` rows drawn by a hash of the key: the same rows for any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(X.hash_share(F.col(key), seed), key).limit(n)
 
 
 def mark_new(df: DataFrame, key: str = "firmware_version", suffix: str = ".NEW") -> DataFrame:
@@ -29,28 +30,43 @@ def _drift(now: Column, base: Column) -> Column:
     return F.when(base == 0, F.lit(0.0)).otherwise(change)
 
 
-def drift_report(
-    history: DataFrame,
-    new: DataFrame,
+def both_sides(history: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """History and new rows in one frame, told apart by ``is_new``."""
+    parts = [df.select(F.lit(flag).alias("is_new"), *columns) for df, flag in ((history, False), (new, True))]
+    return parts[0].unionByName(parts[1])
+
+
+def drift_between(
+    rows: DataFrame,
+    is_new: Column,
     features: Sequence[str] = tuple(S.DRIFT_FEATURES),
     threshold: float = S.DRIFT_THRESHOLD_PCT,
 ) -> DataFrame:
-    """Means of each feature on both sides and their difference in percent."""
-
-    def means(df: DataFrame, name: str) -> DataFrame:
-        wide = df.agg(*[F.avg(c).alias(c) for c in features])
-        return wide.unpivot([], list(features), "feature", name)
-
+    """Means of each feature on both sides of one frame, in one pass, and their difference
+    in percent."""
+    means = rows.agg(
+        *[F.avg(F.when(side, F.col(c))).alias(f"{name}_{c}") for c in features for name, side in (("h", ~is_new), ("n", is_new))]
+    )
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"h_{c}").alias("history_mean"), F.col(f"n_{c}").alias("new_mean")) for c in features]
     pct = _drift(F.col("new_mean"), F.col("history_mean"))
     return (
-        means(history, "history_mean")
-        .join(means(new, "new_mean"), "feature")
+        means.select(F.inline(F.array(*entries)))
         .withColumn("drift_pct", pct)
         .withColumn("drifted", F.coalesce(F.col("drift_pct") > threshold, F.lit(False)))
         .orderBy("feature")
     )
 
 
+def drift_report(
+    history: DataFrame,
+    new: DataFrame,
+    features: Sequence[str] = tuple(S.DRIFT_FEATURES),
+    threshold: float = S.DRIFT_THRESHOLD_PCT,
+) -> DataFrame:
+    """As ``drift_between``, for two frames."""
+    return drift_between(both_sides(history, new, features), F.col("is_new"), features, threshold)
+
+
 def drift_pct(history: DataFrame, new: DataFrame, feature: str = "code_churn_score") -> DataFrame:
     return drift_report(history, new, [feature]).select("drift_pct")
 
@@ -76,15 +92,9 @@ def should_retrain(
     return report.agg((F.coalesce(drifted, F.lit(False)) | F.lit(other)).alias("retrain"))
 
 
-def class_balance(history: DataFrame, new: DataFrame, label: str = "high_risk_flag") -> DataFrame:
-    """Share of each class among history and new rows."""
-    both = history.select(F.lit("history").alias("side"), label).unionByName(
-        new.select(F.lit("new").alias("side"), label)
-    )
-    counts = both.groupBy("side", label).agg(X.rows().alias("n"))
-    totals = counts.groupBy("side").agg(F.sum("n").alias("_total"))
-    return (
-        counts.join(totals, "side")
-        .select("side", label, "n", X.ratio(F.col("n"), F.col("_total")).alias("share"))
-        .orderBy("side", label)
-    )
+def class_balance(rows: DataFrame, is_new: Column, label: str = "high_risk_flag") -> DataFrame:
+    """Share of each class among history and new rows of one frame."""
+    side = F.when(is_new, "new").otherwise("history").alias("side")
+    counts = rows.groupBy(side, label).agg(X.rows().alias("n"))
+    totals = F.sum("n").over(W.partitionBy("side"))  # one row per class
+    return counts.select("side", label, "n", X.ratio(F.col("n"), totals).alias("share")).orderBy("side", label)

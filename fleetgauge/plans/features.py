@@ -25,7 +25,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def cardinalities(events: DataFrame) -> DataFrame:
-    return events.agg(
+    # grouped first, so that distinct counts see no repeated rows
+    kinds = events.select("device_id", "error_code", "severity", "firmware_version").distinct()
+    return kinds.agg(
         F.count_distinct("device_id").alias("device_count"),
         F.count_distinct("error_code").alias("error_code_count"),
         F.count_distinct("severity").alias("severity_count"),
@@ -256,15 +258,15 @@ def release_gaps(releases: DataFrame, line: str = "product_line", seq: str = "re
 
     Only the first release of a date has a gap; the later ones follow it on the
     same day. So the dates of a line are enough, and no window over the releases
-    themselves is needed.
+    themselves is needed. A release without line or date has the gap of a first one.
     """
-    dates = releases.groupBy(line, "release_date").agg(F.min(seq).alias("_first"))
+    dates = releases.where(X.present(line, "release_date")).groupBy(line, "release_date").agg(F.min(seq).alias("_first"))
     before = F.lag("release_date").over(W.partitionBy(line).orderBy("release_date"))
     dates = dates.select(line, "release_date", "_first", before.alias("_before"))
     gap = F.when(F.col(seq) != F.col("_first"), F.lit(0)).otherwise(
         F.coalesce(F.datediff("release_date", "_before"), F.lit(S.FIRST_RELEASE_GAP_DAYS))
     )
-    return releases.join(dates, [line, "release_date"]).select(
+    return releases.join(dates, [line, "release_date"], "left").select(
         *[F.col(c) for c in releases.columns],
         gap.cast("double").alias("days_since_previous_release"),
     )

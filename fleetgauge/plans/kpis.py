@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
-from fleetgauge.operators.ordered import previous_row
+from fleetgauge.operators.ordered import previous_in_cells
 from fleetgauge.operators.pairs import blocked_pairs, pair_support
 
 
+def grouped(events: DataFrame, *columns: str) -> DataFrame:
+    """Events counted by some columns, as ``_n``: distinct counts over it see each
+    combination once instead of every event."""
+    return events.groupBy(*columns).agg(X.rows().alias("_n"))
+
+
 def executive_kpis(events: DataFrame) -> DataFrame:
-    return events.agg(
+    return grouped(events, "firmware_version", "device_id", "error_code").agg(
         F.count_distinct("firmware_version").alias("total_firmware_versions"),
         F.count_distinct("device_id").alias("total_devices"),
-        X.rows().alias("total_error_events"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_error_events"),
         F.count_distinct("error_code").alias("unique_error_codes"),
     ).withColumn(
         "errors_per_device",
@@ -25,9 +31,9 @@ def executive_kpis(events: DataFrame) -> DataFrame:
 
 def error_rate_by_firmware(events: DataFrame, releases: DataFrame) -> DataFrame:
     """Events are counted per version first, so the join sees one row per version."""
-    counts = events.groupBy("firmware_version").agg(
+    counts = grouped(events, "firmware_version", "device_id", "error_code").groupBy("firmware_version").agg(
         F.count_distinct("device_id").alias("affected_devices"),
-        X.rows().alias("_events"),
+        F.sum("_n").alias("_events"),
         F.count_distinct("error_code").alias("unique_errors"),
     )
     dates = releases.groupBy("firmware_version", "release_date").agg(X.rows().alias("_copies"))
@@ -74,9 +80,10 @@ def high_risk_firmware(events: DataFrame) -> DataFrame:
 def error_code_share(events: DataFrame, k: int = 20) -> DataFrame:
     total = events.agg(X.rows()).scalar()
     return (
-        events.groupBy("error_code")
+        grouped(events, "error_code", "device_id", "firmware_version")
+        .groupBy("error_code")
         .agg(
-            X.rows().alias("occurrence_count"),
+            F.sum("_n").alias("occurrence_count"),
             F.count_distinct("device_id").alias("affected_devices"),
             F.count_distinct("firmware_version").alias("firmware_versions_affected"),
         )
@@ -151,9 +158,10 @@ def rma_rate_joined(events: DataFrame, tickets: DataFrame, minimum: int = S.MIN_
 
 def weekly_trend(events: DataFrame) -> DataFrame:
     return (
-        events.groupBy(X.year_week(F.col("timestamp")).alias("year_week"))
+        grouped(events.withColumn("year_week", X.year_week(F.col("timestamp"))), "year_week", "device_id", "firmware_version")
+        .groupBy("year_week")
         .agg(
-            X.rows().alias("error_count"),
+            F.sum("_n").alias("error_count"),
             F.count_distinct("device_id").alias("unique_devices"),
             F.count_distinct("firmware_version").alias("active_versions"),
         )
@@ -168,11 +176,13 @@ def by_dimension(
 
     Rows may be counts of events already; ``weight`` then names the count.
     """
+    if weight is None:
+        events, weight = grouped(events, dimension, "device_id", distinct), "_n"
     return (
         events.groupBy(dimension)
         .agg(
             F.count_distinct("device_id").alias("device_count"),
-            (F.sum(weight) if weight else X.rows()).alias("total_errors"),
+            F.sum(weight).alias("total_errors"),
             F.count_distinct(distinct).alias(name),
         )
         .select(
@@ -216,16 +226,17 @@ def version_regressions(events: DataFrame, consecutive: bool = False, min_change
 
     By default each version is compared with every version of smaller text, as
     many result rows as there are such pairs. ``consecutive`` compares it with
-    the one before it in numeric version order only.
+    the one before it in version order only: by the numbers of its parts, then by
+    what follows them, then by the whole text.
     """
     rates = version_rates(events).select("firmware_version", "error_rate")
     if consecutive:
         key = X.version_key(F.col("firmware_version"))
-        keyed = rates.select(
-            "*", F.lit(0).alias("_all"), F.slice(key, 1, 2).alias("_minor"), key[2].alias("_patch")
+        keyed = rates.where(F.col("firmware_version").isNotNull()).select(
+            "*", F.slice(key, 1, 1).alias("_major"), F.slice(key, 2, 1).alias("_minor"), key.alias("_key")
         )
-        pairs = previous_row(
-            keyed, "_all", "_minor", "_patch", ["firmware_version", "error_rate"]
+        pairs = previous_in_cells(
+            keyed, ["_major", "_minor"], ["_key", "firmware_version"], ["firmware_version", "error_rate"]
         ).select(
             F.col("firmware_version").alias("current_version"),
             F.col("_previous.firmware_version").alias("previous_version"),
@@ -315,7 +326,11 @@ def release_health(events: DataFrame, tickets: DataFrame) -> DataFrame:
         F.coalesce(X.ratio(F.col("_rmas"), F.col("_tickets")), F.lit(0.0)).alias("r"),
         F.coalesce(X.ratio(F.col("_tiers"), F.col("_tiered")), F.lit(1.0)).alias("t"),
     )
-    penalty = F.col("e") * 30 + F.col("r") * 40 + (F.col("t") - 1) / 2 * 30
+    penalty = (
+        F.col("e") * S.HEALTH_ERROR_WEIGHT
+        + F.col("r") * S.HEALTH_RMA_WEIGHT
+        + (F.col("t") - 1) / 2 * S.HEALTH_TIER_WEIGHT
+    )
     return scored.select(
         "firmware_version",
         X.round_to(F.col("e"), 3).alias("error_rate"),

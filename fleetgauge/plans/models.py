@@ -11,17 +11,25 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
 from fleetgauge.operators.ordered import quantiles, running_totals
-from fleetgauge.plans.scoring import SCORED_COLUMNS, flag_high_risk
+from fleetgauge.plans import drift
+from fleetgauge.plans.scoring import flag_high_risk
 from fleetgauge.plans.stats import quantile
 from fleetgauge.schemas import require_columns
+from fleetgauge.sources import registry
 
-BUCKETS = 10_000
+#: Labelled rows that a learner fits on at most, chosen by a hash of the key.
+FIT_ROWS = 200_000
+#: Partitions of these rows: each round of a boosted model is a job over them.
+FIT_PARTS = 2
+#: Rounds of a boosted model's first fit, and rounds without gain that end it.
+FIRST_ROUNDS, PATIENCE = 32, 10
 
 
 def cast_features(df: DataFrame, features: Sequence[str] = tuple(S.RISK_FEATURES)) -> DataFrame:
@@ -41,8 +49,8 @@ def add_label(df: DataFrame, column: str = "error_rate_per_10k", q: float = S.LA
     return df.withColumn("label", X.flag_ge(F.col(column), quantile(df, column, q).scalar()))
 
 
-def _share(key: str, seed: int):
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BUCKETS)) / BUCKETS
+def _share(key: str, seed: int) -> Column:
+    return X.hash_share(F.col(key), seed)
 
 
 def split(df: DataFrame, key: str, test: float = 0.33, seed: int = S.SEED) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +66,9 @@ def split_stratified(
 
     The border is the quantile of the hash within the label: one row per class.
     """
-    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)))
-    borders = quantiles(hashed, "_hash", [test], by=[label], few_groups=True)
-    borders = borders.select(label, "value")
-    placed = hashed.join(F.broadcast(borders), label)
+    hashed = df.withColumn("_hash", _share(key, seed))
+    borders = quantiles(hashed, "_hash", [test], by=[label]).select(label, "value")
+    placed = hashed.join(borders, label)
     return tuple(
         placed.where(side).select(df.columns)
         for side in (F.col("_hash") >= F.col("value"), F.col("_hash") < F.col("value"))
@@ -73,11 +80,22 @@ def with_validation(df: DataFrame, key: str, part: float = 0.15, seed: int = S.S
     return df.withColumn("is_validation", _share(key, seed) < part)
 
 
-def _fit(estimator, df: DataFrame) -> PipelineModel:
-    return Pipeline(stages=[assembler(), estimator]).fit(cast_features(df))
+def fit_rows(df: DataFrame, key: str, most: int = FIT_ROWS) -> DataFrame:
+    """At most ``most`` rows, by a hash of the key, in a few partitions."""
+    chosen = df.orderBy(_share(key, S.SEED + 3), key).limit(most)
+    return cast_features(chosen).repartition(FIT_PARTS, key).sortWithinPartitions(key)
 
 
-def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees: int = 100, depth: int = 10):
+def _fit(estimator, df: DataFrame, key: str = "firmware_version") -> PipelineModel:
+    """Fitted on rows that are kept while the learner passes over them."""
+    rows = fit_rows(df, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[assembler(), estimator]).fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees: int = 100, depth: int = 15):
     return _fit(
         RandomForestRegressor(
             labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=S.SEED
@@ -86,7 +104,7 @@ def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees:
     )
 
 
-def train_rf_classifier(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 10):
+def train_rf_classifier(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15):
     return _fit(
         RandomForestClassifier(
             labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=S.SEED
@@ -96,35 +114,69 @@ def train_rf_classifier(df: DataFrame, label: str = "label", trees: int = 100, d
 
 
 def gbt_regressor(label: str = "error_rate_per_10k", rounds: int = 1000, step: float = 0.1):
-    return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=step, seed=S.SEED)
+    return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=step, validationTol=0.0, seed=S.SEED)
 
 
 def gbt_classifier(label: str = "label", rounds: int = 1000, step: float = 0.1):
-    return GBTClassifier(labelCol=label, maxIter=rounds, stepSize=step, seed=S.SEED)
+    return GBTClassifier(labelCol=label, maxIter=rounds, stepSize=step, validationTol=0.0, seed=S.SEED)
 
 
-def train_gbt_regressor(df: DataFrame, key: str = "firmware_version", **options):
-    """Boosted trees, stopped when a slice of the training rows gains no more."""
-    model = gbt_regressor(**options).setValidationIndicatorCol("is_validation")
-    return _fit(model, with_validation(df, key))
+def _fit_boosted(estimator, df: DataFrame, key: str) -> PipelineModel:
+    """Boosted trees that stop when a slice of the training rows gains no more.
 
-
-def train_gbt_classifier(df: DataFrame, key: str = "firmware_version", **options):
-    model = gbt_classifier(**options).setValidationIndicatorCol("is_validation")
-    return _fit(model, with_validation(df, key))
+    A fit has ``FIRST_ROUNDS`` rounds, then twice as many each time, up to the estimator's
+    own number, until the round of least error on the slice lies ``PATIENCE`` rounds back at
+    least; the model then ends with that round. Rounds of small gain do not end it.
+    """
+    rows = assemble(with_validation(fit_rows(df, key), key)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fit, held = rows.where(~F.col("is_validation")), rows.where("is_validation")
+        most = estimator.getMaxIter()
+        rounds = min(FIRST_ROUNDS, most)
+        while True:
+            model = estimator.copy({estimator.maxIter: rounds}).fit(fit)
+            loss = () if isinstance(estimator, GBTClassifier) else ("squared",)
+            errors = model.evaluateEachIteration(held, *loss)
+            best = 1 + min(range(len(errors)), key=lambda i: (errors[i], i))
+            if rounds == most or best + PATIENCE <= rounds:
+                break
+            rounds = min(2 * rounds, most)
+        if best < rounds:
+            model = estimator.copy({estimator.maxIter: best}).fit(fit)
+    finally:
+        rows.unpersist()
+    return PipelineModel([assembler(), model])
+
+
+def train_gbt_regressor(df: DataFrame, key: str = "firmware_version", **options) -> PipelineModel:
+    return _fit_boosted(gbt_regressor(**options), df, key)
+
+
+def train_gbt_classifier(df: DataFrame, key: str = "firmware_version", **options) -> PipelineModel:
+    return _fit_boosted(gbt_classifier(**options), df, key)
 
 
 def cross_validate(estimator, df: DataFrame, evaluator, key: str, folds: int = 5) -> CrossValidatorModel:
-    """k-fold cross-validation with folds by a hash of the key; see ``avgMetrics``."""
-    fold = F.pmod(F.xxhash64(F.col(key), F.lit(S.SEED + 2)), F.lit(folds)).cast("int")
-    return CrossValidator(
-        estimator=Pipeline(stages=[assembler(), estimator]),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=2,
-    ).fit(cast_features(df).withColumn("fold", fold))
+    """k-fold cross-validation with folds by a hash of the key; see ``avgMetrics``.
+
+    A boosted model stops early in each fold, at the first round from which a slice of that
+    fold's training rows gains nothing at all.
+    """
+    fold = F.floor(_share(key, S.SEED + 2) * folds).cast("int")
+    if estimator.hasParam("validationIndicatorCol"):
+        estimator = estimator.copy().setValidationIndicatorCol("is_validation")
+    rows = with_validation(fit_rows(df, key), key).withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return CrossValidator(
+            estimator=Pipeline(stages=[assembler(), estimator]),
+            estimatorParamMaps=ParamGridBuilder().build(),
+            evaluator=evaluator,
+            numFolds=folds,
+            foldCol="fold",
+            parallelism=folds,
+        ).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def rmse_evaluator(label: str = "error_rate_per_10k") -> RegressionEvaluator:
@@ -151,8 +203,9 @@ def prediction_band(pred: DataFrame, label: str, prediction: str = "prediction")
 
 
 def _by_score(pred: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives at each distinct score, and above it."""
-    counts = pred.groupBy(score).agg(
+    """Positives and negatives at each distinct score, and above it. A NaN score is an error."""
+    checked = F.when(F.isnan(score), F.raise_error(F.lit(f"{score} holds NaN"))).otherwise(F.col(score))
+    counts = pred.withColumn(score, checked).groupBy(score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     return running_totals(counts, score, ["pos", "neg"], descending=True)
@@ -247,13 +300,26 @@ def score(df: DataFrame, model: PipelineModel, threshold: float = S.RISK_THRESHO
 
 
 def score_patches(df: DataFrame, model: PipelineModel, threshold: float = S.RISK_THRESHOLD) -> DataFrame:
-    return score(df, model, threshold).select(SCORED_COLUMNS)
+    return score(df, model, threshold).select(S.SCORED_COLUMNS)
 
 
 def retrain(
     df: DataFrame, key: str = "firmware_version", rounds: int = 500, step: float = 0.01
 ) -> tuple[PipelineModel, DataFrame]:
-    """Refit on history and new rows; the model and its ROC-AUC on held-out rows."""
+    """Refit on history and new rows, all rounds; the model and its ROC-AUC on held-out rows."""
     train, test = split_stratified(df, key)
     model = _fit(gbt_classifier(rounds=rounds, step=step), train)
     return model, roc_auc(score(test, model))
+
+
+def renew(history: DataFrame, new: DataFrame, root: str, key: str = "firmware_version", **options) -> str | None:
+    """The whole cycle: if new rows drift from history, refit on both, save the model as the
+    version after the last one saved, and only then promote it. The version, or None."""
+    report = drift.drift_report(history, new, ["code_churn_score"])
+    if not drift.should_retrain(report).first()["retrain"]:
+        return None
+    model, _ = retrain(drift.append_new(history, drift.mark_new(new, key)), key, **options)
+    version = registry.next_version(history.sparkSession, root)
+    registry.save_model(model, root, version)
+    registry.promote(history.sparkSession, root, version)
+    return version

@@ -10,45 +10,30 @@ from fleetgauge.functions import expressions as X
 from fleetgauge.schemas import require_columns
 
 
-SCORED_COLUMNS = ["firmware_version", *S.RISK_FEATURES, "risk_score", "high_risk_flag"]
-QA_COLUMNS = [
-    "firmware_version",
-    "code_churn_score",
-    "churn_norm",
-    "risk_score",
-    "high_risk_flag",
-    "QA_priority_score",
-    "QA_bucket",
-]
-MONITORING_COLUMNS = [
-    "firmware_version",
-    "risk_score",
-    "avg_device_age_days",
-    "older_device_flag",
-    "monitoring_priority",
-    "monitoring_tier",
-]
-
-
 def flag_high_risk(df: DataFrame, threshold: float = S.RISK_THRESHOLD) -> DataFrame:
     return df.withColumn("high_risk_flag", X.flag_ge(F.col("risk_score"), threshold))
 
 
 def gate_summary(scored: DataFrame) -> DataFrame:
+    score = F.col("risk_score")
     return scored.agg(
         X.rows().alias("n_patches"),
         F.count_if(F.col("high_risk_flag") == 1).alias("n_high_risk"),
+        F.count_if(score.isNull() | F.isnan(score)).alias("n_unscored"),
         F.avg("risk_score").alias("avg_risk_score"),
     )
 
 
 def gate(scored: DataFrame) -> DataFrame:
-    """One row: counts, mean score, verdict and exit code. No patches pass."""
-    flagged = F.col("n_high_risk") > 0
+    """One row: counts, mean score, verdict and exit code. No patches pass.
+
+    A patch without a score can neither pass nor fail: the verdict is ERROR, the code 2.
+    """
+    unscored, flagged = F.col("n_unscored") > 0, F.col("n_high_risk") > 0
     return gate_summary(scored).select(
         "*",
-        F.when(flagged, "FAIL").otherwise("PASS").alias("verdict"),
-        flagged.cast("int").alias("exit_code"),
+        F.when(unscored, "ERROR").when(flagged, "FAIL").otherwise("PASS").alias("verdict"),
+        F.when(unscored, 2).otherwise(flagged.cast("int")).alias("exit_code"),
     )
 
 
@@ -76,7 +61,7 @@ def qa_priority(scored: DataFrame) -> DataFrame:
 
 
 def qa_sheet(scored: DataFrame) -> DataFrame:
-    return qa_priority(scored).select(QA_COLUMNS)
+    return qa_priority(scored).select(S.QA_COLUMNS)
 
 
 def monitoring_sheet(qa: DataFrame, ages: DataFrame) -> DataFrame:
@@ -100,7 +85,7 @@ def monitoring_sheet(qa: DataFrame, ages: DataFrame) -> DataFrame:
         .withColumn("older_device_flag", older)
         .withColumn("monitoring_priority", priority)
         .withColumn("monitoring_tier", X.monitoring_tier(F.col("monitoring_priority")))
-        .select(MONITORING_COLUMNS)
+        .select(S.MONITORING_COLUMNS)
     )
 
 

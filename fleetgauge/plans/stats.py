@@ -91,7 +91,7 @@ def group_mean(df: DataFrame, group: str, column: str) -> DataFrame:
 def group_quantiles(df: DataFrame, group: str, column: str) -> DataFrame:
     """Minimum, quartiles and maximum of each of a few groups, such as tiers."""
     names = {0.0: "min", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "max"}
-    long = quantiles(df, column, list(names), by=[group], few_groups=True)
+    long = quantiles(df, column, list(names), by=[group])
     wide = [
         F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in names.items()
     ]
@@ -166,20 +166,24 @@ def cumulative_share(df: DataFrame, score: str) -> DataFrame:
     """Running share of the score total from the highest score down.
 
     One row per distinct score: how many rows have it, how many have it or a
-    higher one, and the percentage of the total these add up to.
+    higher one, and the percentage of the total these add up to. NaN is no part of the
+    total; its row comes last and has no rank and no percentage.
     """
     value = F.col(score)
-    counts = df.where(value.isNotNull()).groupBy(score).agg(X.rows().alias("n"))
+    missing = F.isnan(value)
+    nan = df.where(missing).groupBy(score).agg(X.rows().alias("n"))
+    counts = df.where(value.isNotNull() & ~missing).groupBy(score).agg(X.rows().alias("n"))
     counts = counts.withColumn("_sum", F.col("n") * value)
     total = counts.agg(F.sum("_sum")).scalar()
     ran = running_totals(counts, score, ["n", "_sum"], descending=True)
     share = F.try_divide(F.col("_sum_before") + F.col("_sum"), total) * 100
-    return ran.select(
+    placed = ran.select(
         score,
         "n",
         (F.col("n_before") + F.col("n")).alias("rank"),
         share.alias("cumulative_pct"),
-    ).orderBy(F.desc(score))
+    )
+    return placed.unionByName(nan, allowMissingColumns=True).orderBy(F.isnan(value), F.desc(score))
 
 
 def feature_summary(patches: DataFrame) -> DataFrame:

@@ -54,5 +54,31 @@ FIRST_RELEASE_GAP_DAYS = 7
 CHURN_SCALE = 2000.0
 
 DRIFT_THRESHOLD_PCT = 15.0
+HIGH_RISK_TIMES = 1.5
+REGRESSION_TIMES = 1.2
+IMPROVEMENT_TIMES = 0.8
+HEALTH_ERROR_WEIGHT = 30
+HEALTH_RMA_WEIGHT = 40
+HEALTH_TIER_WEIGHT = 30
+
+SCORED_COLUMNS = ["firmware_version", *RISK_FEATURES, "risk_score", "high_risk_flag"]
+QA_COLUMNS = [
+    "firmware_version",
+    "code_churn_score",
+    "churn_norm",
+    "risk_score",
+    "high_risk_flag",
+    "QA_priority_score",
+    "QA_bucket",
+]
+MONITORING_COLUMNS = [
+    "firmware_version",
+    "risk_score",
+    "avg_device_age_days",
+    "older_device_flag",
+    "monitoring_priority",
+    "monitoring_tier",
+]
+
 MODEL_V1 = "v001"
 MODEL_V2 = "v002"

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
-import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,8 +13,12 @@ from fleetgauge.schemas import FEATURE_TABLES, RAW_TABLES, conform, require_colu
 
 
 def read_csv(spark: SparkSession, path: str, trim_headers: bool = False) -> DataFrame:
-    """A CSV file as text columns; only the header is looked at, nothing is inferred."""
-    df = spark.read.option("header", True).csv(path)
+    """A CSV file as text columns; only the header is looked at, nothing is inferred.
+
+    Quoted cells may hold line breaks, and a doubled quote stands for one. Such a file is
+    read by one task; keep volumes in Parquet.
+    """
+    df = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     if trim_headers:
         df = df.toDF(*[c.strip() for c in df.columns])
     return df
@@ -64,8 +66,11 @@ PATCH_TYPES = {
 }
 
 
-def typed_patches(df: DataFrame) -> DataFrame:
-    """Numbers as double, booleans (True, 1, yes) as 0/1; other columns as they are."""
+def typed_patches(df: DataFrame, lost: str | None = None) -> DataFrame:
+    """Numbers as double, booleans (True, 1, yes) as 0/1; other columns as they are.
+
+    ``lost`` names a further column: how many filled cells of a row did not parse.
+    """
     casts = {c: F.col(c).try_cast(t) for c, t in PATCH_TYPES.items() if c in df.columns}
     kinds = dict(df.dtypes)
     for name in ("is_hotfix", "patch_security"):
@@ -73,6 +78,9 @@ def typed_patches(df: DataFrame) -> DataFrame:
             col = F.col(name)
             flag = col.try_cast("boolean") if kinds[name] == "string" else col.cast("boolean")
             casts[name] = flag.cast("int")
+    if lost:
+        gone = [(F.trim(F.col(c).cast("string")) != "") & x.isNull() for c, x in casts.items()]
+        casts[lost] = sum((F.coalesce(g, F.lit(False)).cast("int") for g in gone), F.lit(0))
     return df.withColumns(casts) if casts else df
 
 
@@ -80,10 +88,10 @@ def read_scored(spark: SparkSession, path: str, trim_headers: bool = True) -> Da
     return typed_patches(read_csv(spark, path, trim_headers))
 
 
-def read_patches(spark: SparkSession, path: str) -> DataFrame | None:
-    """Patches for the gate, or None when the file does not exist."""
+def read_patches(spark: SparkSession, path: str, lost: str | None = None) -> DataFrame | None:
+    """Patches for the gate, or None when the file does not exist; ``lost`` as above."""
     try:
-        return typed_patches(read_csv(spark, path))
+        return typed_patches(read_csv(spark, path), lost)
     except AnalysisException as error:
         if _missing(error):
             return None
@@ -106,26 +114,6 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read back.
-
-    For an input that is costly to derive and read in several passes: it is
-    derived once, each pass reads only its columns, and lost executors recover
-    from the files. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``. Only a local session without it may use a
-    temporary folder.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-        folder = posixpath.join(tempfile.gettempdir(), "fleetgauge")
-    path = posixpath.join(folder, f"stored-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def write_events(events: DataFrame, path: str) -> None:
     """Events partitioned by day, so that date ranges read their days only.
 

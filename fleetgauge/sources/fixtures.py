@@ -79,23 +79,33 @@ def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def regional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per device and version with the sales region of the device's owner.
-
-    Counted before the owners join, so a busy device is a few rows by then.
-    """
-    owners = (
+def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales regions of the devices' owners."""
+    return (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("c_custkey").alias("user_id"), F.col("r_name").alias("region"))
     )
+
+
+def regional_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device events with the region of the owner; null where the owner is not known."""
+    return device_events(spark, sf_dir).join(_owners(spark, sf_dir), "user_id", "left")
+
+
+def regional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per device and version with the sales region of the device's owner.
+
+    Counted before the owners join, so a busy device is a few rows by then. The region is
+    null where the owner is not known.
+    """
     counts = (
         device_events(spark, sf_dir)
         .groupBy("user_id", "device_id", "firmware_version")
         .agg(X.rows().alias("n_events"))
     )
-    return counts.join(owners, "user_id")
+    return counts.join(_owners(spark, sf_dir), "user_id", "left")
 
 
 def _seen_releases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import settings as S
 
-_LOG = "seq bigint, version string"
+_LOG = "seq bigint, version string, at timestamp"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -41,14 +41,22 @@ def load_model(
     raise FileNotFoundError(f"Model not found at {' or '.join(tried)}")
 
 
+def next_version(spark: SparkSession, root: str) -> str:
+    """The first version name, from ``v001`` on, under which no model is saved."""
+    number = 1
+    while _exists(spark, posixpath.join(root, f"v{number:03d}")):
+        number += 1
+    return f"v{number:03d}"
+
+
 def promotions(spark: SparkSession, root: str):
     return spark.read.schema(_LOG).json(posixpath.join(root, "promotions"))
 
 
 def active_version(spark: SparkSession, root: str) -> str | None:
-    """The version promoted last, or None."""
+    """The version promoted last, or None; of two with one number, the later one."""
     try:
-        latest = promotions(spark, root).agg(F.max_by("version", "seq").alias("version"))
+        latest = promotions(spark, root).agg(F.max_by("version", F.struct("seq", "at", "version")).alias("version"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -57,11 +65,16 @@ def active_version(spark: SparkSession, root: str) -> str | None:
 
 
 def promote(spark: SparkSession, root: str, version: str) -> None:
-    """Make a saved version the active one; promote an older one to roll back."""
+    """Make a saved version the active one; promote an older one to roll back.
+
+    Two promoters at one moment may take the same number; the time, then the name, decides.
+    """
     if not _exists(spark, posixpath.join(root, version)):
         raise FileNotFoundError(f"Model not found at {posixpath.join(root, version)}")
     seq = 1
     if active_version(spark, root) is not None:
         seq += promotions(spark, root).agg(F.max("seq")).first()[0]
-    log = spark.range(1).select(F.lit(seq).cast("bigint").alias("seq"), F.lit(version).alias("version"))
+    log = spark.range(1).select(
+        F.lit(seq).cast("bigint").alias("seq"), F.lit(version).alias("version"), F.current_timestamp().alias("at")
+    )
     log.write.mode("append").json(posixpath.join(root, "promotions"))

@@ -44,10 +44,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "ev_region": (
         ["ev"],
         """
-        SELECT ev.*, r_name AS region FROM ev
-        JOIN customer ON ev.user_id = c_custkey
-        JOIN nation ON c_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey""",
+        SELECT ev.*, region FROM ev LEFT JOIN (
+          SELECT c_custkey, r_name AS region FROM customer
+          JOIN nation ON c_nationkey = n_nationkey
+          JOIN region ON n_regionkey = r_regionkey) ON user_id = c_custkey""",
     ),
     "rel": (
         ["ev"],
@@ -308,13 +308,16 @@ SPEARMAN = _spearman(
 
 SQL: dict[str, tuple[list[str], str]] = {
     "required_nulls": (
-        ["ev"],
-        " SELECT "
-        + ", ".join(
-            f"count(*) FILTER ({c} IS NULL) AS {c}"
-            for c in ("device_id", "error_code", '"timestamp"', "firmware_version", "model")
-        )
-        + " FROM ev",
+        ["ev_region", "rel", "tk"],
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (\"{c}\" IS NULL) AS nulls FROM {v}"
+            for t, v, columns in (
+                ("device_events", "ev_region", ["device_id", "error_code", "timestamp", "firmware_version", "model", "region"]),
+                ("firmware_releases", "rel", ["firmware_version", "release_date"]),
+                ("support_tickets", "tk", ["ticket_id", "device_id", "error_code", "created_at", "resolution", "rma_issued"]),
+            )
+            for c in columns
+        ),
     ),
     "executive_kpis": (
         ["ev"],
@@ -663,7 +666,7 @@ SQL: dict[str, tuple[list[str], str]] = {
     "gate": (
         ["scored"],
         f"""
-        SELECT n_patches, n_high_risk, {r("a", 6)} AS avg_risk_score,
+        SELECT n_patches, n_high_risk, 0::BIGINT AS n_unscored, {r("a", 6)} AS avg_risk_score,
           CASE WHEN n_high_risk > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,
           CAST(CASE WHEN n_high_risk > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code
         FROM (SELECT count(*) AS n_patches, count(*) FILTER (high_risk_flag = 1) AS n_high_risk,
@@ -791,10 +794,81 @@ def _needed(names: list[str]) -> list[str]:
                 found.append(view)
     return found
 
+LABELLED = """
+  SELECT *, CAST(CASE WHEN error_rate_per_10k >= (SELECT quantile_cont(error_rate_per_10k, 0.75)
+    FROM patch) THEN 1 ELSE 0 END AS INTEGER) AS label FROM patch"""
+
+
+def share(key: str, seed: int) -> str:
+    """The number in [0, 1) that decides a row's side."""
+    return f"(CAST(('0x' || substr(md5({key} || ':{seed}'), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496)"
+
+
+def _stratified(rows: str) -> str:
+    return f"""SELECT *, s < quantile_cont(s, 0.2) OVER (PARTITION BY label) AS held
+        FROM (SELECT *, {share("firmware_version", 42)} AS s FROM ({rows}))"""
+
+
+def _sides(kind: str, rows: str) -> str:
+    return f"""SELECT '{kind}' AS kind, CASE WHEN held THEN 'test' ELSE 'train' END AS side,
+        count(*) AS n, {big("sum(label)")} AS positives FROM ({rows}) GROUP BY ALL"""
+
+
+PLAIN = f"""SELECT *, {share("firmware_version", 42)} < 0.33 AS held FROM ({LABELLED})"""
+TESTED = f"SELECT count(*) AS n_test, {big('sum(label)')} AS positives"
+RETRAINED = _stratified(
+    f"""SELECT * REPLACE (CASE WHEN release_date >= DATE '2001-01-01' THEN firmware_version || '.NEW'
+        ELSE firmware_version END AS firmware_version) FROM ({LABELLED})"""
+)
+
+# Learners have no SQL form; these hold what is certain about their results.
+SQL |= {
+    "split_sizes": (["patch"], _sides("plain", PLAIN) + " UNION ALL " + _sides("stratified", _stratified(LABELLED))),
+    "history_sample": (
+        ["hist"],
+        f"""SELECT firmware_version || '.NEW' AS firmware_version, release_seq FROM hist
+            ORDER BY {share("firmware_version", 99)}, firmware_version LIMIT 50""",
+    ),
+    **{
+        name: (["patch"], f"{TESTED}, true AS r2_reached FROM ({PLAIN}) WHERE held")
+        for name in ("rf_regressor", "gbt_regressor")
+    },
+    **{
+        name: (["patch"], f"{TESTED}, true AS auc_reached, true AS accuracy_reached FROM ({PLAIN}) WHERE held")
+        for name in ("rf_classifier", "gbt_classifier")
+    },
+    "cross_validation": (
+        ["patch"],
+        f"SELECT count(*) AS n_train, true AS auc_reached, true AS rmse_reached FROM ({PLAIN}) WHERE NOT held",
+    ),
+    "feature_importance": (
+        [],
+        """SELECT unnest(['code_churn_score', 'previous_version_error_rate', 'avg_device_age_days',
+             'is_hotfix', 'patch_security']) AS feature, true AS is_share""",
+    ),
+    "scored_by_model": (
+        ["patch"],
+        f"SELECT firmware_version, true AS is_probability, true AS is_flagged_right FROM ({PLAIN}) WHERE held",
+    ),
+    "retrained": (["patch"], f"{TESTED}, true AS auc_reached FROM ({RETRAINED}) WHERE held"),
+    "feature_matrix": (
+        ["patch"],
+        f"""SELECT firmware_version, [{r("code_churn_score", 6)}, {r("previous_version_error_rate", 6)},
+              {r("avg_device_age_days", 6)}, CAST(CAST(is_hotfix AS INTEGER) AS DOUBLE),
+              CAST(CAST(patch_security AS INTEGER) AS DOUBLE)] AS features FROM patch""",
+    ),
+    "gate_json": (
+        ["scored"],
+        f"""SELECT 'patches.csv' AS input_file, count(*) FILTER (high_risk_flag = 1) AS n_high_risk,
+              {r("avg(risk_score)", 6)} AS avg_risk_score FROM scored""",
+    ),
+    "sql_error_rates": (["ev"], "SELECT firmware_version, count(*) AS error_events FROM ev GROUP BY firmware_version"),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (views, body) in SQL.items():
         ctes = ",\n".join(f"{v} AS ({VIEWS[v][1]})" for v in _needed(views))
-        out[name] = f"WITH {ctes}\n{body}"
+        out[name] = f"WITH {ctes}\n{body}" if ctes else body
     return out

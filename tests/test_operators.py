@@ -123,3 +123,18 @@ def test_blocked_pairs_equal_theta_join(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rows(found.select("a", "b")) == rows(df.join(other, F.col("a") > F.col("b")).select("a", "b"))
+
+
+def test_one_holder_of_every_item(spark):
+    rows = [("all", f"i{k:03d}") for k in range(60)] + [(f"h{k}", f"i{k:03d}") for k in range(60)]
+    found = pair_support(spark.createDataFrame(rows, "holder string, item string"), "holder", "item", 1)
+    assert found.count() == 60 * 59 // 2 and {r.holders for r in found.collect()} == {1}
+
+
+def test_quantiles_of_any_double(spark):
+    values = [float("-inf"), -1e300, -1.0, 0.0, 1e-300, 1.0, 1e300, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = {r.q: r.value for r in quantiles(df, "v", [0.0, 0.125, 0.5, 0.75, 1.0]).collect()}
+    assert found == {0.0: float("-inf"), 0.125: -1e300, 0.5: 1e-300, 0.75: 1e300, 1.0: float("inf")}
+    ranks = {r.v: r.avg_rank for r in average_ranks(df, "v").collect()}
+    assert ranks[float("inf")] == 8.5 and ranks[-1e300] == 2.0

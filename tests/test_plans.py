@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import settings as S
 from fleetgauge.plans import drift, features, kpis, models, scoring, stats
+from fleetgauge.sources import fixtures as V
 
 EVENT = "event_id bigint, device_id string, error_code string, timestamp timestamp_ntz, firmware_version string"
 TICKET = "ticket_id string, device_id string, error_code string, created_at timestamp_ntz, tier int, rma_issued int"
@@ -384,3 +385,46 @@ def test_null_counts_and_shares(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 2)], "c string, n int")
     assert tuple(stats.null_counts(df).first()) == (1, 1)
     assert [(r.c, r.n, r.share) for r in stats.value_counts(df, "c", normalize=True).collect()] == [("a", 2, 1.0)]
+
+
+def test_patches_without_place_keep_their_rows(spark):
+    rows = [("a", "2024-01-01", 1), ("a", "2024-01-05", 2), (None, "2024-01-06", 3), ("a", None, 4), (None, None, None)]
+    df = spark.createDataFrame(rows, "product_line string, d string, release_seq long")
+    df = df.select("product_line", F.to_date("d").alias("release_date"), "release_seq").withColumns(
+        {"firmware_version": F.col("release_seq").cast("string"), "error_rate_per_10k": F.col("release_seq") * 1.0}
+    )
+    found = {r.release_seq: r for r in features.add_previous_release(features.release_gaps(df)).collect()}
+    assert {k: r.days_since_previous_release for k, r in found.items()} == {1: 7.0, 2: 4.0, 3: 7.0, 4: 7.0, None: 7.0}
+    assert {k: r.previous_version for k, r in found.items()} == {1: "9.9.9", 2: "1", 3: "9.9.9", 4: "9.9.9", None: "9.9.9"}
+
+
+def test_consecutive_versions_of_any_form(spark):
+    versions = ["10.9.0", "10.10.0", "10.10", "10.10.0-rc1", "10.10.0.1", "10.10.0.2", "9.1.1", "11.0.0", "beta"]
+    rows = [(v, f"d{i}", f"e{j}") for k, v in enumerate(versions) for i in range(1) for j in range(1 + 2 * (k + 1))]
+    events = spark.createDataFrame(rows, "firmware_version string, device_id string, error_code string")
+    found = kpis.version_regressions(events, consecutive=True, min_change=0.0).collect()
+    order = ["beta", "9.1.1", "10.9.0", "10.10", "10.10.0", "10.10.0.1", "10.10.0.2", "10.10.0-rc1", "11.0.0"]
+    assert {(r.previous_version, r.current_version) for r in found} == set(zip(order, order[1:]))
+
+
+def test_gate_counts_patches_without_score(spark):
+    df = spark.createDataFrame([(0.9, 1), (None, 0), (float("nan"), 1)], "risk_score double, high_risk_flag int")
+    row = scoring.gate(df).first()
+    assert (row.n_unscored, row.verdict, row.exit_code) == (2, "ERROR", 2)
+
+
+def test_nan_scores_are_seen(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan"))], "label int, risk_score double")
+    with pytest.raises(Exception, match="NaN"):
+        models.roc_auc(df).collect()
+    found = stats.cumulative_share(df, "risk_score").collect()
+    assert [r.cumulative_pct for r in found] == [pytest.approx(90.0), pytest.approx(100.0), None]
+    assert found[2].n == 1 and found[2]["rank"] is None
+
+
+def test_no_distinct_count_expands_raw_events(spark, sf):
+    events = V.device_events(spark, sf)
+    for df in (kpis.executive_kpis(events), features.cardinalities(events), kpis.error_code_share(events), kpis.weekly_trend(events), kpis.by_model(events)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan.split("Expand", 1)[1] if "Expand" in plan else plan
+        assert "Aggregate" in below

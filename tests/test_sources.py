@@ -93,17 +93,11 @@ def test_column_helpers(spark):
     assert schemas.rename_key(df, "version", "v").columns[0] == "v"
 
 
-def test_stored_goes_to_the_named_folder(spark):
-    df = files.stored(spark.range(5))
-    assert df.count() == 5
-    assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
-
-
 class FixedModel(Transformer):
     """Gives each row its churn score as the probability of class 1."""
 
     def _transform(self, df):
-        make = F.udf(lambda p: Vectors.dense([1 - p, p]), VectorUDT())
+        make = F.udf(lambda p: Vectors.dense([float("nan")] * 2 if p is None else [1 - p, p]), VectorUDT())
         return df.withColumn("probability", make("code_churn_score"))
 
 
@@ -139,10 +133,46 @@ def test_gate_missing_file_and_columns(spark, tmp_path):
         run_gate(spark, tmp_path, HEADER.replace(",patch_security", "") + "v1,0.5,0.02,1,0\n")
 
 
+def test_gate_decides_nothing_on_lost_cells_and_scores(spark, tmp_path):
+    good = "v1,0.2,0.02,100,0,1\n"
+    for bad in ("v2,abc,0.02,100,0,1\n", "v2,0.1,0.02,100,maybe,1\n", "v2,,0.02,100,0,1\n"):
+        code, reason = run_gate(spark, tmp_path, HEADER + good + bad)
+        assert code == 2 and "1" in reason
+
+
+def test_csv_cells_hold_breaks_and_quotes(spark, tmp_path):
+    path = csv(tmp_path / "q.csv", 'a,b\n"line one\nline two",1\n"said ""no"", left",2\n')
+    assert [tuple(r) for r in files.read_csv(spark, path).collect()] == [("line one\nline two", "1"), ('said "no", left', "2")]
+
+
+def test_boosting_goes_on_past_small_gains(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    df = spark.range(300).select(
+        F.col("id").cast("string").alias("firmware_version"),
+        ((F.col("id") % 97) * 3 + F.col("id") % 7).cast("double").alias("error_rate_per_10k"),
+        *[((F.col("id") * k) % 97 / 97.0).alias(c) for k, c in zip((1, 5, 11, 17, 23), schemas_features())],
+    )
+    monkeypatch.setattr(models, "FIRST_ROUNDS", 12)
+    ours = models.train_gbt_regressor(df, rounds=16, step=0.004).stages[-1]
+    stopping = GBTRegressor(labelCol="error_rate_per_10k", maxIter=16, stepSize=0.004, seed=42, validationIndicatorCol="is_validation")
+    usual = stopping.fit(models.assemble(models.with_validation(df, "firmware_version")))
+    assert ours.getNumTrees > usual.getNumTrees
+
+
+def test_renewal_saves_before_it_promotes(spark, rows, tmp_path):
+    root = str(tmp_path / "models")
+    old = rows.where("code_churn_score < 0.1")
+    new = rows.where("code_churn_score >= 0.1")
+    assert models.renew(old, old, root) is None and registry.active_version(spark, root) is None
+    assert models.renew(old, new, root, rounds=3, step=0.1) == "v001"
+    assert registry.active_version(spark, root) == "v001" and registry.next_version(spark, root) == "v002"
+
+
 @pytest.fixture(scope="module")
 def rows(spark, sf):
     df = V.patch_features(spark, sf).select("firmware_version", "error_rate_per_10k", *schemas_features())
-    return models.add_label(files.stored(df)).cache()
+    return models.add_label(df).cache()
 
 
 def schemas_features():
