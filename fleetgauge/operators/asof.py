@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.expressions import present
 
 
-def minute_cell(ts: Column) -> Column:
-    """Minutes since 1970 of a wall-clock time, without any time zone."""
+#: Nested cells of time: an hour has 3,600 seconds, a second 1,000 milliseconds, and a
+#: millisecond 1,000 different times.
+CELLS = ["_hour", "_second", "_milli"]
+
+
+def time_cells(ts: Column) -> list[Column]:
+    """Hours since 1970, second of the hour and millisecond of the second of a wall-clock
+    time, without any time zone."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    fraction = F.date_format(ts, "SSS").cast("int")
+    return [days * 24 + F.hour(ts), F.minute(ts) * 60 + F.second(ts), fraction]
 
 
 def asof_join(
@@ -32,15 +39,14 @@ def asof_join(
     Pairs are never formed. Both sides shrink to one row per key and time (and
     per set of values on the right), so a key with a great share of all rows, or
     a pile of copies of one row, costs no more than its distinct times. These
-    are cut into minutes: a window runs inside (key, minute), and the newest row
-    of each minute is carried forward over a second window that sees one row per
-    key and minute. Times have microseconds, so a minute holds at most 60
-    million of them.
+    are cut into nested cells, hours, seconds and milliseconds: a window runs inside
+    the innermost, and the newest row of each cell is carried forward inside the next
+    larger one. Times have microseconds, so no window sees more than a few thousand
+    rows, but for the last one, which sees the hours of a key.
 
     The null filters keep the branches alike, so that they share their shuffles.
     """
     on = list(on)
-    cell = [*on, "_minute"]
     match = F.struct(F.col("_t").alias(right_time), tie, *values)
     points = (
         right.groupBy(*on, F.col(right_time).alias("_t"), *values)
@@ -51,28 +57,25 @@ def asof_join(
     timeline = (
         points.withColumn("_probe", F.lit(False))
         .unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
-        .withColumn("_minute", minute_cell(F.col("_t")))
-        .where(present(*cell, "_t"))
+        .withColumns(dict(zip(CELLS, time_cells(F.col("_t")), strict=True)))
+        .where(present(*on, "_t"))
     )
 
-    in_order = W.partitionBy(*cell).orderBy("_t", "_probe", "_tie")
+    in_order = W.partitionBy(*on, *CELLS).orderBy("_t", "_probe", "_tie")
     so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
-    seen = timeline.select(
-        *cell,
-        "_t",
-        "_probe",
-        F.last("_match", ignorenulls=True).over(so_far).alias("_within"),
-        F.lead(F.lit(1)).over(in_order).isNull().alias("_ends"),
-    )
-    earlier = W.partitionBy(*on).orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
-    carried = seen.where("_ends").select(
-        *cell, F.last("_within", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    answers = (
-        seen.where("_probe")
-        .join(carried, cell)
-        .select(*on, F.col("_t").alias(left_time), F.coalesce("_within", "_carried").alias("_match"))
-    )
+    answers = timeline.select(
+        *on, *CELLS, "_t", "_probe", F.last("_match", ignorenulls=True).over(so_far).alias("_match")
+    ).where("_probe")
+    point = F.when(~F.col("_probe"), F.struct("_t", "_tie"))
+    newest = timeline.groupBy(*on, *CELLS).agg(F.max_by("_match", point).alias("_newest"))
+    for depth in range(len(CELLS), 0, -1):
+        outer, own = [*on, *CELLS[: depth - 1]], CELLS[depth - 1]
+        earlier = W.partitionBy(*outer).orderBy(own).rowsBetween(W.unboundedPreceding, -1)
+        carried = newest.select(*outer, own, F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+        answers = answers.join(carried, [*outer, own]).withColumn("_match", F.coalesce("_match", "_carried")).drop("_carried")
+        filled = F.when(F.col("_newest").isNotNull(), F.col(own))
+        newest = newest.groupBy(*outer).agg(F.max_by("_newest", filled).alias("_newest"))
+    answers = answers.select(*on, F.col("_t").alias(left_time), "_match")
     if how == "inner":
         answers = answers.where(F.col("_match").isNotNull())
     matched = left.join(answers, [*on, left_time], how)
