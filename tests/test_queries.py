@@ -59,3 +59,8 @@ def test_building_a_query_runs_no_job(spark, sf):
         assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_gate_reads_orders_once(spark, sf):
+    plan = entry_point.queries()["gate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderkey#") > 0 and plan.count("Relation [o_orderkey") == 1
