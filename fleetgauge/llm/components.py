@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from fleetgauge.llm.shared import remove_shared, write_shared
 
 
+#: Parts into which the links of one node are dealt where they meet its least neighbour.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` with ``least`` of their first node, dealt out by salt."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # no broadcast: the size that Spark knows of is that before the copies
+    return salted.join(every.hint("merge"), ["a", "salt"]).drop("salt")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Link the greater neighbours of each node to its least neighbour."""
     both = links.union(links.select("b", "a")).toDF("a", "b")
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link each node and its lesser neighbours to the least of these; a > b throughout."""
     least = links.groupBy("a").agg(F.min("b").alias("least"))
-    moved = links.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    moved = _with_least(links, least).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least)
 
 

@@ -236,7 +236,9 @@ def near_duplicates(docs: DataFrame, limit: int = 4, doc_id: str = "doc_id", tex
     linked = classes.join(parts, classes.fp == parts.node).select("fp", "first", "component")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     labels = linked.join(least, "component").select("fp", "least")
-    named = classes.join(labels, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written first, so that the join below has two plain exchanges and the rows of a hot
+    # fingerprint can be split
+    named = write_shared(classes.join(labels, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
