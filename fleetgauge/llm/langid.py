@@ -30,6 +30,8 @@ UNKNOWN = "und"
 #: Labelled rows per language that the probabilities are learned from.
 SAMPLE = 500
 ROUNDS = 3
+#: Parts in which a language's rows are ordered before the sample is taken.
+PARTS = 64
 #: Added to each piece's expected count.
 SMOOTHING = 0.01
 #: Chance of a letter that no piece covers, and least chance of a single letter.
@@ -171,9 +173,12 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, chance
 
 def sample_rows(docs: DataFrame, labelled: Column, sample: int) -> DataFrame:
     """(lang, text) of ``sample`` labelled rows per language, chosen by a hash of the id."""
-    ids = docs.where(labelled & F.col("lang").isNotNull()).select("doc_id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    ids = docs.where(labelled & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # first within parts of a language, so that no task orders all of its rows
+    chosen = ids.withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        order = W.partitionBy(*keys).orderBy("hash", "doc_id")
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     few = chosen.select("doc_id", "lang").distinct()
     return docs.join(F.broadcast(few), ["doc_id", "lang"]).select("lang", "text")
 
