@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.llm import jaccard
 from fleetgauge.llm.components import connected_components
 from fleetgauge.llm.shared import write_shared
 
@@ -244,14 +245,6 @@ def near_duplicates(docs: DataFrame, limit: int = 4, doc_id: str = "doc_id", tex
     )
 
 
-def keep_firsts(docs: DataFrame, limit: int = 4) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates: that with the least id.
-
-    Of rows that share this id, one is kept. Rows without an id are kept, as no id could
-    stand for them.
-    """
-    found = near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), limit)
-    firsts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(firsts.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(firsts.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(repeated).union(docs.where("doc_id is null"))
+def keep_firsts(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, as ``jaccard.keep_firsts`` has it."""
+    return jaccard.keep_firsts(docs)

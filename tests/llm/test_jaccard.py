@@ -1,0 +1,63 @@
+import random
+from itertools import combinations
+
+from fleetgauge.llm import jaccard, simhash
+
+DOCS = "doc_id long, text string"
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_firsts(rows):
+    """The ids kept: the least of each group of single links of Jaccard 0.8 by brute force."""
+    sets = [plain_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 10 * len(a & b) >= 8 * len(a | b):
+            old, new = group[j], group[i]
+            group = [new if g == old else g for g in group]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+
+
+def edited(rng, text, share):
+    words = text.split()
+    for k in rng.sample(range(len(words)), int(share * len(words))):
+        words[k] = f"n{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_firsts_equal_brute_force_jaccard(frame, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    line = " ".join(rng.choices(words, k=30))
+    texts = []
+    for _ in range(12):
+        base = " ".join(rng.choices(words, k=rng.choice([8, 60, 150]))) + " " + line
+        texts += [base, base.upper(), *(edited(rng, base, share) for share in (0.01, 0.02, 0.03, 0.04, 0.06) for _ in range(2))]
+    chain = rng.choices(words, k=100)  # each close to the next, the ends far apart
+    texts += [" ".join(chain[k : k + 90]) for k in range(0, 10, 3)] + [" ".join(["x y z", *chain[9:], "new", "words"])]
+    texts += [None, "", " \n", "a b", "A  b", "a b c"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    wanted = plain_firsts(rows)
+    for common, sampled in ((12, 8), (2, 1)):  # the order of the shingles changes nothing
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        monkeypatch.setattr(jaccard, "SAMPLED", sampled)
+        assert sorted(r.doc_id for r in simhash.keep_firsts(frame(rows, DOCS)).collect()) == wanted
+    assert len(wanted) < len(texts) - 30
+
+
+def test_members_of_other_components_are_compared(frame):
+    """Sets that are like a member of a shingle's group, but not like its least set."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(15):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for k in range(0, 60, 4):
+            rows.append((len(rows), " ".join(base[: 120 - k] + [f"e{k}{i}" for i in range(k)])))
+    rng.shuffle(rows)
+    assert sorted(r.doc_id for r in jaccard.keep_firsts(frame(rows, DOCS)).collect()) == plain_firsts(rows)
