@@ -3,10 +3,13 @@
 The CGK embedding reads a string with a random walk: step j writes the current word and
 moves on if a random bit of (j, word) says so. Walks over two strings that differ by few
 edits fall back into step, so that edit distance becomes Hamming distance. Some sampled
-positions of the embedding make the key of a hash table; several walks with several tables
-each reach the recall aimed at. Windows as long as the items, from every word on, are looked
-up, and what is met is checked by the exact edit distance. Windows that cannot pass this
-check, as they hold too few of the items' rare words, are not embedded.
+positions of the embedding make the key of a hash table. Walks with several tables each are
+added until ``RECALL`` of randomly edited copies, at the edit limit, are met, of those with
+replaced, added, missing and all kinds of words each; this is done for each class of lengths. An item longer than ``PIECE`` words is looked for by its pieces: one of
+them has no greater share of the edits than the whole. Windows as long as the pieces, from
+every word on, are looked up, and around what is met the best place of the whole item is found
+by the exact edit distance. Windows that cannot pass, as they hold too few of the pieces' rare
+words, are not embedded.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,15 @@ from fleetgauge.llm.shared import add_columns
 MIN_WORDS = 5
 #: Share of an item's words that may be replaced, added or missing.
 EDITS = 0.2
+#: Share of the copies at the edit limit that the tables of a class of lengths meet, and the
+#: edited copies on which this is measured.
+RECALL, COPIES = 0.99, 800
+#: The least number of walks, the tables of each and the steps that a table samples.
 WALKS, TABLES, SAMPLED = 8, 6, 3
+#: Walks of a class at most; more are not tried if the copies still are not met.
+MOST_WALKS = 200
+#: Words of a piece at most.
+PIECE = 60
 #: Items whose lengths differ by less than this factor share a window size.
 CLASS = 1.2
 #: Words of items that are looked for in one pass over the documents.
@@ -75,6 +87,31 @@ def edit_distance(item: list[int], window: list[int]) -> tuple[int, int]:
     return best
 
 
+def start_distances(item: list[int], words: list[int]) -> list[int]:
+    """For each place of ``words``, the least edit distance between ``item`` and the words
+    from there on, up to any end: the columns of ``edit_distance`` backwards, with a free end."""
+    n = len(item)
+    masks: dict[int, int] = {}
+    for i, word in enumerate(reversed(item)):
+        masks[word] = masks.get(word, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, out = full, 0, n, []
+    for word in reversed(words):
+        same = masks.get(word, 0)
+        zero = ((((same & up) + up) ^ up) | same | down) & full
+        gain = (down | ~(zero | up)) & full
+        loss = zero & up
+        if gain & top:
+            score += 1
+        elif loss & top:
+            score -= 1
+        gain, loss = gain << 1 & full, loss << 1 & full
+        up = (loss | ~(zero | gain)) & full
+        down = gain & zero
+        out.append(score)
+    return out[::-1]
+
+
 class _Symbols(dict):
     """Words of items by number; any other word is 0, which no item holds."""
 
@@ -83,104 +120,159 @@ class _Symbols(dict):
 
 
 class Items:
-    """The items of one pass: symbols of their words, window classes and hash tables."""
+    """The items of one pass: symbols of their words, pieces, window classes and hash tables.
+
+    ``walks`` has the number of walks of each class, where it was found before.
+    """
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], seed: int = 11):
+    def __init__(self, items: list[tuple[int, list[bytes]]], walks: list[int] | None = None, seed: int = 11):
         held = Counter(w for _, words in items for w in set(words))
         self.symbols = _Symbols((w, i + 1) for i, w in enumerate(sorted(held)))
         self.pad = len(self.symbols) + 1
         self.ids = [i for i, _ in items]
         self.words = [[self.symbols[w] for w in words] for _, words in items]
+        self.pieces, self.piece_of = [], []  # words; (item, first word)
+        for i, words in enumerate(self.words):
+            borders = np.linspace(0, len(words), -(-len(words) // PIECE) + 1).astype(int).tolist()
+            for at, end in pairwise(borders):
+                self.pieces.append(words[at:end])
+                self.piece_of.append((i, at))
         rng = np.random.default_rng(seed)
+        self.codes = rng.integers(0, 1 << 64, self.pad + 1, dtype=np.uint64)
         spread = np.zeros(self.pad + 1, np.int64)
         for w, n in held.items():
             spread[self.symbols[w]] = n
-        self.classes, left = [], sorted(range(len(items)), key=lambda i: len(self.words[i]))
+        self.classes, left = [], sorted(range(len(self.pieces)), key=lambda i: len(self.pieces[i]))
         while left:
-            shortest = len(self.words[left[0]])
-            own = [i for i in left if len(self.words[i]) < max(shortest + 1, CLASS * shortest)]
-            self.classes.append(self._class(own, spread, rng))
+            shortest = len(self.pieces[left[0]])
+            own = [i for i in left if len(self.pieces[i]) < max(shortest + 1, CLASS * shortest)]
+            number = len(self.classes)
+            self.classes.append(self._class(own, spread, walks and walks[number], [seed, number]))
             left = left[len(own) :]
 
-    def _class(self, own: list[int], spread: np.ndarray, rng: np.random.Generator) -> dict:
-        """Rare words, walks and tables of the items ``own``.
+    def _class(self, own: list[int], spread: np.ndarray, walks: int | None, seed: list[int]) -> dict:
+        """Rare words, walks and tables of the pieces ``own``.
 
-        Of an item's ``edits + few`` rarest places, ``few`` at least are met by words of a
+        Of a piece's ``edits + few`` rarest places, ``few`` at least are met by words of a
         window that passes.
         """
-        lengths = [len(self.words[i]) for i in own]
+        lengths = [len(self.pieces[i]) for i in own]
         rare = np.zeros(self.pad + 1, bool)
         few = max(1, min(lengths) // 5)
         for i in own:
-            places = sorted(self.words[i], key=lambda s: spread[s])
+            places = sorted(self.pieces[i], key=lambda s: spread[s])
             rare[places[: edits_allowed(len(places)) + few]] = True
-        steps = 2 * min(lengths)
-        walks = []
-        flat = np.concatenate([[*self.words[i], self.pad] for i in own])
+        out = {
+            "least": min(lengths), "most": max(lengths), "few": few, "rare": rare, "walks": [],
+            "members": np.bincount(np.concatenate([self.pieces[i] for i in own]), minlength=self.pad + 1) > 0,
+        }
+        flat = np.concatenate([[*self.pieces[i], self.pad] for i in own])
         ends = np.cumsum([n + 1 for n in lengths]) - 1
-        starts = ends - lengths
-        for _ in range(WALKS):
-            bits = rng.integers(0, 1 << 63, (-(-steps // 32), self.pad + 1), dtype=np.int64)
+        starts, steps = ends - lengths, 2 * min(lengths)
+        tried = None if walks else self._copies(own, out, np.random.default_rng([*seed, 1]))
+        rng = np.random.default_rng([*seed, 2])
+        while len(out["walks"]) < (walks or WALKS) or (tried and len(out["walks"]) < MOST_WALKS and tried[3].reshape(-1, 4).mean(axis=0).min() < RECALL):
+            bits = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             at = np.stack([np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)])
             keys = self.embed(flat, starts, ends, bits, at)
             order = np.argsort(keys, axis=0, kind="stable")
-            walks.append((bits, at, [(keys[order[:, t], t], np.array(own)[order[:, t]]) for t in range(TABLES)]))
-        return {
-            "least": min(lengths), "most": max(lengths), "few": few, "rare": rare, "walks": walks,
-            "members": np.bincount(np.concatenate([self.words[i] for i in own]), minlength=self.pad + 1) > 0,
-        }
-
-    @staticmethod
-    def embed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Keys (windows, tables): the words that the walk writes at the sampled steps."""
+            out["walks"].append((bits, at, [(keys[order[:, t], t], np.array(own)[order[:, t]]) for t in range(TABLES)]))
+            if tried:
+                copies, stops, of, met = tried
+                for start, piece in self._search_class(out, copies, np.repeat(stops, np.diff(np.concatenate([[-1], stops]))), out["walks"][-1:]):
+                    copy = np.searchsorted(stops, start)
+                    met[copy] |= of[copy] == piece
+        return out
+
+    def _copies(self, own: list[int], c: dict, rng: np.random.Generator) -> tuple:
+        """(words, their ends, pieces, whether met) of copies of the pieces ``own`` with as many
+        random edits as are allowed, each before words that no item holds. By turns, words are replaced, added,
+        missing, or all of it."""
+        of, texts = rng.choice(own, COPIES), []
+        for turn, i in enumerate(of):
+            words = list(self.pieces[i])
+            for _ in range(edits_allowed(len(words))):
+                kind = turn % 4 if turn % 4 < 3 else int(rng.integers(3))
+                at, word = int(rng.integers(len(words))), int(rng.integers(self.pad) * rng.integers(2))
+                words[at : at + (kind != 1)] = [word] * (kind != 2)
+            texts.append([*words, *[0] * (2 * c["most"]), self.pad])
+        return np.concatenate(texts).astype(np.int64), np.cumsum([len(t) for t in texts]) - 1, of, np.zeros(COPIES, bool)
+
+    def embed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys (windows, tables): the words that the walk writes at the sampled steps. A step
+        moves on by the highest bit of the word's code times the step's odd number."""
         here, keys = starts.copy(), np.zeros((len(starts), len(at)), np.int64)
         for j in range(int(at.max()) + 1):
             word = flat[here]
             for t in np.flatnonzero((at == j).any(axis=1)):
                 keys[:, t] = (keys[:, t] * 0x5851F42D4C957F2D + word + 1) ^ (keys[:, t] >> 29)
-            here = np.minimum(here + ((bits[j // 32, word] >> (j % 32)) & 1), ends)
+            here = np.minimum(here + (self.codes[word] * bits[j] >> np.uint64(63)).astype(np.int64), ends)
         return keys
 
     def search(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of the windows that meet an item in a table."""
+        """(start, piece) of the windows that meet a piece in a table."""
         met: set[tuple[int, int]] = set()
-        n = len(flat)
         for c in self.classes:
-            # a passing window starts with a word of an item and holds `few` rare ones
-            wide = min(c["most"] + edits_allowed(c["most"]), n)
-            scarce = np.zeros(n + wide, np.int32)
-            np.cumsum(c["rare"][flat], out=scarce[:n])
-            scarce[n:] = scarce[n - 1]
-            before = np.concatenate([scarce[:1] * 0, scarce[: n - 1]])
-            starts = np.flatnonzero(scarce[wide - 1 : wide - 1 + n] - before >= c["few"])
-            starts = starts[c["members"][flat[starts]]]
-            if not len(starts):
-                continue
-            for bits, at, tables in c["walks"]:
-                keys = self.embed(flat, starts, ends[starts], bits, at)
-                for t, (own, items) in enumerate(tables):
-                    first, last = np.searchsorted(own, keys[:, t], "left"), np.searchsorted(own, keys[:, t], "right")
-                    for k in np.flatnonzero(last > first):
-                        met.update((int(starts[k]), int(i)) for i in items[first[k] : last[k]])
+            met |= self._search_class(c, flat, ends, c["walks"])
         return met
 
+    def _search_class(self, c: dict, flat: np.ndarray, ends: np.ndarray, walks: list) -> set[tuple[int, int]]:
+        met: set[tuple[int, int]] = set()
+        n = len(flat)
+        # a passing window starts with a word of a piece and holds `few` rare ones
+        wide = min(c["most"] + edits_allowed(c["most"]), n)
+        scarce = np.zeros(n + wide, np.int32)
+        np.cumsum(c["rare"][flat], out=scarce[:n])
+        scarce[n:] = scarce[n - 1]
+        before = np.concatenate([scarce[:1] * 0, scarce[: n - 1]])
+        starts = np.flatnonzero(scarce[wide - 1 : wide - 1 + n] - before >= c["few"])
+        starts = starts[c["members"][flat[starts]]]
+        for bits, at, tables in walks if len(starts) else []:
+            keys = self.embed(flat, starts, ends[starts], bits, at)
+            for t, (own, pieces) in enumerate(tables):
+                first, last = np.searchsorted(own, keys[:, t], "left"), np.searchsorted(own, keys[:, t], "right")
+                for k in np.flatnonzero(last > first):
+                    met.update((int(starts[k]), int(i)) for i in pieces[first[k] : last[k]])
+        return met
+
+
+def _regions(met: set[tuple[int, int]], items: Items, stops: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
+    """For each document and item, the stretches in which the item may lie."""
+    out: dict[tuple[int, int], list[list[int]]] = {}
+    spans = []
+    for start, piece in met:
+        i, at = items.piece_of[piece]
+        d, n = int(np.searchsorted(stops, start)), len(items.words[i])
+        # up to its edits, words are missing or added before the piece, and again in it
+        spare = 2 * edits_allowed(n)
+        spans.append((d, i, max(start - at - spare, int(stops[d - 1]) + 1 if d else 0), min(start - at + n + spare, int(stops[d]))))
+    for d, i, a, b in sorted(spans):
+        own = out.setdefault((d, i), [])
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], b)
+        else:
+            own.append([a, b])
+    return out
+
 
 def _matches(docs: list[list[bytes]], items: Items) -> Iterator[tuple[int, dict]]:
-    """(document, match): the best place of each item in each document, if near enough."""
+    """(document, match): the best place of each item in each document, if near enough. Of
+    places that need as few edits, it is the first that begins with a word of the item."""
     get = items.symbols.__getitem__
     flat = np.concatenate([np.array([*map(get, words), items.pad], np.int32) for words in docs])
     stops = np.cumsum([len(words) + 1 for words in docs]) - 1
     ends = np.repeat(stops, np.diff(np.concatenate([[-1], stops])))
-    best: dict[tuple[int, int], tuple] = {}
-    for start, i in sorted(items.search(flat, ends)):
+    for (d, i), stretches in sorted(_regions(items.search(flat, ends), items, stops).items()):
         item = items.words[i]
-        allowed = edits_allowed(len(item))
-        d = int(np.searchsorted(stops, start))
-        distance, length = edit_distance(item, flat[start : min(start + len(item) + allowed, stops[d])].tolist())
-        if distance < best.get((d, i), (allowed + 1,))[0]:
-            best[d, i] = (distance, len(item), start - (int(stops[d - 1]) + 1 if d else 0), length)
-    for (d, i), found in sorted(best.items()):
-        yield d, dict(zip(FIELDS, (items.ids[i], *found), strict=True))
+        own, least, place = set(item), edits_allowed(len(item)) + 1, None
+        for a, b in stretches:
+            words = flat[a:b].tolist()
+            for k, distance in enumerate(start_distances(item, words)):
+                if distance < least and words[k] in own:
+                    least, place = distance, a + k
+        if place is not None:
+            distance, length = edit_distance(item, flat[place : min(place + len(item) + least, int(stops[d]))].tolist())
+            yield d, dict(zip(FIELDS, (items.ids[i], distance, len(item), place - (int(stops[d - 1]) + 1 if d else 0), length), strict=True))
 
 
 FIELDS = ("item_id", "distance", "item_words", "start_word", "n_words")
@@ -200,7 +292,9 @@ def add_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
     for k in range(passes):
         some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         items = [(r[0], words_of(r[1])) for r in some]
-        sent = docs.sparkSession.sparkContext.broadcast([x for x in items if len(x[1]) >= MIN_WORDS])
+        items = [x for x in items if len(x[1]) >= MIN_WORDS]
+        walks = [len(c["walks"]) for c in Items(items).classes]
+        sent = docs.sparkSession.sparkContext.broadcast((items, walks))
         rows = add_columns(rows, column, _start(sent), f"passages_{k} {MATCHES_DDL}")
     found = F.concat(*[f"passages_{k}" for k in range(passes)])
     return rows.select(*docs.columns, found.alias("passages"))
@@ -208,7 +302,7 @@ def add_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
 
 def _start(sent):
     def start():
-        items = Items(sent.value)
+        items = Items(*sent.value)
 
         def work(column: pa.Array) -> list[pa.Array]:
             docs = [words_of(t) for t in column.to_pylist()]
