@@ -275,10 +275,25 @@ def predict_languages(docs: DataFrame, vocabulary: str | None = None, sample: in
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def with_letters(rows: DataFrame) -> DataFrame:
+    """The rows whose text has a word to identify."""
+
+    def start():
+        return lambda column: [pa.array([bool(words_of(t)) for t in column.to_pylist()], pa.bool_())]
+
+    return add_columns(rows, "text", start, "has_letters boolean").where("has_letters")
+
+
 def keep_identified(docs: DataFrame, vocabulary: str | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least`` at least."""
+    """The rows of ``docs`` whose language is found with a score of ``least`` at least.
+
+    Where no language can be learned, as no row outside the held-out fold has one, the rows
+    whose text has letters stay.
+    """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     languages, chance = learn(docs.select("doc_id", "text", "lang"), fold(4) != 2, path)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    if not languages:
+        return with_letters(rows).select("row.*")
     found = identify(rows, languages, chance, path)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

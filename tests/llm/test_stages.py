@@ -1,4 +1,11 @@
-from fleetgauge.llm import simhash
+from fleetgauge.llm import langid, simhash
+
+
+def test_unlabelled_documents_with_letters_stay(frame):
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, f"some clean words {i}", None) for i in range(20)] + [(20, "123 ...", None), (21, "", None), (22, None, None)]
+    kept = langid.keep_identified(frame(rows, schema))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20)) and kept.columns == ["doc_id", "text", "lang"]
 
 
 def test_rows_that_share_an_id_stand_for_themselves(frame):
