@@ -5,7 +5,8 @@ moves on if a random bit of (j, word) says so. Walks over two strings that diffe
 edits fall back into step, so that edit distance becomes Hamming distance. Some sampled
 positions of the embedding make the key of a hash table. Walks with several tables each are
 added until ``RECALL`` of randomly edited copies, at the edit limit, are met, of those with
-replaced, added, missing and all kinds of words each; this is done for each class of lengths. An item longer than ``PIECE`` words is looked for by its pieces: one of
+replaced, added, missing and all kinds of words each; this is done for each
+class of lengths. An item longer than ``PIECE`` words is looked for by its pieces: one of
 them has no greater share of the edits than the whole. Windows as long as the pieces, from
 every word on, are looked up, and around what is met the best place of the whole item is found
 by the exact edit distance. Windows that cannot pass, as they hold too few of the pieces' rare
@@ -35,14 +36,17 @@ EDITS = 0.2
 RECALL, COPIES = 0.99, 800
 #: The least number of walks, the tables of each and the steps that a table samples.
 WALKS, TABLES, SAMPLED = 8, 6, 3
-#: Walks of a class at most; more are not tried if the copies still are not met.
+#: Walks of a class at most. Where the copies still are not met, rare words alone choose the
+#: pieces that are verified around a window, which misses none.
 MOST_WALKS = 200
+#: Keys that a task holds at a time.
+KEYS = 2_000_000
 #: Words of a piece at most.
 PIECE = 60
 #: Items whose lengths differ by less than this factor share a window size.
 CLASS = 1.2
 #: Words of items that are looked for in one pass over the documents.
-PASS_WORDS = 2_000_000
+PASS_WORDS = 500_000
 
 _BLANK = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
@@ -120,12 +124,9 @@ class _Symbols(dict):
 
 
 class Items:
-    """The items of one pass: symbols of their words, pieces, window classes and hash tables.
+    """The items of one pass: symbols of their words, pieces, window classes and hash tables."""
 
-    ``walks`` has the number of walks of each class, where it was found before.
-    """
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], walks: list[int] | None = None, seed: int = 11):
+    def __init__(self, items: list[tuple[int, list[bytes]]], seed: int = 11):
         held = Counter(w for _, words in items for w in set(words))
         self.symbols = _Symbols((w, i + 1) for i, w in enumerate(sorted(held)))
         self.pad = len(self.symbols) + 1
@@ -146,43 +147,51 @@ class Items:
         while left:
             shortest = len(self.pieces[left[0]])
             own = [i for i in left if len(self.pieces[i]) < max(shortest + 1, CLASS * shortest)]
-            number = len(self.classes)
-            self.classes.append(self._class(own, spread, walks and walks[number], [seed, number]))
+            self.classes.append(self._class(own, spread, [seed, len(self.classes)]))
             left = left[len(own) :]
 
-    def _class(self, own: list[int], spread: np.ndarray, walks: int | None, seed: list[int]) -> dict:
+    def _class(self, own: list[int], spread: np.ndarray, seed: list[int]) -> dict:
         """Rare words, walks and tables of the pieces ``own``.
 
         Of a piece's ``edits + few`` rarest places, ``few`` at least are met by words of a
         window that passes.
         """
         lengths = [len(self.pieces[i]) for i in own]
-        rare = np.zeros(self.pad + 1, bool)
+        rare: dict[int, set[int]] = {}  # the pieces of a word that is rare in them
         few = max(1, min(lengths) // 5)
         for i in own:
             places = sorted(self.pieces[i], key=lambda s: spread[s])
-            rare[places[: edits_allowed(len(places)) + few]] = True
+            for word in places[: edits_allowed(len(places)) + few]:
+                rare.setdefault(word, set()).add(i)
         out = {
-            "least": min(lengths), "most": max(lengths), "few": few, "rare": rare, "walks": [],
+            "least": min(lengths), "most": max(lengths), "few": few,
+            "rare": np.bincount(list(rare), minlength=self.pad + 1) > 0,
             "members": np.bincount(np.concatenate([self.pieces[i] for i in own]), minlength=self.pad + 1) > 0,
         }
         flat = np.concatenate([[*self.pieces[i], self.pad] for i in own])
         ends = np.cumsum([n + 1 for n in lengths]) - 1
         starts, steps = ends - lengths, 2 * min(lengths)
-        tried = None if walks else self._copies(own, out, np.random.default_rng([*seed, 1]))
-        rng = np.random.default_rng([*seed, 2])
-        while len(out["walks"]) < (walks or WALKS) or (tried and len(out["walks"]) < MOST_WALKS and tried[3].reshape(-1, 4).mean(axis=0).min() < RECALL):
+        copies, stops, of, met = self._copies(own, out, np.random.default_rng([*seed, 1]))
+        rows = np.repeat(stops, np.diff(np.concatenate([[-1], stops])))
+        rng, walks = np.random.default_rng([*seed, 2]), []
+        while len(walks) < WALKS or (len(walks) < MOST_WALKS and met.reshape(-1, 4).mean(axis=0).min() < RECALL):
             bits = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             at = np.stack([np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)])
-            keys = self.embed(flat, starts, ends, bits, at)
-            order = np.argsort(keys, axis=0, kind="stable")
-            out["walks"].append((bits, at, [(keys[order[:, t], t], np.array(own)[order[:, t]]) for t in range(TABLES)]))
-            if tried:
-                copies, stops, of, met = tried
-                for start, piece in self._search_class(out, copies, np.repeat(stops, np.diff(np.concatenate([[-1], stops]))), out["walks"][-1:]):
-                    copy = np.searchsorted(stops, start)
-                    met[copy] |= of[copy] == piece
-        return out
+            walks.append((bits, at))
+            for start, piece in self._search_class(out | self._tables(walks[-1:], own, flat, starts, ends), copies, rows):
+                copy = np.searchsorted(stops, start)
+                met[copy] |= of[copy] == piece
+        if met.reshape(-1, 4).mean(axis=0).min() < RECALL:
+            return out | {"pieces_of": rare}
+        return out | self._tables(walks, own, flat, starts, ends)
+
+    def _tables(self, walks: list, own: list[int], flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
+        """All tables of ``walks`` as one sorted array of keys and the piece of each."""
+        bits, at = (np.stack(x) for x in zip(*walks, strict=True))
+        keys = self.embed(flat, starts, ends, bits, at)
+        order = np.argsort(keys, axis=None, kind="stable")
+        pieces = np.tile(np.array(own, np.int32), len(keys))
+        return {"walks": (bits, at), "keys": keys.ravel()[order], "pieces": pieces[order]}
 
     def _copies(self, own: list[int], c: dict, rng: np.random.Generator) -> tuple:
         """(words, their ends, pieces, whether met) of copies of the pieces ``own`` with as many
@@ -199,24 +208,30 @@ class Items:
         return np.concatenate(texts).astype(np.int64), np.cumsum([len(t) for t in texts]) - 1, of, np.zeros(COPIES, bool)
 
     def embed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Keys (windows, tables): the words that the walk writes at the sampled steps. A step
-        moves on by the highest bit of the word's code times the step's odd number."""
-        here, keys = starts.copy(), np.zeros((len(starts), len(at)), np.int64)
-        for j in range(int(at.max()) + 1):
+        """Keys (walks x tables, windows): the words that a walk writes at the sampled steps of
+        a table, and its number. A step moves on by the highest bit of the word's code times
+        the step's odd number. ``bits`` is (walks, steps), ``at`` (walks, tables, samples)."""
+        tables, last = at.shape[1], int(at.max())
+        sampled = at.reshape(-1, at.shape[2])
+        here = np.repeat(starts[None], len(bits), axis=0)
+        keys = np.zeros((len(sampled), len(starts)), np.int64)
+        for j in range(last + 1):
             word = flat[here]
-            for t in np.flatnonzero((at == j).any(axis=1)):
-                keys[:, t] = (keys[:, t] * 0x5851F42D4C957F2D + word + 1) ^ (keys[:, t] >> 29)
-            here = np.minimum(here + (self.codes[word] * bits[j] >> np.uint64(63)).astype(np.int64), ends)
-        return keys
+            own = np.flatnonzero((sampled == j).any(axis=1))
+            if len(own):
+                keys[own] = (keys[own] * 0x5851F42D4C957F2D + word[own // tables] + 1) ^ (keys[own] >> 29)
+            if j < last:
+                here = np.minimum(here + (self.codes[word] * bits[:, j, None] >> np.uint64(63)).astype(np.int64), ends)
+        return keys + (np.arange(len(keys), dtype=np.int64) * 0x1E3779B97F4A7C15)[:, None]
 
     def search(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(start, piece) of the windows that meet a piece in a table."""
         met: set[tuple[int, int]] = set()
         for c in self.classes:
-            met |= self._search_class(c, flat, ends, c["walks"])
+            met |= self._search_class(c, flat, ends)
         return met
 
-    def _search_class(self, c: dict, flat: np.ndarray, ends: np.ndarray, walks: list) -> set[tuple[int, int]]:
+    def _search_class(self, c: dict, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         met: set[tuple[int, int]] = set()
         n = len(flat)
         # a passing window starts with a word of a piece and holds `few` rare ones
@@ -227,12 +242,23 @@ class Items:
         before = np.concatenate([scarce[:1] * 0, scarce[: n - 1]])
         starts = np.flatnonzero(scarce[wide - 1 : wide - 1 + n] - before >= c["few"])
         starts = starts[c["members"][flat[starts]]]
-        for bits, at, tables in walks if len(starts) else []:
-            keys = self.embed(flat, starts, ends[starts], bits, at)
-            for t, (own, pieces) in enumerate(tables):
-                first, last = np.searchsorted(own, keys[:, t], "left"), np.searchsorted(own, keys[:, t], "right")
-                for k in np.flatnonzero(last > first):
-                    met.update((int(starts[k]), int(i)) for i in pieces[first[k] : last[k]])
+        if "walks" not in c:
+            for start in starts.tolist():
+                words = flat[start : min(start + wide, int(ends[start]))].tolist()
+                held = Counter(i for w in words for i in c["pieces_of"].get(w, ()))
+                met.update((start, i) for i, k in held.items() if k >= c["few"])
+            return met
+        bits, at = c["walks"]
+        block = max(1, KEYS // (len(bits) * at.shape[1]))
+        for k in range(0, len(starts), block):
+            some = starts[k : k + block]
+            keys = self.embed(flat, some, ends[some], bits, at)
+            first = np.searchsorted(c["keys"], keys, "left")
+            # most keys are in no table
+            hit = np.argwhere(c["keys"][np.minimum(first, len(c["keys"]) - 1)] == keys)
+            for row, col in hit.tolist():
+                last = np.searchsorted(c["keys"], keys[row, col], "right")
+                met.update((int(some[col]), int(i)) for i in c["pieces"][first[row, col] : last])
         return met
 
 
@@ -293,8 +319,7 @@ def add_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
         some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         items = [(r[0], words_of(r[1])) for r in some]
         items = [x for x in items if len(x[1]) >= MIN_WORDS]
-        walks = [len(c["walks"]) for c in Items(items).classes]
-        sent = docs.sparkSession.sparkContext.broadcast((items, walks))
+        sent = docs.sparkSession.sparkContext.broadcast(Items(items))
         rows = add_columns(rows, column, _start(sent), f"passages_{k} {MATCHES_DDL}")
     found = F.concat(*[f"passages_{k}" for k in range(passes)])
     return rows.select(*docs.columns, found.alias("passages"))
@@ -302,7 +327,7 @@ def add_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
 
 def _start(sent):
     def start():
-        items = Items(*sent.value)
+        items = sent.value
 
         def work(column: pa.Array) -> list[pa.Array]:
             docs = [words_of(t) for t in column.to_pylist()]
