@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import jaccard
 from fleetgauge.llm.components import connected_components
-from fleetgauge.llm.shared import write_shared
+from fleetgauge.llm.shared import add_columns, write_shared
 
 BITS = 64
 SEED = 42
@@ -222,6 +221,15 @@ def links(classes: DataFrame, limit: int = 4) -> DataFrame:
     )
 
 
+def _least_of_components(classes: DataFrame, limit: int) -> DataFrame:
+    """(fp, least): the least ``first`` of all classes that can be reached from ``fp``."""
+    parts = connected_components(links(classes, limit))
+    linked = classes.join(parts, classes.fp == parts.node).select("fp", "first", "component")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    labels = linked.join(least, "component").select("fp", "least")
+    return classes.join(labels, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of every row of ``docs``.
 
@@ -233,18 +241,29 @@ def near_duplicates(docs: DataFrame, limit: int = 4, doc_id: str = "doc_id", tex
     """
     rows = write_shared(fingerprints(docs, doc_id, text))
     classes = write_shared(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    parts = connected_components(links(classes, limit))
-    linked = classes.join(parts, classes.fp == parts.node).select("fp", "first", "component")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    labels = linked.join(least, "component").select("fp", "least")
     # written first, so that the join below has two plain exchanges and the rows of a hot
     # fingerprint can be split
-    named = write_shared(classes.join(labels, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    named = write_shared(_least_of_components(classes, limit).withColumnRenamed("least", "component_id"))
     return rows.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_firsts(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, as ``jaccard.keep_firsts`` has it."""
-    return jaccard.keep_firsts(docs)
+def keep_firsts(docs: DataFrame, limit: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that of the least id, and of rows
+    that share it the first one met.
+
+    Groups are those of ``near_duplicates``. A row without an id stays only where no row of
+    its group has one. All columns are kept, whatever their names. No rows give no rows.
+    """
+
+    def start():
+        return lambda texts: [pa.array([fingerprint(t.as_py()) for t in texts.cast(pa.large_binary())], pa.int64())]
+
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    marked = add_columns(whole, "text", start, "fp long").select("row", "fp", F.monotonically_increasing_id().alias("place"))
+    rows = write_shared(marked)  # so that places stay what they are
+    first = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("place"))).alias("first")
+    classes = write_shared(rows.groupBy("fp").agg(first))
+    kept = _least_of_components(classes, limit).select("least.place").distinct()
+    return rows.join(kept, "place", "left_semi").select("row.*")

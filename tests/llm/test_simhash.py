@@ -84,7 +84,10 @@ def test_empty_null_and_repeated(frame):
     found = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(frame(rows, schema)).collect())
     assert found == [(-1, -1), (-1, 7), (3, 3), (7, 7), (7, 7)]
     kept = sorted((r.doc_id or -1) for r in simhash.keep_firsts(frame(rows, schema)).collect())
-    assert kept == [-1, -1, 3, 7]
+    assert kept == [-1, 3, 7]  # the first row without an id is a copy of that of 7
+    clash = [(1, "a b c d", 5, 6, "x"), (2, "a b c d", 7, 8, "y")]
+    kept = simhash.keep_firsts(frame(clash, "doc_id long, text string, fp int, place int, row string"))
+    assert [tuple(r) for r in kept.collect()] == [clash[0]]
 
 
 def test_components_of_a_path_and_a_hub(frame):

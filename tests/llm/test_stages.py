@@ -10,8 +10,8 @@ def test_unlabelled_documents_with_letters_stay(frame):
 
 def test_rows_that_share_an_id_stand_for_themselves(frame):
     first, second = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
-    rows = [(1, first), (1, second), (1, second), (0, "x " + first), (2, second + " y")]
+    rows = [(1, first), (1, second), (1, second), (0, first.upper()), (2, second + " ")]
     kept = simhash.keep_firsts(frame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == [(0, "x " + first), (1, second)]
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, first.upper()), (1, second)]
     kept = simhash.keep_firsts(frame([(1, first), (1, second), (1, second)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, first), (1, second)]
