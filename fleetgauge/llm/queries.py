@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetgauge.llm import bpe, chats, decontaminate, embeddings, langid, licenses, lm, pii, simhash, urls
+from fleetgauge.llm import bpe, centroids, chats, decontaminate, embeddings, exact, langid, lexical, licenses, lm, pii, simhash, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,20 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"))
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, folder, "embeddings"))
+
+
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = exact.find_copies(docs.withColumn("text_sha256", exact.digest(F.col("text"))))
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -68,8 +82,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chats": op8_chats,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
+    "op11_lexical": op11_lexical,
+    "op12_centroids": op12_centroids,
+    "op13_exact": op13_exact,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The others can't be expressed in SQL; the tests hold them against brute force.
-ORACLES: dict[str, str] = {"op8_chats": chats.ORACLE, "op10_urls": urls.ORACLE}
+ORACLES: dict[str, str] = {
+    "op8_chats": chats.ORACLE,
+    "op10_urls": urls.ORACLE,
+    "op11_lexical": lexical.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_exact": exact.ORACLE,
+}
