@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
+from fleetgauge.operators import boosting
 from fleetgauge.plans import drift, features, kpis, models, scoring, stats
 from fleetgauge.schemas import SCHEMAS, required_nulls
 from fleetgauge.sources import files
@@ -276,13 +277,13 @@ def cross_validation(spark: SparkSession, d: str) -> DataFrame:
     The RMSE that stands for R squared is taken from the spread of the label.
     """
     fit, _ = _train_test(spark, d)
-    auc = models.cross_validate(models.gbt_classifier(), fit, models.auc_evaluator(), "firmware_version")
-    rmse = models.cross_validate(models.gbt_regressor(), fit, models.rmse_evaluator(), "firmware_version")
+    mean = lambda label, loss: models.cross_validate_boosted(fit, "firmware_version", label, loss).agg(F.avg("metric").alias("m"))
+    auc, rmse = mean("label", boosting.LOGISTIC), mean("error_rate_per_10k", boosting.SQUARED)
     most = F.stddev_pop("error_rate_per_10k") * (1 - LEAST_R2) ** 0.5
     return fit.agg(
         F.count(F.lit(1)).alias("n_train"),
-        F.lit(float(auc.avgMetrics[0]) >= LEAST_AUC).alias("auc_reached"),
-        (F.lit(float(rmse.avgMetrics[0])) <= most).alias("rmse_reached"),
+        _reaches(auc, "m", LEAST_AUC).alias("auc_reached"),
+        (rmse.scalar() <= most).alias("rmse_reached"),
     )
 
 

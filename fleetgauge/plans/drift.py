@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
+from fleetgauge.operators.sampling import bottom_k
 
 
 def sample_n(df: DataFrame, key: str, n: int = 50, seed: int = 99) -> DataFrame:
     """``n`` rows drawn by a hash of the key: the same rows for any partitioning."""
-    return df.orderBy(X.hash_share(F.col(key), seed), key).limit(n)
+    return bottom_k(df, X.hash_share(F.col(key), seed), key, n)
 
 
 def mark_new(df: DataFrame, key: str = "firmware_version", suffix: str = ".NEW") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +17,21 @@ from pyspark.storagelevel import StorageLevel
 
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
+from fleetgauge.operators import boosting
 from fleetgauge.operators.ordered import quantiles, running_totals
+from fleetgauge.operators.sampling import bottom_k
 from fleetgauge.plans import drift
 from fleetgauge.plans.scoring import flag_high_risk
 from fleetgauge.plans.stats import quantile
 from fleetgauge.schemas import require_columns
 from fleetgauge.sources import registry
 
-#: Labelled rows that a learner fits on at most, chosen by a hash of the key.
+#: Labelled rows that a forest classifier fits on at most, chosen by a hash of the key.
 FIT_ROWS = 200_000
-#: Partitions of these rows: each round of a boosted model is a job over them.
-FIT_PARTS = 2
-#: Rounds of a boosted model's first fit, and rounds without gain that end it.
-FIRST_ROUNDS, PATIENCE = 32, 10
+#: Rounds without gain that end a boosted model, and the depth of its trees.
+PATIENCE, DEPTH = 10, 5
+#: Share of the training rows that decide when it ends.
+VALIDATION = 0.15
 
 
 def cast_features(df: DataFrame, features: Sequence[str] = tuple(S.RISK_FEATURES)) -> DataFrame:
@@ -75,20 +77,20 @@ def split_stratified(
     )
 
 
-def with_validation(df: DataFrame, key: str, part: float = 0.15, seed: int = S.SEED + 1) -> DataFrame:
+def with_validation(df: DataFrame, key: str, part: float = VALIDATION, seed: int = S.SEED + 1) -> DataFrame:
     """Mark a slice of the training rows for early stopping."""
     return df.withColumn("is_validation", _share(key, seed) < part)
 
 
-def fit_rows(df: DataFrame, key: str, most: int = FIT_ROWS) -> DataFrame:
-    """At most ``most`` rows, by a hash of the key, in a few partitions."""
-    chosen = df.orderBy(_share(key, S.SEED + 3), key).limit(most)
-    return cast_features(chosen).repartition(FIT_PARTS, key).sortWithinPartitions(key)
+def fit_rows(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """All rows, or ``most`` of them by a hash of the key, dealt out by the key."""
+    chosen = df if most is None else bottom_k(df, _share(key, S.SEED + 3), key, most)
+    return cast_features(chosen).repartition(key).sortWithinPartitions(key)
 
 
-def _fit(estimator, df: DataFrame, key: str = "firmware_version") -> PipelineModel:
+def _fit(estimator, df: DataFrame, key: str = "firmware_version", most: int | None = None) -> PipelineModel:
     """Fitted on rows that are kept while the learner passes over them."""
-    rows = fit_rows(df, key).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = fit_rows(df, key, most).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=[assembler(), estimator]).fit(rows)
     finally:
@@ -104,68 +106,73 @@ def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees:
     )
 
 
-def train_rf_classifier(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15):
+def train_rf_classifier(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15, most: int = FIT_ROWS):
     return _fit(
         RandomForestClassifier(
             labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=S.SEED
         ),
         df,
+        most=most,
     )
 
 
-def gbt_regressor(label: str = "error_rate_per_10k", rounds: int = 1000, step: float = 0.1):
-    return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=step, validationTol=0.0, seed=S.SEED)
+def _boosted(df: DataFrame, key: str, label: str, options: boosting.Options, stop: bool = True) -> PipelineModel:
+    """Boosted trees over all rows; where ``stop``, a slice of them ends it early."""
+    features = S.RISK_FEATURES
+    borders = boosting.bin_borders(df, features)
+    held = _share(key, S.SEED + 1) < VALIDATION if stop else None
+    model = boosting.fit_ensembles(df, features, borders, label, options, held=held)[-1]
+    return PipelineModel([boosting.BoostedTrees.of(features, borders, options.loss, model)])
 
 
-def gbt_classifier(label: str = "label", rounds: int = 1000, step: float = 0.1):
-    return GBTClassifier(labelCol=label, maxIter=rounds, stepSize=step, validationTol=0.0, seed=S.SEED)
+def train_gbt_regressor(
+    df: DataFrame, key: str = "firmware_version", label: str = "error_rate_per_10k", rounds: int = 1000, step: float = 0.1
+) -> PipelineModel:
+    """Boosted trees for the squared error that end ``PATIENCE`` rounds after the best one on
+    a slice of the training rows, and keep the rounds up to that."""
+    return _boosted(df, key, label, boosting.Options(boosting.SQUARED, rounds, step, DEPTH, PATIENCE))
 
 
-def _fit_boosted(estimator, df: DataFrame, key: str) -> PipelineModel:
-    """Boosted trees that stop when a slice of the training rows gains no more.
+def train_gbt_classifier(
+    df: DataFrame, key: str = "firmware_version", label: str = "label", rounds: int = 1000, step: float = 0.1
+) -> PipelineModel:
+    """As ``train_gbt_regressor``, for the log-loss of a label of 0 and 1."""
+    return _boosted(df, key, label, boosting.Options(boosting.LOGISTIC, rounds, step, DEPTH, PATIENCE))
 
-    A fit has ``FIRST_ROUNDS`` rounds, then twice as many each time, up to the estimator's
-    own number, until the round of least error on the slice lies ``PATIENCE`` rounds back at
-    least; the model then ends with that round. Rounds of small gain do not end it.
-    """
-    rows = assemble(with_validation(fit_rows(df, key), key)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fit, held = rows.where(~F.col("is_validation")), rows.where("is_validation")
-        most = estimator.getMaxIter()
-        rounds = min(FIRST_ROUNDS, most)
-        while True:
-            model = estimator.copy({estimator.maxIter: rounds}).fit(fit)
-            loss = () if isinstance(estimator, GBTClassifier) else ("squared",)
-            errors = model.evaluateEachIteration(held, *loss)
-            best = 1 + min(range(len(errors)), key=lambda i: (errors[i], i))
-            if rounds == most or best + PATIENCE <= rounds:
-                break
-            rounds = min(2 * rounds, most)
-        if best < rounds:
-            model = estimator.copy({estimator.maxIter: best}).fit(fit)
-    finally:
-        rows.unpersist()
-    return PipelineModel([assembler(), model])
-
-
-def train_gbt_regressor(df: DataFrame, key: str = "firmware_version", **options) -> PipelineModel:
-    return _fit_boosted(gbt_regressor(**options), df, key)
 
+def cross_validate_boosted(
+    df: DataFrame, key: str, label: str, loss: str, folds: int = 5, rounds: int = 1000, step: float = 0.1
+) -> DataFrame:
+    """(fold, n, rounds, metric): one row per fold, by a hash of the key, with the RMSE or the
+    ROC-AUC on its rows of a model that never saw them.
 
-def train_gbt_classifier(df: DataFrame, key: str = "firmware_version", **options) -> PipelineModel:
-    return _fit_boosted(gbt_classifier(**options), df, key)
+    The models of all folds share their passes; each ends early by a slice of its own training
+    rows. A fold of one class only has no AUC.
+    """
+    features, fold = S.RISK_FEATURES, F.floor(_share(key, S.SEED + 2) * folds).cast("int")
+    borders = boosting.bin_borders(df, features)
+    held, options = _share(key, S.SEED + 1) < VALIDATION, boosting.Options(loss, rounds, step, DEPTH, PATIENCE)
+    fitted = boosting.fit_ensembles(df, features, borders, label, options, fold, folds, held)[:folds]
+    margin = boosting.margin_column(features, borders, fitted, F.col("fold"))
+    scored = df.select(F.col(label).cast("double").alias(label), *features, fold.alias("fold"))
+    scored = scored.where(F.col(label).isNotNull()).withColumn("margin", margin)
+    sizes = scored.groupBy("fold").agg(
+        X.rows().alias("n"), F.sqrt(F.avg((F.col(label) - F.col("margin")) ** 2)).alias("rmse")
+    )
+    if loss == boosting.SQUARED:
+        found = sizes.withColumnRenamed("rmse", "metric")
+    else:
+        areas = roc_auc(scored, label, "margin", by=["fold"]).withColumnRenamed("roc_auc", "metric")
+        found = sizes.drop("rmse").join(areas, "fold", "left")
+    ends = F.create_map(*[F.lit(x) for m, model in enumerate(fitted) for x in (m, len(model.leaves))])
+    return found.select("fold", "n", ends[F.col("fold")].alias("rounds"), "metric")
 
 
 def cross_validate(estimator, df: DataFrame, evaluator, key: str, folds: int = 5) -> CrossValidatorModel:
-    """k-fold cross-validation with folds by a hash of the key; see ``avgMetrics``.
-
-    A boosted model stops early in each fold, at the first round from which a slice of that
-    fold's training rows gains nothing at all.
-    """
+    """k-fold cross-validation of a Spark ML estimator with folds by a hash of the key; see
+    ``avgMetrics``."""
     fold = F.floor(_share(key, S.SEED + 2) * folds).cast("int")
-    if estimator.hasParam("validationIndicatorCol"):
-        estimator = estimator.copy().setValidationIndicatorCol("is_validation")
-    rows = with_validation(fit_rows(df, key), key).withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = fit_rows(df, key).withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return CrossValidator(
             estimator=Pipeline(stages=[assembler(), estimator]),
@@ -202,13 +209,13 @@ def prediction_band(pred: DataFrame, label: str, prediction: str = "prediction")
     return pred.agg((F.stddev_samp(F.col(label) - F.col(prediction)) * 1.96).alias("band"))
 
 
-def _by_score(pred: DataFrame, label: str, score: str) -> DataFrame:
+def _by_score(pred: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives at each distinct score, and above it. A NaN score is an error."""
     checked = F.when(F.isnan(score), F.raise_error(F.lit(f"{score} holds NaN"))).otherwise(F.col(score))
-    counts = pred.withColumn(score, checked).groupBy(score).agg(
+    counts = pred.withColumn(score, checked).groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return running_totals(counts, score, ["pos", "neg"], descending=True)
+    return running_totals(counts, score, ["pos", "neg"], by, descending=True)
 
 
 def roc_curve(pred: DataFrame, label: str = "label", score: str = "risk_score") -> DataFrame:
@@ -226,15 +233,18 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "risk_score")
     ).orderBy(F.desc("threshold"))
 
 
-def roc_auc(pred: DataFrame, label: str = "label", score: str = "risk_score") -> DataFrame:
-    """Exact area under the ROC curve: each negative counts the positives above it, ties half."""
-    ran = _by_score(pred, label, score)
+def roc_auc(
+    pred: DataFrame, label: str = "label", score: str = "risk_score", by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact area under the ROC curve, also per group: each negative counts the positives above
+    it, ties half."""
+    ran = _by_score(pred, label, score, by)
     above = F.col("pos_before").cast("double") + F.col("pos") / 2
-    sums = ran.agg(
+    sums = ran.groupBy(*by).agg(
         F.sum(F.col("neg") * above).alias("_area"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
     )
     box = F.col("_pos").cast("double") * F.col("_neg")
-    return sums.select(F.try_divide(F.col("_area"), box).alias("roc_auc"))
+    return sums.select(*by, F.try_divide(F.col("_area"), box).alias("roc_auc"))
 
 
 def classification_metrics(
@@ -308,7 +318,8 @@ def retrain(
 ) -> tuple[PipelineModel, DataFrame]:
     """Refit on history and new rows, all rounds; the model and its ROC-AUC on held-out rows."""
     train, test = split_stratified(df, key)
-    model = _fit(gbt_classifier(rounds=rounds, step=step), train)
+    options = boosting.Options(boosting.LOGISTIC, rounds, step, DEPTH, None)
+    model = _boosted(train, key, "label", options, stop=False)
     return model, roc_auc(score(test, model))
 
 

@@ -145,7 +145,7 @@ def test_csv_cells_hold_breaks_and_quotes(spark, tmp_path):
     assert [tuple(r) for r in files.read_csv(spark, path).collect()] == [("line one\nline two", "1"), ('said "no", left', "2")]
 
 
-def test_boosting_goes_on_past_small_gains(spark, monkeypatch):
+def test_boosting_goes_on_past_small_gains(spark):
     from pyspark.ml.regression import GBTRegressor
 
     df = spark.range(300).select(
@@ -153,7 +153,6 @@ def test_boosting_goes_on_past_small_gains(spark, monkeypatch):
         ((F.col("id") % 97) * 3 + F.col("id") % 7).cast("double").alias("error_rate_per_10k"),
         *[((F.col("id") * k) % 97 / 97.0).alias(c) for k, c in zip((1, 5, 11, 17, 23), schemas_features())],
     )
-    monkeypatch.setattr(models, "FIRST_ROUNDS", 12)
     ours = models.train_gbt_regressor(df, rounds=16, step=0.004).stages[-1]
     stopping = GBTRegressor(labelCol="error_rate_per_10k", maxIter=16, stepSize=0.004, seed=42, validationIndicatorCol="is_validation")
     usual = stopping.fit(models.assemble(models.with_validation(df, "firmware_version")))
