@@ -4,24 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.expressions import present
-
-
-#: Nested cells of time: an hour has 3,600 seconds, a second 1,000 milliseconds, and a
-#: millisecond 1,000 different times.
-CELLS = ["_hour", "_second", "_milli"]
-
-
-def time_cells(ts: Column) -> list[Column]:
-    """Hours since 1970, second of the hour and millisecond of the second of a wall-clock
-    time, without any time zone."""
-    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
-    fraction = F.date_format(ts, "SSS").cast("int")
-    return [days * 24 + F.hour(ts), F.minute(ts) * 60 + F.second(ts), fraction]
+from fleetgauge.operators.ranges import Slots
 
 
 def asof_join(
@@ -36,48 +24,33 @@ def asof_join(
 ) -> DataFrame:
     """Left rows with ``right_time``, ``tie`` and ``values`` of their match.
 
-    Pairs are never formed. Both sides shrink to one row per key and time (and
-    per set of values on the right), so a key with a great share of all rows, or
-    a pile of copies of one row, costs no more than its distinct times. These
-    are cut into nested cells, hours, seconds and milliseconds: a window runs inside
-    the innermost, and the newest row of each cell is carried forward inside the next
-    larger one. Times have microseconds, so no window sees more than a few thousand
-    rows, but for the last one, which sees the hours of a key.
-
-    The null filters keep the branches alike, so that they share their shuffles.
+    Pairs are never formed. Both sides are laid out in one order of key and time, cut into
+    slots and dealt out once; the newest right row so far is the match. Left rows of one time
+    are told apart by a hash of all their columns and right rows by ``tie``, so that slots
+    stay even where a key, or a time of it, has a great share of all rows.
     """
     on = list(on)
-    match = F.struct(F.col("_t").alias(right_time), tie, *values)
-    points = (
-        right.groupBy(*on, F.col(right_time).alias("_t"), *values)
-        .agg(F.max(tie).alias(tie))
-        .select(*on, "_t", F.col(tie).alias("_tie"), match.alias("_match"))
+    match = F.struct(F.col(right_time), F.col(tie), *values)
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(on)]
+    keys = [f"_k{i}" for i in range(len(on))]
+    points = right.where(present(*on, right_time)).select(
+        *own, F.col(right_time).alias("_t"), F.lit(False).alias("_probe"), F.col(tie).alias("_tie"), F.lit(0).cast("long").alias("_tail"), match.alias("_match")
     )
-    probes = left.select(*on, F.col(left_time).alias("_t")).distinct()
-    timeline = (
-        points.withColumn("_probe", F.lit(False))
-        .unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
-        .withColumns(dict(zip(CELLS, time_cells(F.col("_t")), strict=True)))
-        .where(present(*on, "_t"))
+    some = left.where(present(*on, left_time)) if how == "inner" else left
+    probes = some.select(
+        *own, F.col(left_time).alias("_t"), F.lit(True).alias("_probe"), F.xxhash64(*left.columns).alias("_tail"), F.struct(*left.columns).alias("_row")
     )
-
-    in_order = W.partitionBy(*on, *CELLS).orderBy("_t", "_probe", "_tie")
-    so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
-    answers = timeline.select(
-        *on, *CELLS, "_t", "_probe", F.last("_match", ignorenulls=True).over(so_far).alias("_match")
-    ).where("_probe")
-    point = F.when(~F.col("_probe"), F.struct("_t", "_tie"))
-    newest = timeline.groupBy(*on, *CELLS).agg(F.max_by("_match", point).alias("_newest"))
-    for depth in range(len(CELLS), 0, -1):
-        outer, own = [*on, *CELLS[: depth - 1]], CELLS[depth - 1]
-        earlier = W.partitionBy(*outer).orderBy(own).rowsBetween(W.unboundedPreceding, -1)
-        carried = newest.select(*outer, own, F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
-        answers = answers.join(carried, [*outer, own]).withColumn("_match", F.coalesce("_match", "_carried")).drop("_carried")
-        filled = F.when(F.col("_newest").isNotNull(), F.col(own))
-        newest = newest.groupBy(*outer).agg(F.max_by("_newest", filled).alias("_newest"))
-    answers = answers.select(*on, F.col("_t").alias(left_time), "_match")
+    both = points.unionByName(probes, allowMissingColumns=True)
+    slots = Slots(both, keys, [F.col(c) for c in ("_t", "_probe", "_tie", "_tail")])
+    so_far = slots.inside("_t", "_probe", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    found = slots.dealt(both).withColumn("_match", F.last("_match", ignorenulls=True).over(so_far)).where("_probe")
+
+    # a slot without right rows of the open key hands on what it was handed
+    newest = F.max_by(F.when(~F.col("_probe"), F.col("_match")), F.when(~F.col("_probe"), F.struct("_t", "_tie")))
+    handed = slots.handed_on(both, _newest=newest)
+    carried = slots.carry(handed, _carried=F.last("_newest", ignorenulls=True).over(slots.over_slots()))
+    found = slots.join(found, carried).withColumn("_match", F.coalesce("_match", "_carried"))
     if how == "inner":
-        answers = answers.where(F.col("_match").isNotNull())
-    matched = left.join(answers, [*on, left_time], how)
+        found = found.where(F.col("_match").isNotNull())
     out = [F.col("_match")[c].alias(c) for c in (right_time, tie, *values)]
-    return matched.select(*[F.col(c) for c in left.columns], *out)
+    return found.select(*[F.col("_row")[c].alias(c) for c in left.columns], *out)

@@ -1,15 +1,8 @@
 """Ordered computations that never gather a whole group in one task.
 
-A plain window over a big group sorts that group in one task. Here a value or
-a date is first cut into ordered cells; a window runs inside each cell, a small
-summary per cell carries the state across, and the two are joined. The result
-is the same as that of the plain window.
-
-The cell of a double is its value as a float: casting keeps the order, merges at
-most 2**29 neighbouring doubles and leaves at most 2**23 floats to a binary
-exponent. Windows run over the distinct doubles of a cell, the cells of an
-exponent and the exponents, so their size is bounded however many rows there
-are and however the values are spread.
+Running totals and ranks are scans over ranges (``ranges.Slots``), quantiles are selected
+inside brackets that sketches give. For the row before, a date is cut into ordered cells; a
+small summary per cell carries the state across. The results are those of plain windows.
 """
 
 from __future__ import annotations
@@ -23,37 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.expressions import present
+from fleetgauge.operators.ranges import Slots
 
 SEQ_BLOCK = 1 << 20
-_CELL = ["_band", "_cell"]
-
-
-def cell_of(value: Column) -> Column:
-    """Ordered cell of a double; null for NaN."""
-    return F.nanvl(value, F.lit(None).cast("double")).cast("float")
-
-
-def band_of(cell: Column) -> Column:
-    """Signed binary exponent of a cell, in the order of the cells.
-
-    Infinite values and doubles beyond the range of floats share the outermost bands.
-    """
-    exponent = F.floor(F.log2(F.abs(cell))) + 2000
-    return (
-        F.when(cell == 0, F.lit(0.0))
-        .when(F.abs(cell) == float("inf"), F.signum(cell) * 5000)
-        .otherwise(F.signum(cell) * exponent)
-    )
-
-
-def _sums_before(df, group, order, sums, descending):
-    """Sums of the earlier rows of the group, as ``<name>_before``."""
-    key = F.desc(order) if descending else F.asc(order)
-    part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    earlier = part.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    return df.select(
-        "*", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums]
-    )
+#: Accuracy of the rank sketches: ranks are right to one in so many rows.
+SKETCH = 10_000
 
 
 def running_totals(
@@ -66,30 +33,22 @@ def running_totals(
     """Add ``<s>_before``: the sum of ``s`` over all rows ordered before this one.
 
     ``values`` holds one row per (``by``, ``value``), so equal values are already
-    collapsed; count or sum them first.
+    collapsed; count or sum them first. Rows without a value or group, and NaN, are left out.
     """
     by = list(by)
-    cell = cell_of(F.col(value).cast("double"))
-    rows = values.withColumn("_cell", cell).withColumn("_band", band_of(F.col("_cell")))
-    rows = rows.where(present(*by, *_CELL))
-    cells = rows.groupBy(*by, *_CELL).agg(*[F.sum(s).alias(s) for s in sums])
-    bands = cells.groupBy(*by, "_band").agg(*[F.sum(s).alias(s) for s in sums])
-    bands = _sums_before(bands, by, "_band", sums, descending).select(
-        *by, "_band", *[F.col(f"{s}_before").alias(f"_{s}_band") for s in sums]
-    )
-    cells = (
-        _sums_before(cells, [*by, "_band"], "_cell", sums, descending)
-        .join(bands, [*by, "_band"])
-        .select(
-            *by,
-            *_CELL,
-            *[(F.col(f"{s}_before") + F.col(f"_{s}_band")).alias(f"_{s}_cell") for s in sums],
-        )
+    number = F.col(value).cast("double")
+    rows = values.where(present(*by, value) & ~F.isnan(number))
+    slots = Slots(rows, by, [-number if descending else number])
+    key = F.desc(value) if descending else F.asc(value)
+    earlier = slots.inside(key).rowsBetween(W.unboundedPreceding, -1)
+    inner = slots.dealt(rows).select(
+        "*", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums]
     )
-    inner = _sums_before(rows, [*by, *_CELL], value, sums, descending)
-    return inner.join(cells, [*by, *_CELL]).select(
+    handed = slots.handed_on(rows, **{f"_{s}_slot": F.sum(s) for s in sums})
+    carried = slots.carry(handed, **{f"_{s}_carried": F.sum(f"_{s}_slot").over(slots.over_slots()) for s in sums})
+    return slots.join(inner, carried).select(
         *[F.col(c) for c in values.columns],
-        *[(F.col(f"{s}_before") + F.col(f"_{s}_cell")).alias(f"{s}_before") for s in sums],
+        *[(F.col(f"{s}_before") + F.coalesce(f"_{s}_carried", F.lit(0))).alias(f"{s}_before") for s in sums],
     )
 
 
@@ -102,67 +61,78 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     )
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    qs: Sequence[float],
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per (``by``, ``q``).
-
-    A count per cell finds the cells that hold the wanted ranks; only the rows
-    of those cells are then ordered. Nothing but counts is shuffled in the first
-    pass, and in the second only values of the chosen cells.
+def _brackets(df: DataFrame, columns: Sequence[str], qs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """One row per group: for each column its count ``n`` and, per quantile, a ``low`` and a
+    ``high`` between which the wanted ranks lie, from mergeable rank sketches."""
+    wide = 2.0 / SKETCH
+    shares = [min(max(q + side, 0.0), 1.0) for q in qs for side in (-wide, wide)]
+    found = []
+    for c in columns:
+        number = F.nanvl(F.col(c).cast("double"), F.lit(None))
+        n, least, most, marks = F.count(number), F.min(number), F.max(number), F.percentile_approx(number, shares, SKETCH)
+        # below so many rows a sketch's error is less than one rank
+        small = n <= SKETCH
+        ends = [
+            F.struct(
+                F.when(small | F.lit(q <= 0), least).otherwise(marks[2 * i]).alias("low"),
+                F.when(small | F.lit(q >= 1), most).otherwise(marks[2 * i + 1]).alias("high"),
+            )
+            for i, q in enumerate(qs)
+        ]
+        found.append(F.struct(n.alias("n"), F.array(*ends).alias("ends")))
+    return df.groupBy(*by).agg(F.array(*found).alias("_known"))
+
+
+def quantiles_of(df: DataFrame, columns: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per (``by``, ``column``, ``q``).
+
+    Two reads, however many columns and quantiles: sketches bracket the wanted ranks, then
+    each value is below a bracket, in it or above. Only values in a bracket, a share of
+    ``4 / SKETCH`` of the rows, are told apart; all others are counted. Null and NaN are left
+    out, and groups with a null key; a column without values has no rows.
     """
     by = list(by)
-    number = F.col(value).cast("double")
-    rows = df.select(*by, number.alias("_v"), cell_of(number).alias("_cell"))
-    rows = rows.where(present(*by, "_cell"))
-    hist = rows.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    hist = hist.withColumn("_band", band_of(F.col("_cell"))).where(present("_band"))
-    bands = hist.groupBy(*by, "_band").agg(F.sum("_n").alias("_n"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    bands = _sums_before(bands, by, "_band", ["_n"], False).select(
-        *by,
-        "_band",
-        F.col("_n_before").alias("_band_start"),
-        F.sum("_n").over(group).alias("_total"),
-    )
-    last = F.col("_total") - 1
-    ranks = F.array_distinct(
-        F.array(*[f(F.lit(float(q)) * last) for q in qs for f in (F.floor, F.ceil)])
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    rows = rows.where(present(*by)) if by else rows
+    numbers = [f"_c{i}" for i in range(len(columns))]
+    known = _brackets(rows, numbers, qs, by)
+    if by:
+        marked = rows.join(known, by)
+    else:
+        marked = rows.withColumn("_known", known.scalar())
+
+    def entry(i: int, k: int) -> Column:
+        v, end = F.col(numbers[i]), F.col("_known")[i]["ends"][k]
+        within = F.when(v >= end["low"], v)  # null for what is below
+        keep = v.isNotNull() & ~F.isnan(v) & (v <= end["high"])
+        return F.when(keep, F.struct(F.lit(i).alias("_i"), F.lit(k).alias("_k"), F.col("_known")[i]["n"].alias("_n"), within.alias("_v")))
+
+    entries = F.array_compact(F.array(*[entry(i, k) for i in range(len(columns)) for k in range(len(qs))]))
+    place = [*by, "_i", "_k"]
+    counts = marked.select(*by, F.inline(entries)).groupBy(*place, "_n", "_v").agg(F.count(F.lit(1)).alias("_rows"))
+    # nulls first: what is below the bracket
+    through = F.sum("_rows").over(W.partitionBy(*place).orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0))
+    last = F.col("_n") - 1
+    pos = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_k") + 1) * last
+    hit = lambda rank: (rank >= F.col("_through") - F.col("_rows")) & (rank < F.col("_through"))
+    ends = counts.withColumn("_through", through).groupBy(*place, "_n").agg(
+        F.max(F.struct(hit(F.floor(pos)).alias("hit"), F.col("_v").alias("v"))).alias("_low"),
+        F.max(F.struct(hit(F.ceil(pos)).alias("hit"), F.col("_v").alias("v"))).alias("_high"),
+    )
+    low, high = F.col("_low.v"), F.col("_high.v")
+    # equal ends first: the difference of two infinite ones is no number
+    between = F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos)))
+    sound = F.col("_low.hit") & F.col("_high.hit") & low.isNotNull() & high.isNotNull()
+    value = F.when(sound, between).otherwise(F.raise_error(F.lit("a sketch missed a quantile's rank")).cast("double"))
+    names, shares = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(float(q)) for q in qs])
+    return ends.select(
+        *by, F.element_at(names, F.col("_i") + 1).alias("column"), F.element_at(shares, F.col("_k") + 1).alias("q"), value.alias("value")
     )
 
-    def hit(start: Column) -> Column:
-        return F.filter(ranks, lambda r: (r >= start) & (r < start + F.col("_n")))
 
-    start = F.col("_band_start") + F.col("_n_before")
-    chosen = (
-        _sums_before(hist, [*by, "_band"], "_cell", ["_n"], False)
-        .join(bands, [*by, "_band"])
-        .where(F.size(hit(start)) > 0)
-        .select(*by, "_cell", start.alias("_start"), "_total")
-    )
-    picked = (
-        rows.join(chosen, [*by, "_cell"])
-        .groupBy(*by, "_cell", "_start", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    picked = _sums_before(picked, [*by, "_cell"], "_v", ["_n"], False)
-    picked = picked.select(
-        *by, "_total", "_v", F.explode(hit(F.col("_start") + F.col("_n_before"))).alias("_rank")
-    )
-    # Two values per quantile and group.
-    at = (
-        picked.groupBy(*by, "_total")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
-        .select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    )
-    pos = F.col("q") * last
-    low, high = F.col("_at")[F.floor(pos)], F.col("_at")[F.ceil(pos)]
-    # equal ends first: the difference of two infinite ones is no number
-    between = F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos)))
-    return at.select(*by, "q", between.alias("value"))
+def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``quantiles_of`` for one column: one row per (``by``, ``q``)."""
+    return quantiles_of(df, [value], qs, by).select(*by, "q", "value")
 
 
 def previous_row(

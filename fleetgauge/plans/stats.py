@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
 from fleetgauge.operators.ordered import average_ranks, quantiles, running_totals
+from fleetgauge.sources.shared import write_shared
 
 
 def quantile(df: DataFrame, column: str, q: float) -> DataFrame:
@@ -117,30 +118,30 @@ def signal_audit(
 
     The correlation is that of average ranks. Target ranks are summed per
     distinct feature value first, so feature ranks need no join with the rows.
+    Runs jobs: the columns used, and then these with the target's ranks, are written to
+    the shared folder, so that ``df`` is computed once however many passes ranks take.
     """
     kinds = dict(df.dtypes)
     used = [c for c in features if c in kinds and not (drop_booleans and kinds[c] == "boolean")]
     wide = df.select(
         F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in used]
     ).where("y is not null")
+    wide = write_shared(wide.dropna() if complete else wide)
 
     def long(rows: DataFrame, *kept: str) -> DataFrame:
         entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in used]
         return rows.select(*kept, F.explode(F.array(*entries)).alias("_e")).select(*kept, "_e.*")
 
-    rank2 = F.sum(F.col("n") * F.col("avg_rank") * F.col("avg_rank"))
+    rank = F.col("avg_rank").alias("ry")
     if complete:
-        wide = wide.dropna()
-        targets = average_ranks(wide, "y")
-        ranked = wide.join(targets.select("y", F.col("avg_rank").alias("ry")), "y")
-        pairs = long(ranked, "ry")
+        pairs = long(write_shared(wide.join(average_ranks(wide, "y").select("y", rank), "y")), "ry")
     else:
         pairs = long(wide, "y").where("x is not null")
-        targets = average_ranks(pairs, "y", ["feature"])
-        pairs = pairs.join(
-            targets.select("feature", "y", F.col("avg_rank").alias("ry")), ["feature", "y"]
-        )
-    per_value = pairs.groupBy("feature", "x").agg(X.rows().alias("n"), F.sum("ry").alias("ry"))
+        targets = average_ranks(pairs, "y", ["feature"]).select("feature", "y", rank)
+        pairs = write_shared(pairs.join(targets, ["feature", "y"]))
+    per_value = pairs.groupBy("feature", "x").agg(
+        X.rows().alias("n"), F.sum("ry").alias("ry"), F.sum(F.col("ry") * F.col("ry")).alias("yy")
+    )
     rank_x = F.col("n_before") + (F.col("n") + 1) / 2
     sums = (
         running_totals(per_value, "x", ["n"], ["feature"])
@@ -149,12 +150,9 @@ def signal_audit(
             F.sum("n").alias("total"),
             F.sum(rank_x * F.col("ry")).alias("xy"),
             F.sum(F.col("n") * rank_x * rank_x).alias("xx"),
+            F.sum("yy").alias("yy"),
         )
     )
-    if complete:
-        sums = sums.withColumn("yy", targets.agg(rank2).scalar())
-    else:
-        sums = sums.join(targets.groupBy("feature").agg(rank2.alias("yy")), "feature")
     # The mean of average ranks is the middle rank.
     shift = F.col("total") * F.pow((F.col("total") + 1) / 2, F.lit(2.0))
     spread = F.sqrt((F.col("xx") - shift) * (F.col("yy") - shift))

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.schemas import FEATURE_TABLES, RAW_TABLES, conform, require_columns
+from fleetgauge.sources import csv
 
 
 def read_csv(spark: SparkSession, path: str, trim_headers: bool = False) -> DataFrame:
     """A CSV file as text columns; only the header is looked at, nothing is inferred.
 
-    Quoted cells may hold line breaks, and a doubled quote stands for one. Such a file is
-    read by one task; keep volumes in Parquet.
+    Quoted cells may hold line breaks, and a doubled quote stands for one; see ``csv.read``.
     """
-    df = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    df = csv.read(spark, path)
     if trim_headers:
         df = df.toDF(*[c.strip() for c in df.columns])
     return df

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetgauge.operators.asof import asof_join
-from fleetgauge.operators.ordered import average_ranks, previous_row, quantiles, running_totals
+from fleetgauge.operators import ordered
+from fleetgauge.operators.ordered import average_ranks, previous_row, quantiles, quantiles_of, running_totals
+from fleetgauge.operators.ranges import Slots
 from fleetgauge.operators.pairs import blocked_pairs, pair_support
 
 
@@ -138,3 +140,68 @@ def test_quantiles_of_any_double(spark):
     assert found == {0.0: float("-inf"), 0.125: -1e300, 0.5: 1e-300, 0.75: 1e300, 1.0: float("inf")}
     ranks = {r.v: r.avg_rank for r in average_ranks(df, "v").collect()}
     assert ranks[float("inf")] == 8.5 and ranks[-1e300] == 2.0
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("REPARTITION_BY_COL" in line for line in plan.splitlines()), plan
+
+
+def test_scans_deal_rows_out_once(spark):
+    left, right = _asof_data(spark)
+    numbers = spark.range(100).select((F.col("id") / 7).alias("v"), F.col("id").alias("n"))
+    for df in (asof_join(left, right, ["k"], "at", "ts", "eid", ["v"]), running_totals(numbers, "v", ["n"])):
+        dealt, plan = shuffles(df)
+        assert dealt == 1 and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_hot_key_goes_through_many_slots(spark):
+    """A third of all rows under one key, and as many under one time of it."""
+    start = dt.datetime(2024, 3, 1)
+    many = spark.range(30_000)
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+    at = F.lit(start) + F.make_dt_interval(secs=F.when(F.col("id") % 6 == 0, 500).otherwise(F.col("id") % 1000))
+    right = many.where("id % 5 < 3").select(key.alias("k"), at.cast("timestamp_ntz").alias("ts"), F.col("id").alias("eid"))
+    left = many.where("id % 5 >= 3").select(key.alias("k"), at.cast("timestamp_ntz").alias("at"), F.col("id"))
+    found = asof_join(left, right, ["k"], "at", "ts", "eid", [], "left")
+    slots = Slots(right, ["k"], [F.col("ts"), F.col("eid")])
+    sizes = [r["count"] for r in slots.add(right).groupBy("_slot").count().collect()]
+    assert len(sizes) == slots.number and max(sizes) < 2.5 * 18_000 / slots.number
+    plain, newest = {}, {}
+    sides = [(r.k, r.ts, 0, r.eid) for r in right.collect()] + [(r.k, r["at"], 1, r.id) for r in left.collect()]
+    for k, _, probe, i in sorted(sides):
+        if probe:
+            plain[i] = newest.get(k)
+        else:
+            newest[k] = i
+    assert {r.id: r.eid for r in found.collect()} == plain
+
+
+def test_scans_of_no_rows_and_of_one_value(spark):
+    none = spark.range(0).select(F.col("id").cast("double").alias("v"), F.col("id").alias("n"))
+    assert running_totals(none, "v", ["n"]).collect() == [] and average_ranks(none, "v").collect() == []
+    one = spark.createDataFrame([(1.0, 3), (float("nan"), 5), (None, 7)], "v double, n bigint")
+    assert [tuple(r) for r in running_totals(one, "v", ["n"]).collect()] == [(1.0, 3, 0)]
+    empty = spark.createDataFrame([], "line string, d date, seq bigint")
+    assert previous_row(empty, "line", "d", "seq", ["seq"]).collect() == []
+    rows_ = spark.createDataFrame([(None, dt.date(2024, 1, 1), 1), ("a", None, 2), ("a", dt.date(2024, 1, 1), None), ("a", dt.date(2024, 1, 1), 4)], "line string, d date, seq bigint")
+    assert [r._previous for r in previous_row(rows_, "line", "d", "seq", ["seq"]).collect()] == [None] * 4
+
+
+def test_quantiles_of_many_columns_in_two_reads(spark, monkeypatch):
+    """With a coarse sketch, so that brackets leave most values out."""
+    monkeypatch.setattr(ordered, "SKETCH", 100)
+    rng = np.random.default_rng(8)
+    data = [(rng.choice(["a", "a", "b"]), float(rng.normal()), float(rng.integers(5)), None if rng.random() < 0.2 else float(rng.exponential())) for _ in range(6000)]
+    df = spark.createDataFrame([(str(r[0]), *r[1:]) for r in data], "g string, x double, y double, z double").repartition(7)
+    qs = [0.0, 0.05, 0.5, 0.751, 1.0]
+    for by in ([], ["g"]):
+        found = quantiles_of(df, ["x", "y", "z"], qs, by)
+        groups = {r.column: 0 for r in found.collect()}
+        assert set(groups) == {"x", "y", "z"} and found.count() == 15 * (2 if by else 1)
+        for r in found.collect():
+            own = [v for g, *vs in data if not by or g == r.g for v in [vs["xyz".index(r.column)]] if v is not None]
+            assert r.value == pytest.approx(np.quantile(own, r.q), rel=1e-12, abs=1e-15)
+    plan = quantiles_of(df, ["x", "y", "z"], qs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2
+    assert quantiles_of(df.limit(0), ["x"], qs).collect() == [] and quantiles_of(df.limit(0), ["x"], qs, ["g"]).collect() == []

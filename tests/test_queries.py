@@ -8,9 +8,10 @@ import pytest
 import __spark_entry__ as entry_point
 
 TABLES = ["region", "nation", "customer", "orders", "lineitem", "events"]
-# Full-strength learners run for minutes; their parts are tested in test_sources.
-LEARNERS = {"gbt_regressor", "gbt_classifier", "cross_validation", "retrained"}
-ORACLES = {k: v for k, v in entry_point.oracle_sql().items() if not k.startswith("op") and k not in LEARNERS}
+ORACLES = {k: v for k, v in entry_point.oracle_sql().items() if not k.startswith("op")}
+# These fit, or write tables that several of their passes read.
+EAGER = {"gbt_regressor", "gbt_classifier", "cross_validation", "retrained", "rf_regressor", "rf_classifier", "feature_importance", "scored_by_model"}
+EAGER |= {"signal_audit", "signal_audit_pairwise"}
 
 
 @pytest.fixture(scope="module")
@@ -49,8 +50,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_building_a_query_runs_no_job(spark, sf):
-    models = {"rf_regressor", "rf_classifier", "feature_importance", "scored_by_model"}
-    skipped = LEARNERS | models | {n for n in entry_point.queries() if n.startswith("op") or n == "pipeline"}
+    skipped = EAGER | {n for n in entry_point.queries() if n.startswith("op") or n == "pipeline"}
     spark.sparkContext.setJobGroup("building", "")
     try:
         for name, query in entry_point.queries().items():
