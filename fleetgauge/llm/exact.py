@@ -28,10 +28,6 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-
-
 def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(row, keep_id, group_size, kept) of every row of ``docs``; ``row`` has its columns but
     the text.
@@ -47,9 +43,10 @@ def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     given = docs.select(F.struct(*others).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = given.withColumns({"points": F.char_length(whole), "size": F.length(plain), "head": F.xxhash64(F.substring(plain, 1, HEAD))})
     rows = write_shared(signed.drop("text"))
-    # by length first, so that the beginnings of only those rows are grouped
-    lengths = _repeated(rows, "size")
-    heads = write_shared(_repeated(rows.select("size", "head").join(lengths, "size", "left_semi"), "size", "head"))
+    # written, so that rows of a frequent length are summed before they are dealt out by it
+    heads = write_shared(rows.groupBy("size", "head").agg(F.count("*").alias("n")))
+    lengths = heads.groupBy("size").agg(F.sum("n").alias("rows")).where("rows > 1")
+    heads = write_shared(heads.where("n > 1").join(lengths, "size", "left_semi").select("size", "head"))
     alone = rows.join(heads, ["size", "head"], "left_anti").select(
         "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
