@@ -211,13 +211,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     looked at; no rows give no rows.
     """
     rows = write_shared(rows_of(vectors))
-    grouped = rows.groupBy("label", "digest").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    classes = write_shared(grouped.withColumn("dim", F.size("embedding")))
+    grouped = rows.groupBy("label", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    # a number of its own for each class, as two may share their least id
+    classes = write_shared(grouped.withColumns({"dim": F.size("embedding"), "first": F.monotonically_increasing_id()}))
     found = write_shared(_links(classes, threshold))
     parts = connected_components(found.select("a", "b"))
     sums = found.groupBy("a").agg(F.sum("n").alias("links"))
-    known = classes.select("label", "digest", "first", "n").join(sums, F.col("first") == F.col("a"), "left").join(parts, F.col("first") == F.col("node"), "left")
-    known = write_shared(known.select("label", "digest", "n", "links", F.coalesce("component", "first").alias("component_id")))
+    known = classes.select("label", "digest", "first", "least", "n").join(sums, F.col("first") == F.col("a"), "left").join(parts, F.col("first") == F.col("node"), "left")
+    known = known.select("label", "digest", "least", "n", "links", F.coalesce("component", "first").alias("part"))
+    named = known.groupBy("part").agg(F.min("least").alias("component_id"))
+    known = write_shared(known.join(named, "part").select("label", "digest", "n", "links", "component_id"))
     linked = rows.select("vec_id", "label", "digest").join(known, ["label", "digest"]).select(
         "vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
     )

@@ -50,6 +50,15 @@ def test_embedding_links_equal_brute_force(frame):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_one_id_in_two_labels_and_with_two_vectors(frame):
+    """Rows that share an id are linked each for its own vector."""
+    a, b = [1.0] * 24, [1.0, -1.0] * 12
+    near = lambda v: [x * (1 + 0.01 * (i % 3)) for i, x in enumerate(v)]
+    rows = [(1, a, 1), (1, b, 2), (2, near(a), 1), (3, near(b), 2), (4, a, 2), (0, near(near(a)), 1), (1, b, 1)]
+    found = embeddings.near_duplicates(frame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(0, 2, 0, True), (1, 0, 1, True), (1, 1, 1, True), (1, 2, 0, False), (2, 2, 0, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_hot_bucket_is_cut_into_tiles(frame, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 20)
     rng = np.random.default_rng(2)
