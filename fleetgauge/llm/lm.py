@@ -34,8 +34,8 @@ CONTEXTS = 60_000
 FREQUENT = 1 / 5000
 #: Tokens of a block, and tokens of a part that one task merges, on average.
 BLOCK, PART = 2_500_000, 4_000_000
-#: Documents of a block at most, so that their places fit 16 bits.
-BLOCK_DOCS = 65_535
+#: Documents of a block at most, so that a place and a flag fit 16 bits.
+BLOCK_DOCS = 32_767
 HELD_OUT, TUNING, FOLDS = 0, 1, 10
 ROUNDS = 60
 #: Width of the cells in which held-out counts are summed, in natural log.
@@ -308,35 +308,37 @@ def place_pairs(rows: DataFrame, sent, parts: int) -> DataFrame:
             part = _parts(hashes[word], context, place[word] < len(model.words), parts)
             order = _by_part(part, word, hashes)
             part, word, context, doc = (x[order] for x in (part, word, context, doc))
-            train = (np.array(block.folds) != HELD_OUT).astype(np.uint8).tobytes()
+            train = (np.array(block.folds) != HELD_OUT).astype(np.uint16)
             lengths = np.bincount(docs, minlength=len(sums))
             pieces = [(p, s, None) for p, s in _split(part)]
             pieces.append(((first + number) % parts, slice(0, 0), np.column_stack([sums, lengths])))
             for p, s, own in pieces:
                 starts = _runs(word[s])
-                cells = [hashes[word[s]][starts], np.diff(np.append(starts, s.stop - s.start)).astype(np.uint32), context[s], doc[s]]
+                cells = [hashes[word[s]][starts], np.diff(np.append(starts, s.stop - s.start)).astype(np.uint32), context[s], doc[s] << 1 | train[doc[s]]]
                 ids = pa.array([block.doc_ids if own is not None else None], pa.list_(pa.int64()))
-                columns = [pa.array([p]), pa.array([first + number]), ids, pa.array([train], pa.binary())]
+                columns = [pa.array([p]), pa.array([first + number]), ids]
                 columns += [pa.array([c.tobytes()], pa.binary()) for c in cells]
                 columns.append(pa.array([own.tobytes() if own is not None else None], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_ids", "train", "words", "lengths", "contexts", "docs", "sums"])
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_ids", "words", "lengths", "contexts", "docs", "sums"])
 
-    return rows.mapInArrow(run, "part long, block long, doc_ids array<long>, train binary, words binary, lengths binary, contexts binary, docs binary, sums binary")
+    return rows.mapInArrow(run, "part long, block long, doc_ids array<long>, words binary, lengths binary, contexts binary, docs binary, sums binary")
+
+
+SUMS = "block long, doc_ids array<long>, own binary, docs binary, sums binary, known binary"
 
 
 def _score_part(sent):
-    """Packed sums (score, base score, known tokens) of a block's documents over a part."""
+    """Packed sums (score, base score) and known tokens of those documents of a block that have
+    tokens in a part; a block's own row goes through as it is."""
 
     def score(table: pa.Table) -> pa.Table:
         model = sent.value
         lengths = [int(np.frombuffer(x, "<u4").sum()) for x in table.column("lengths").to_pylist()]
-        flags = [np.frombuffer(x, np.uint8) for x in table.column("train").to_pylist()]
-        base_of = np.concatenate([[0], np.cumsum([len(x) for x in flags])])
-        docs = _unpacked(table, "docs", "<u2") + np.repeat(base_of[:-1], lengths)
+        flagged = _unpacked(table, "docs", "<u2").astype(np.int64)
+        docs = np.repeat(np.arange(len(lengths)), lengths) << 16 | flagged >> 1
         kinds, key = _pair_keys(table)
         order = np.argsort(key)
-        key, docs = key[order], docs[order]
-        train = np.concatenate(flags)[docs].astype(np.int64)
+        key, docs, train = key[order], docs[order], flagged[order] & 1
         starts = _runs(key)
         kind, contexts = key[starts] >> 16, key[starts] & 0xFFFF
         pair = np.add.reduceat(train, starts) if len(starts) else starts
@@ -345,32 +347,27 @@ def _score_part(sent):
         word = _totals(kind, pair)
         if frequent.any():
             word = np.where(frequent, np.append(model.n, 0)[place], word)
-        times, size = np.diff(np.append(starts, len(key))), base_of[-1]
-        out = np.stack([np.bincount(docs, np.repeat(x, times), size) for x in (*model.scores(pair, word, contexts), word > 0)] + [np.zeros(size)], axis=1)
-        rows = []
-        for i, own in enumerate(table.column("sums").to_pylist()):
-            sums = out[base_of[i] : base_of[i + 1]]
-            if own is not None:
-                rows.append((np.frombuffer(own).reshape(-1, 4), table.column("doc_ids")[i].as_py()))
-            else:
-                rows.append((sums, None))
-        return pa.table(
-            {
-                "block": table.column("block"), "doc_ids": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                "sums": pa.array([r[0][:, :2].tobytes() for r in rows], pa.binary()),
-                "counts": pa.array([r[0][:, 2:].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-            }
-        )
+        times = np.diff(np.append(starts, len(key)))
+        met, number = np.unique(docs, return_inverse=True)
+        score, base, known = (np.bincount(number, np.repeat(x, times), len(met)) for x in (*model.scores(pair, word, contexts), word > 0))
+        borders = np.searchsorted(met, np.arange(len(lengths) + 1) << 16)
+        cells = [(met & 0xFFFF).astype(np.uint16), np.column_stack([score, base]), known.astype(np.uint32)]
+        packed = [pa.array([c[a:b].tobytes() for a, b in pairwise(borders)], pa.binary()) for c in cells]
+        return pa.table([table.column("block"), table.column("doc_ids"), table.column("sums"), *packed], names=[f.split()[0] for f in SUMS.split(", ")])
 
     return score
 
 
 def _add_parts(table: pa.Table) -> pa.Table:
     """The documents of a block with the sums over all parts."""
-    sums = sum(np.frombuffer(x).reshape(-1, 2) for x in table.column("sums").to_pylist())
-    counts = sum(np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in table.column("counts").to_pylist())
-    ids = next(x for x in table.column("doc_ids").to_pylist() if x is not None)
-    return pa.table([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in (counts[:, 1], counts[:, 0], sums[:, 1], sums[:, 0]))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    at = next(i for i, x in enumerate(table.column("doc_ids").to_pylist()) if x is not None)
+    out = np.frombuffer(table.column("own")[at].as_py()).reshape(-1, 4).copy()  # score, base, known, tokens
+    docs = _unpacked(table, "docs", "<u2")
+    for i, x in enumerate((*_unpacked(table, "sums", "<f8").reshape(-1, 2).T, _unpacked(table, "known", "<u4"))):
+        out[:, i] += np.bincount(docs, x, len(out))
+    counts = out[:, 2:].round().astype(np.int64)
+    columns = [counts[:, 1], counts[:, 0], out[:, 1], out[:, 0]]
+    return pa.table([table.column("doc_ids")[at].values, *(pa.array(np.ascontiguousarray(x)) for x in columns)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -416,7 +413,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     model = learn_model(rows)
     sent = _Sent(rows.sparkSession.sparkContext.broadcast(vars(model)))
     placed = place_pairs(rows, sent, _parts_for(rows, model))
-    sums = placed.groupBy("part").applyInArrow(_score_part(sent), "block long, doc_ids array<long>, sums binary, counts binary")
+    sums = placed.groupBy("part").applyInArrow(_score_part(sent), SUMS)
     whole = sums.groupBy("block").applyInArrow(_add_parts, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return whole.select(
         "doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",

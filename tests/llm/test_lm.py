@@ -80,3 +80,16 @@ def test_odd_rows(frame):
     assert lm.score_texts(frame([], SCHEMA)).collect() == []
     alone = lm.score_texts(frame([(None, "a b", None, None)], SCHEMA)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in alone] == [(3, 0, 0, 0.0, 0.0)]
+
+
+def test_scored_bytes_do_not_grow_with_the_parts(frame):
+    """A part passes on sums of the documents it has tokens of, not of all."""
+    rows = lm.rows_of(frame([(i, " ".join(f"w{i * 7 + k}" for k in range(6)), None, 1) for i in range(600)], SCHEMA).repartition(2))
+    model = lm.learn_model(rows)
+    sent = lm._Sent(rows.sparkSession.sparkContext.broadcast(vars(model)))
+    sizes = []
+    for parts in (64, 1024):
+        placed = lm.place_pairs(rows, sent, parts)
+        sums = placed.groupBy("part").applyInArrow(lm._score_part(sent), lm.SUMS)
+        sizes.append(sums.selectExpr("sum(length(docs) + length(sums) + length(known))").first()[0])
+    assert sizes[1] <= 600 * 7 * 22 and sizes[1] < 1.3 * sizes[0]
