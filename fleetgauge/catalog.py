@@ -14,7 +14,7 @@ from fleetgauge.functions import expressions as X
 from fleetgauge.operators import boosting
 from fleetgauge.plans import drift, features, kpis, models, scoring, stats
 from fleetgauge.schemas import SCHEMAS, required_nulls
-from fleetgauge.sources import files
+from fleetgauge.sources import files, roundtrips
 from fleetgauge.sources import fixtures as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +494,9 @@ QUERIES: dict[str, Query] = {
     "roc_curve": _predictions(
         lambda p: rounded(models.roc_curve(p), "fpr", "tpr")
     ),
+    "roc_curve_bins": _predictions(
+        lambda p: rounded(models.roc_curve(p, bins=40), "fpr", "tpr")
+    ),
     "prediction_band": _predictions(
         lambda p: rounded(models.prediction_band(p, "error_rate_per_10k", "estimate"), "band")
     ),
@@ -510,4 +513,5 @@ QUERIES: dict[str, Query] = {
     "feature_matrix": feature_matrix,
     "sql_error_rates": sql_error_rates,
     "gate_json": gate_json,
+    **roundtrips.QUERIES,
 }

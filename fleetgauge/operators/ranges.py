@@ -46,16 +46,19 @@ class Slots:
     def add(self, df: DataFrame) -> DataFrame:
         """``df`` with its ``_slot`` and whether its key is that of the next slot's first row."""
         halves = [1 << k for k in reversed(range((self.number - 1).bit_length()))]
-        known = df.withColumns({"_borders": self.borders, "_position": self.position})
+        known = df.withColumn("_borders", self.borders)
         at = lambda i: F.get("_borders", i)
 
-        def halve(low: Column, step: Column) -> Column:
-            return F.when(at(low + step - 1) <= F.col("_position"), low + step).otherwise(low)
+        # the position goes along, as in the function's body it would be computed each time
+        def halve(state: Column, step: Column) -> Column:
+            above = at(state["low"] + step - 1) <= state["position"]
+            return F.struct(F.when(above, state["low"] + step).otherwise(state["low"]).alias("low"), state["position"].alias("position"))
 
-        slot = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), halve)
-        placed = known.withColumn("_slot", slot)
-        open_ = F.coalesce(at(F.col("_slot"))["key"] == F.col("_position.key"), F.lit(False))
-        return placed.withColumn("_open", open_).drop("_borders", "_position")
+        start = F.struct(F.lit(0).alias("low"), self.position.alias("position"))
+        found = F.aggregate(F.array(*[F.lit(h) for h in halves]), start, halve)
+        placed = known.withColumn("_found", found).withColumn("_slot", F.col("_found.low"))
+        open_ = F.coalesce(at(F.col("_slot"))["key"] == F.col("_found.position")["key"], F.lit(False))
+        return placed.withColumn("_open", open_).drop("_borders", "_found")
 
     def dealt(self, df: DataFrame) -> DataFrame:
         """``df`` with its ``_slot``, one task for the rows of a slot."""

@@ -218,19 +218,31 @@ def _by_score(pred: DataFrame, label: str, score: str, by: Sequence[str] = ()) -
     return running_totals(counts, score, ["pos", "neg"], by, descending=True)
 
 
-def roc_curve(pred: DataFrame, label: str = "label", score: str = "risk_score") -> DataFrame:
-    """False and true positive rate at each distinct score taken as threshold."""
+def roc_curve(
+    pred: DataFrame, label: str = "label", score: str = "risk_score", bins: int | None = None
+) -> DataFrame:
+    """False and true positive rate at each distinct score taken as threshold.
+
+    With ``bins`` only so many steps of the sum of both rates are kept, the last point of each:
+    any point left out lies within a box of ``2 / bins`` below its neighbour, and the area under
+    the kept points differs from ``roc_auc``, which stays exact, by ``2 / bins`` at most.
+    """
     sides = pred.agg(
         F.struct(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
         )
     ).scalar()
     ran = _by_score(pred, label, score).withColumn("_all", sides)
-    return ran.select(
+    curve = ran.select(
         F.col(score).alias("threshold"),
         X.ratio(F.col("neg_before") + F.col("neg"), F.col("_all.neg")).alias("fpr"),
         X.ratio(F.col("pos_before") + F.col("pos"), F.col("_all.pos")).alias("tpr"),
-    ).orderBy(F.desc("threshold"))
+    )
+    if bins is not None:
+        step = F.ceil((F.coalesce("fpr", F.lit(0.0)) + F.coalesce("tpr", F.lit(0.0))) * (bins / 2))
+        point = F.struct((-F.col("threshold")).alias("order"), "threshold", "fpr", "tpr")
+        curve = curve.groupBy(step.alias("_step")).agg(F.max(point).alias("_p")).select("_p.threshold", "_p.fpr", "_p.tpr")
+    return curve.orderBy(F.desc("threshold"))
 
 
 def roc_auc(

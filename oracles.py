@@ -779,6 +779,17 @@ SQL: dict[str, tuple[list[str], str]] = {
               FROM pred GROUP BY ALL)
         WINDOW w AS (ORDER BY risk_score DESC)""",
     ),
+    "roc_curve_bins": (
+        ["pred"],
+        f"""
+        SELECT threshold, {r("fpr", 6)} AS fpr, {r("tpr", 6)} AS tpr FROM (
+          SELECT risk_score AS threshold, sum(neg) OVER w / CAST(sum(neg) OVER () AS DOUBLE) AS fpr,
+            sum(pos) OVER w / CAST(sum(pos) OVER () AS DOUBLE) AS tpr
+          FROM (SELECT risk_score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+                FROM pred GROUP BY ALL)
+          WINDOW w AS (ORDER BY risk_score DESC))
+        QUALIFY row_number() OVER (PARTITION BY ceil((fpr + tpr) * 20) ORDER BY threshold) = 1""",
+    ),
     "prediction_band": (
         ["pred"],
         f" SELECT {r('1.96::DOUBLE * stddev_samp(error_rate_per_10k - estimate)', 6)} AS band FROM pred",
@@ -865,6 +876,64 @@ SQL |= {
     "sql_error_rates": (["ev"], "SELECT firmware_version, count(*) AS error_events FROM ev GROUP BY firmware_version"),
 }
 
+FEATURE_SUMS = {
+    "error_rates": "error_events", "rma_by_error": "ticket_count", "rma_by_firmware": "tickets",
+    "error_spikes": "error_count", "pre_post_errors": "post_errors", "stability_curves": "error_count",
+}
+
+# What is written and read again is what was there.
+SQL |= {
+    "raw_tables": (
+        ["ev_region", "rel", "tk"],
+        """
+        SELECT 'device_events' AS source, CAST(event_id AS VARCHAR) AS id,
+          strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS at, region AS detail FROM ev_region
+        UNION ALL
+        SELECT 'firmware_releases', firmware_version, strftime(release_date, '%Y-%m-%d'), previous_version FROM rel
+        UNION ALL
+        SELECT 'support_tickets', ticket_id, strftime(created_at, '%Y-%m-%d %H:%M:%S'), resolution FROM tk""",
+    ),
+    "merged_table": (["patch"], f"SELECT firmware_version, is_hotfix, {r('code_churn_score', 6)} AS code_churn_score FROM patch"),
+    "scored_file": (
+        ["scored"],
+        f"""SELECT firmware_version, CAST(is_hotfix AS INTEGER) AS is_hotfix, {r("risk_score", 6)} AS risk_score,
+              high_risk_flag, 'scored_patches.csv' AS file_name FROM scored""",
+    ),
+    "gate_file": (
+        ["patch"],
+        f"""SELECT firmware_version, {r("code_churn_score", 6)} AS code_churn_score,
+              {r("previous_version_error_rate", 6)} AS previous_version_error_rate, avg_device_age_days,
+              CAST(is_hotfix AS INTEGER) AS is_hotfix, CAST(patch_security AS INTEGER) AS patch_security,
+              0 AS lost_cells, true AS other_is_missing FROM patch""",
+    ),
+    "dashboard_sheet": (
+        ["qa"],
+        f"SELECT firmware_version, {r('QA_priority_score', 6)} AS QA_priority_score, QA_bucket, high_risk_flag FROM qa",
+    ),
+    "device_inventory": (["ev_region"], "SELECT DISTINCT device_id, model, region, true AS is_undated FROM ev_region"),
+    "promotions": (
+        [],
+        """SELECT CAST(seq AS BIGINT) AS seq, version, version = 'v001' AS is_active, (SELECT count(*) FROM orders) AS n_patches
+           FROM (VALUES (1, 'v001'), (2, 'v002'), (3, 'v001')) AS t(seq, version)""",
+    ),
+    "renamed_key": (SQL["pre_post_errors"][0], f"SELECT release_version AS firmware_version, error_code, delta_errors FROM ({SQL['pre_post_errors'][1]})"),
+    "existing_columns": (["base"], "SELECT firmware_version, files_changed, lines_changed FROM base"),
+    "numeric_sums": (
+        ["base"],
+        "\nUNION ALL ".join(
+            f"SELECT '{c}' AS name, {big(f'sum(CAST(floor({c}) AS BIGINT))')} AS total FROM base"
+            for c in ("release_seq", "patch_size_mb", "days_since_previous_release", "files_changed", "lines_changed",
+                      "avg_device_age_days", "code_churn_score", "error_rate_per_10k")
+        ),
+    ),
+    "feature_tables": (
+        sorted({v for n in FEATURE_SUMS for v in SQL[n][0]}),
+        "\nUNION ALL ".join(
+            f"SELECT '{n}' AS table_name, count(*) AS n, {big(f'sum({c})')} AS total FROM ({SQL[n][1]})" for n, c in FEATURE_SUMS.items()
+        ),
+    ),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     out = {}

@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from fleetgauge.sources import roundtrips
 
 TABLES = ["region", "nation", "customer", "orders", "lineitem", "events"]
 ORACLES = {k: v for k, v in entry_point.oracle_sql().items() if not k.startswith("op")}
 # These fit, or write tables that several of their passes read.
 EAGER = {"gbt_regressor", "gbt_classifier", "cross_validation", "retrained", "rf_regressor", "rf_classifier", "feature_importance", "scored_by_model"}
-EAGER |= {"signal_audit", "signal_audit_pairwise"}
+EAGER |= {"signal_audit", "signal_audit_pairwise", *roundtrips.QUERIES}
 
 
 @pytest.fixture(scope="module")
