@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.license_texts import SPELLINGS, TEXTS
+from fleetgauge.llm.license_texts import DIGESTS, SPELLINGS, TEXTS
 from fleetgauge.llm.shared import add_columns
 
+#: Known digests, 100 bytes each, that are sent to the tasks at most.
+MOST_SENT = 100_000
+
 _MARKS = re.compile(r"[^\w\s]|_")
 _COPYRIGHT = re.compile(r"[^\w\n©]*(?:copyright\b.*(?:\d{4}|©|\(c\)|<year>|\[year\]|\[yyyy\])|©|\(c\)\s).*|[^\w\n]*all rights reserved\W*")
 
@@ -50,10 +53,14 @@ def digests(docs: DataFrame) -> DataFrame:
     return add_columns(rows, "text", lambda: work, "parts array<struct<line: bigint, digest: string>>").select("doc_id", F.inline("parts"))
 
 
-def known_licenses(spark: SparkSession, texts=TEXTS) -> DataFrame:
-    """(license_id, digest) of given (identifier, text) pairs."""
-    rows = sorted({(name, digest(canonical(text))) for name, text in texts if canonical(text)})
-    return spark.createDataFrame(rows, "license_id string, digest string")
+def known_licenses(spark: SparkSession, texts=TEXTS, listed=DIGESTS) -> DataFrame:
+    """(license_id, digest) of given (identifier, text) pairs and of listed digests.
+
+    The rows come from the driver, so their number is known: up to ``MOST_SENT`` they are sent
+    to the tasks, which look digests up where they are made."""
+    rows = sorted({*((name, digest(canonical(text))) for name, text in texts if canonical(text)), *listed})
+    known = spark.createDataFrame(rows, "license_id string, digest string")
+    return F.broadcast(known) if len(rows) <= MOST_SENT else known
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -61,8 +68,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     Line 0 is the whole text. Null, empty and blank texts match nothing; repeated rows are
     reported each, null ids as null. Several identifiers with one digest are all reported.
-    Other columns are not looked at; no rows give no rows. Spark chooses the join by the
-    size of ``known``.
+    Other columns are not looked at; no rows give no rows. Without ``known``, the listed
+    licences are sent to the tasks; else Spark chooses the join by its size.
     """
-    known = known_licenses(docs.sparkSession) if known is None else known
-    return digests(docs).join(known.distinct(), "digest").select("doc_id", "line", "license_id", "digest")
+    known = known_licenses(docs.sparkSession) if known is None else known.distinct()
+    return digests(docs).join(known, "digest").select("doc_id", "line", "license_id", "digest")

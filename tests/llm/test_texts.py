@@ -1,6 +1,7 @@
 """Language identification, personal data, decontamination, licences and tokens."""
 
 import hashlib
+import os
 import random
 import re
 from itertools import pairwise
@@ -245,7 +246,7 @@ def test_licences_match_in_other_spelling(frame):
     found = sorted((r.doc_id or -1, r.line, r.license_id) for r in licenses.scan(docs).collect())
     assert found == [(-1, 0, "CC-BY-NC-4.0"), (1, 0, "MIT"), (2, 2, "MIT"), (2, 2, "MIT")]
     assert licenses.scan(docs.limit(0)).collect() == []
-    assert licenses.scan(docs, licenses.known_licenses(docs.sparkSession, [])).collect() == []
+    assert licenses.scan(docs, licenses.known_licenses(docs.sparkSession, [], [])).collect() == []
 
 
 # Tokens
@@ -284,3 +285,41 @@ def test_forced_cuts_lie_in_no_token():
     assert b"".join(parts) == "qzxqéß".encode() and len(parts) > 1
     word = bpe.Coder.word
     assert word(coder, "xq") == word(coder, "xq")
+
+
+def plain_form(text):
+    """The canonical form, character by character."""
+    kept = []
+    for line in text.lower().splitlines():
+        plain = "".join(c if c.isalnum() or c.isspace() else " " for c in line).split()
+        owner = plain[:1] in (["copyright"], ["©"]) or line.strip().startswith(("(c) ", "©"))
+        dated = any(w.isdigit() and len(w) == 4 for w in plain) or "(c)" in line or "©" in line or "<year>" in line or "[year]" in line or "[yyyy]" in line
+        if (owner and dated) or plain == ["all", "rights", "reserved"]:
+            continue
+        kept += plain
+    return " ".join(licenses.SPELLINGS.get(w, w) for w in kept)
+
+
+def test_licenses_equal_brute_force_on_whole_documents(spark, sf):
+    """Every text and every line of the table against every known text, without digests."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = {(n, plain_form(t)) for n, t in licenses.TEXTS}
+    expected = []
+    for r in docs.collect():
+        lines = (r.text or "").split("\n")
+        pieces = [(0, r.text or ""), *((i + 1, x) for i, x in enumerate(lines) if len(lines) > 1)]
+        expected += [(r.doc_id, i, n) for i, piece in pieces for n, form in known if plain_form(piece) == form]
+    found = [(r.doc_id, r.line, r.license_id) for r in licenses.scan(docs).collect()]
+    assert sorted(found) == sorted(expected) and found
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts installed")
+def test_listed_digests_are_those_of_the_installed_texts(frame):
+    folder = "/usr/share/common-licenses"
+    texts = {n: open(f"{folder}/{n}").read() for n in sorted(os.listdir(folder))}
+    listed = dict(map(reversed, licenses.DIGESTS))
+    shouted = [(i, t.upper().replace(",", " ;")) for i, t in enumerate(texts.values()) if licenses.digest(licenses.canonical(t)) in listed]
+    found = licenses.scan(frame(shouted, "doc_id long, text string")).where("line = 0").collect()
+    assert len(shouted) >= 10 and {r.doc_id for r in found} == {i for i, _ in shouted}
+    plan = licenses.scan(frame(shouted, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
