@@ -21,22 +21,32 @@ def _defused(text: Column) -> Column:
     return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
 
 
+def _hashes(sums=lambda x: x) -> dict[str, Column]:
+    """``h1`` and ``h2`` of a turn, or what ``sums`` makes of them over turns."""
+    return {name: sums(F.xxhash64(F.lit(salt), "place", "role", "text").cast("decimal(20,0)")) for name, salt in (("h1", 1), ("h2", 2))}
+
+
+def _filled(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def turn_prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, place, role, text, h1, h2, last) of every turn: its place from 1 by turn,
     role and text, the hashes of all turns up to it, and whether it is the last."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
+    rows = _filled(turns).withColumn("place", F.row_number().over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
     until = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    for name, salt in (("h1", 1), ("h2", 2)):
-        rows = rows.withColumn(name, F.sum(F.xxhash64(F.lit(salt), "place", "role", "text").cast("decimal(20,0)")).over(until))
-    return rows.drop("turn")
+    return rows.withColumns(_hashes(lambda x: F.sum(x).over(until).cast("decimal(30,0)"))).drop("turn")
+
+
+def _said(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), _defused(role), F.lit("\n"), _defused(text), F.lit(CLOSE + "\n"))
 
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, chat): the turns by place, each between marks."""
-    said = F.concat(F.lit(OPEN), _defused(F.col("role")), F.lit("\n"), _defused(F.col("text")), F.lit(CLOSE + "\n"))
-    rows = turns.select("conv_id", F.struct("place", said.alias("said")).alias("turn"))
+    said = _said(F.col("role"), F.col("text")).alias("said")
+    rows = turns.select("conv_id", F.struct("place", said).alias("turn"))
     done = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join("turns.said", "").alias("chat"))
 
@@ -45,17 +55,24 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, chat) of the conversations that no longer one begins with.
 
     Turns are ordered by ``turn`` (null first), then role and text; repeated rows stay.
-    Null roles and texts count as empty. Rows without a conversation id make one
-    conversation together. Other columns are not looked at; no rows give no rows. A chat
-    becomes one string, so its turns meet in one task.
+    Null roles and texts count as empty. A row without a conversation id is a conversation of
+    one turn; equal ones are reported once, and only if no conversation begins with this turn.
+    Other columns are not looked at; no rows give no rows. A chat becomes one string, so its
+    turns meet in one task.
     """
-    prefixes = turn_prefixes(turns)
+    prefixes = turn_prefixes(turns.where("conv_id is not null"))
     hashes = ["h1", "h2", "place"]
-    wholes = prefixes.where("last").groupBy(*hashes).agg(F.min("conv_id").alias("conv_id"))
+    lone = _filled(turns.where("conv_id is null")).withColumn("place", F.lit(1))
+    lone = lone.withColumns(_hashes(lambda x: x.cast("decimal(30,0)")))
+    ends = prefixes.where("last").select(*hashes, "conv_id").unionByName(lone.select(*hashes, "conv_id", F.struct("role", "text").alias("only")), allowMissingColumns=True)
+    wholes = ends.groupBy(*hashes).agg(F.min("conv_id").alias("kept"), F.min("only").alias("only"))
     longer = prefixes.where("not last").select(*hashes).distinct()
-    kept = wholes.join(longer, hashes, "left_anti").select(F.col("conv_id").alias("kept"))
-    own = prefixes.join(kept, F.col("conv_id").eqNullSafe(F.col("kept"))).drop("kept")
-    return render(own)
+    maximal = wholes.join(longer, hashes, "left_anti")
+    own = prefixes.join(maximal.where("kept is not null").select("kept"), F.col("conv_id") == F.col("kept")).drop("kept")
+    single = maximal.where("kept is null").select(
+        F.col("kept").alias("conv_id"), F.lit(1).cast("long").alias("n_turns"), _said(F.col("only.role"), F.col("only.text")).alias("chat")
+    )
+    return render(own).unionByName(single)
 
 
 ORACLE = f"""

@@ -135,6 +135,15 @@ def test_maximal_conversations(frame):
     assert chats.maximal_conversations(frame([], TURNS)).collect() == []
 
 
+def test_turns_without_a_conversation_stand_alone(frame):
+    rows = [(None, k, "user", t, None, None) for k, t in enumerate(["a", "a", "b", "c", None])]
+    rows += [(1, 0, "user", "b", None, None), (2, 0, "user", "c", None, None), (2, 1, "user", "d", None, None)]
+    found = chats.maximal_conversations(frame(rows, TURNS)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.chat.count(chats.OPEN)) for r in found) == [(0, 1, 1), (0, 1, 1), (1, 1, 1), (2, 2, 2)]
+    plan = chats.maximal_conversations(frame(rows[:5], TURNS)).collect()
+    assert sorted(r.chat for r in plan) == sorted(f"<|im_start|>user\n{t}<|im_end|>\n" for t in ("a", "b", "c", ""))
+
+
 def test_many_equal_beginnings(frame):
     rng = random.Random(4)
     rows, chats_of = [], {}
