@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
 from fleetgauge.operators import boosting
-from fleetgauge.plans import drift, features, kpis, models, scoring, stats
+from fleetgauge.plans import drift, features, kpis, models, scoring, sketches, stats
 from fleetgauge.schemas import SCHEMAS, required_nulls
 from fleetgauge.sources import files, roundtrips
 from fleetgauge.sources import fixtures as V
@@ -342,6 +342,24 @@ def history_sample(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select("firmware_version", "release_seq")
 
 
+def sketched_kpis(spark: SparkSession, d: str) -> DataFrame:
+    """Errors per day from the sketches, and whether the whole span's counts are near the exact."""
+    events = V.device_events(spark, d)
+    days = sketches.daily_sketches(events, "model")
+    exact = kpis.executive_kpis(events).select(F.struct("*").alias("e")).scalar()
+    found = sketches.executive_kpis(days).withColumn("e", exact).select("*", *[F.col("e")[c].alias(f"exact_{c}") for c in ("total_devices", "unique_error_codes", "total_firmware_versions")])
+    near = [sketches.is_near(c, f"exact_{c}").alias(f"{c}_near") for c in ("total_devices", "unique_error_codes", "total_firmware_versions")]
+    return found.select("total_error_events", *near)
+
+
+def sketched_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Errors per model from daily sketches, and whether the device counts are near the exact."""
+    events = V.device_events(spark, d)
+    found = sketches.by_dimension(sketches.daily_sketches(events, "model"), "model")
+    exact = kpis.by_model(events).select("model", F.col("device_count").alias("exact"))
+    return found.join(exact, "model").select("model", "total_errors", sketches.is_near("device_count", "exact").alias("devices_near"))
+
+
 QUERIES: dict[str, Query] = {
     "required_nulls": missing_values,
     "executive_kpis": _events(kpis.executive_kpis),
@@ -353,6 +371,8 @@ QUERIES: dict[str, Query] = {
     "weekly_trend": _events(kpis.weekly_trend),
     "by_model": _events(kpis.by_model),
     "by_region": lambda spark, d: kpis.by_region(V.regional_counts(spark, d), "n_events"),
+    "sketched_kpis": sketched_kpis,
+    "sketched_by_model": sketched_by_model,
     "error_cooccurrence": _events(kpis.error_cooccurrence),
     "version_regressions": _events(kpis.version_regressions),
     "version_regressions_consecutive": _events(

@@ -881,6 +881,15 @@ FEATURE_SUMS = {
     "error_spikes": "error_count", "pre_post_errors": "post_errors", "stability_curves": "error_count",
 }
 
+# Estimates are near the exact counts; sums are exact.
+SQL |= {
+    "sketched_kpis": (
+        ["ev"],
+        "SELECT count(*) AS total_error_events, true AS total_devices_near, true AS unique_error_codes_near, true AS total_firmware_versions_near FROM ev",
+    ),
+    "sketched_by_model": (["ev"], "SELECT model, count(*) AS total_errors, true AS devices_near FROM ev GROUP BY model"),
+}
+
 # What is written and read again is what was there.
 SQL |= {
     "raw_tables": (
