@@ -342,6 +342,15 @@ def history_sample(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select("firmware_version", "release_seq")
 
 
+def drift_from_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Drift from states of three batches of history and of the new rows."""
+    old, new = _sides(V.patch_features(spark, d))
+    third = F.pmod(F.col("release_seq"), F.lit(3))
+    history = drift.merge_moments(*[drift.moments(old.where(third == k)) for k in range(3)])
+    report = drift.drift_from_moments(history, drift.moments(new))
+    return rounded(report, "history_mean", "new_mean", "drift_pct")
+
+
 def sketched_kpis(spark: SparkSession, d: str) -> DataFrame:
     """Errors per day from the sketches, and whether the whole span's counts are near the exact."""
     events = V.device_events(spark, d)
@@ -489,6 +498,7 @@ QUERIES: dict[str, Query] = {
     "drift_report": _patches(
         lambda p: rounded(drift.drift_between(p, _is_new()), "history_mean", "new_mean", "drift_pct")
     ),
+    "drift_from_moments": drift_from_moments,
     "should_retrain": _base(
         lambda p: drift.should_retrain(drift.drift_between(p, _is_new(), ["code_churn_score"]))
     ),

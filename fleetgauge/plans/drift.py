@@ -58,6 +58,32 @@ def drift_between(
     )
 
 
+def moments(rows: DataFrame, features: Sequence[str] = tuple(S.DRIFT_FEATURES)) -> DataFrame:
+    """(feature, n, total): one row per feature, from which means follow. States of several
+    batches are merged by ``merge_moments``, so a batch is read once, when it arrives."""
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features]
+    return rows.select(F.inline(F.array(*entries))).groupBy("feature").agg(F.count("x").alias("n"), F.sum("x").alias("total"))
+
+
+def merge_moments(*states: DataFrame) -> DataFrame:
+    """The state of all batches together."""
+    whole = states[0]
+    for state in states[1:]:
+        whole = whole.unionByName(state)
+    return whole.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def drift_from_moments(history: DataFrame, new: DataFrame, threshold: float = S.DRIFT_THRESHOLD_PCT) -> DataFrame:
+    """As ``drift_report``, from states: history is not read again."""
+    mean = X.ratio(F.col("total"), F.col("n"))
+    both = history.select("feature", mean.alias("history_mean")).join(new.select("feature", mean.alias("new_mean")), "feature", "full")
+    return (
+        both.withColumn("drift_pct", _drift(F.col("new_mean"), F.col("history_mean")))
+        .withColumn("drifted", F.coalesce(F.col("drift_pct") > threshold, F.lit(False)))
+        .orderBy("feature")
+    )
+
+
 def drift_report(
     history: DataFrame,
     new: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -226,16 +226,36 @@ def out_of_order(df: DataFrame, line: str, seq: str, date: str) -> DataFrame:
     )
 
 
-def quality_report(patches: DataFrame, line: str = "product_line", seq: str = "release_seq") -> DataFrame:
-    """Checks by name, with the number of offending values and whether they passed."""
+def _violations(patches: DataFrame) -> dict[str, Column]:
+    """Aggregates that count the offending values of each check but that of the dates."""
     rate, rma = F.col("error_rate_per_10k"), F.col("rma_rate")
     nulls: Column = sum((F.count_if(F.col(c).isNull()) for c in patches.columns), F.lit(0))
-    found = patches.agg(
-        nulls.alias("no_nulls"),
-        F.count_if(~F.coalesce(rate > 0, F.lit(False))).alias("error_rate_positive"),
-        F.count_if(~F.coalesce(rma.between(0, 1), F.lit(False))).alias("rma_rate_in_unit_range"),
-    )
-    checks = ["no_nulls", "error_rate_positive", "rma_rate_in_unit_range"]
+    return {
+        "no_nulls": nulls,
+        "error_rate_positive": F.count_if(~F.coalesce(rate > 0, F.lit(False))),
+        "rma_rate_in_unit_range": F.count_if(~F.coalesce(rma.between(0, 1), F.lit(False))),
+    }
+
+
+def write_checked(patches: DataFrame, path: str) -> dict[str, int]:
+    """Write patches and check them on the same pass: rows, distinct versions (estimated), high
+    risk rows where there is such a flag, and the violations of ``quality_report``.
+
+    The order of dates needs other passes and is not among them.
+    """
+    seen = {**_violations(patches), "rows": X.rows(), "versions": F.approx_count_distinct("firmware_version", 0.01)}
+    if "high_risk_flag" in patches.columns:
+        seen["n_high_risk"] = F.count_if(F.col("high_risk_flag") == 1)
+    observed = Observation()
+    watched = patches.observe(observed, *[F.coalesce(c, F.lit(0)).alias(name) for name, c in seen.items()])
+    watched.write.mode("overwrite").parquet(path)
+    return observed.get
+
+
+def quality_report(patches: DataFrame, line: str = "product_line", seq: str = "release_seq") -> DataFrame:
+    """Checks by name, with the number of offending values and whether they passed."""
+    violations = _violations(patches)
+    found, checks = patches.agg(*[c.alias(name) for name, c in violations.items()]), list(violations)
     order = out_of_order(patches, line, seq, "release_date")
     long = found.unpivot([], checks, "check", "violations").unionByName(
         order.select(F.lit("dates_in_order").alias("check"), F.col("steps_back").alias("violations"))

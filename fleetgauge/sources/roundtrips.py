@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fleetgauge import settings as S
 from fleetgauge import schemas
 from fleetgauge.functions import expressions as X
-from fleetgauge.plans import features, models, scoring
+from fleetgauge.plans import features, models, scoring, stats
 from fleetgauge.sources import files, registry
 from fleetgauge.sources import fixtures as V
 from fleetgauge.sources.shared import shared_folder
@@ -112,6 +112,15 @@ def dashboard_sheet(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sheet.select("firmware_version", "QA_priority_score", "QA_bucket", "high_risk_flag"), "QA_priority_score")
 
 
+def written_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What ``stats.write_checked`` saw of the patches it wrote, beside the rows that are there."""
+    path = posixpath.join(_folder(spark), "patches.parquet")
+    seen = stats.write_checked(V.patch_features(spark, d).select(*schemas.SCHEMAS["patch_features"].fieldNames()), path)
+    names = ["rows", "no_nulls", "error_rate_positive", "rma_rate_in_unit_range"]
+    there = spark.read.parquet(path).agg(X.rows().alias("rows_there"))
+    return there.select("rows_there", *[F.lit(seen[n]).cast("long").alias(n) for n in names])
+
+
 def device_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Devices of the telemetry written as an inventory and read with its schema."""
     folder = _folder(spark)
@@ -166,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scored_file": scored_file,
     "gate_file": gate_file,
     "dashboard_sheet": dashboard_sheet,
+    "written_checks": written_checks,
     "device_inventory": device_inventory,
     "promotions": promotions,
     "renamed_key": renamed_key,

@@ -881,6 +881,8 @@ FEATURE_SUMS = {
     "error_spikes": "error_count", "pre_post_errors": "post_errors", "stability_curves": "error_count",
 }
 
+SQL["drift_from_moments"] = SQL["drift_report"]
+
 # Estimates are near the exact counts; sums are exact.
 SQL |= {
     "sketched_kpis": (
@@ -902,6 +904,12 @@ SQL |= {
         UNION ALL
         SELECT 'support_tickets', ticket_id, strftime(created_at, '%Y-%m-%d %H:%M:%S'), resolution FROM tk""",
     ),
+    "written_checks": (
+        ["patch"],
+        "SELECT (SELECT count(*) FROM patch) AS rows_there, (SELECT count(*) FROM patch) AS rows, "
+        + ", ".join(f"max(violations) FILTER (\"check\" = '{c}') AS {c}" for c in ("no_nulls", "error_rate_positive", "rma_rate_in_unit_range"))
+        + f" FROM ({SQL['quality_report'][1]})",
+    ),
     "merged_table": (["patch"], f"SELECT firmware_version, is_hotfix, {r('code_churn_score', 6)} AS code_churn_score FROM patch"),
     "scored_file": (
         ["scored"],
