@@ -342,7 +342,7 @@ def renew(history: DataFrame, new: DataFrame, root: str, key: str = "firmware_ve
     if not drift.should_retrain(report).first()["retrain"]:
         return None
     model, _ = retrain(drift.append_new(history, drift.mark_new(new, key)), key, **options)
-    version = registry.next_version(history.sparkSession, root)
+    version = registry.reserve_version(history.sparkSession, root)
     registry.save_model(model, root, version)
     registry.promote(history.sparkSession, root, version)
     return version
