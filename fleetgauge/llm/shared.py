@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.sources.shared import remove_shared, shared_folder, write_shared  # noqa: F401
+
 #: Rows that a task's Python function gets at a time.
 ROWS = 500
 
@@ -18,33 +18,6 @@ ROWS = 500
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def write_shared(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it cuts the lineage,
-    and the loss of an executor costs nothing of what was computed before. The folder's
-    owner expires it as other checkpoints."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_shared(df: DataFrame) -> None:
-    """Delete what ``write_shared`` wrote for a table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def add_columns(df: DataFrame, column: str, start: Callable[[], Callable], schema: str) -> DataFrame:
     """``df`` and the columns of ``schema``. Each task calls ``start`` once; what it returns
     gets the Arrow array ``column`` of some rows and returns the new columns' arrays."""
