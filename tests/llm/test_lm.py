@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from fleetgauge.llm import lm
 
@@ -17,7 +18,10 @@ def is_held_out(doc_id):
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def test_scores_equal_a_plain_model(spark, sf):
+@pytest.mark.parametrize("listed", [lm.LISTED, 5])
+def test_scores_equal_a_plain_model(spark, sf, monkeypatch, listed):
+    """Whatever the number of words that all tasks know, each word is a context of its own."""
+    monkeypatch.setattr(lm, "LISTED", listed)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = lm.learn_model(lm.rows_of(docs))
     found = {r.doc_id: r for r in lm.score_texts(docs).collect()}
@@ -29,13 +33,12 @@ def test_scores_equal_a_plain_model(spark, sf):
             starts += 1
             pairs.update(zip(["^", *ts], ts))
     n, kinds = sum(words.values()), len(words)
-    assert kinds < lm.CONTEXTS  # so every known word is a context of its own
-    unknown = n - starts - sum(c for w, c in words.items() if w is not None)
+    assert len(model.words) == min(listed, kinds)
     for i, ts in tokens.items():
         base = score = 0.0
         for before, w in zip(["^", *ts], ts):
             base += math.log10((words[w] + 0.1) / (n + 0.1 * (kinds + 1)))
-            seen = starts if before == "^" else words[before] or unknown
+            seen = starts if before == "^" else words[before]
             mix = model.weights[math.frexp(seen)[1]]
             high = pairs[before, w] / max(seen, 1)
             score += math.log10(mix[0] * high + mix[1] * words[w] / n + mix[2] / (kinds + 1))
@@ -90,6 +93,16 @@ def test_scored_bytes_do_not_grow_with_the_parts(frame):
     sizes = []
     for parts in (64, 1024):
         placed = lm.place_pairs(rows, sent, parts)
-        sums = placed.groupBy("part").applyInArrow(lm._score_part(sent), lm.SUMS)
+        sums = placed.groupBy("part").applyInArrow(lm._score_part(sent), lm.PLACED)
         sizes.append(sums.selectExpr("sum(length(docs) + length(sums) + length(known))").first()[0])
     assert sizes[1] <= 600 * 7 * 22 and sizes[1] < 1.3 * sizes[0]
+
+
+def test_unlisted_contexts_of_held_out_rows_and_of_many_parts(frame, monkeypatch):
+    """Scores are the same for any list and number of parts, with contexts never learned."""
+    rows = [(i, f"a w{i} b x{i % 7} w{i + 1} a w{i}", None, 1) for i in range(80)] + [(None, "never seen w3 a", None, 1)]
+    df = frame(rows, SCHEMA)
+    usual = sorted((r.doc_id or -1, r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in lm.score_texts(df).collect())
+    monkeypatch.setattr(lm, "LISTED", 2)
+    monkeypatch.setattr(lm, "PART", 10)  # many parts, and several for a context
+    assert usual == sorted((r.doc_id or -1, r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in lm.score_texts(df).collect())
