@@ -363,7 +363,7 @@ def place_pairs(rows: DataFrame, sent, parts: int) -> DataFrame:
             train = (np.array(block.folds) != HELD_OUT).astype(np.uint16)
             lengths = np.bincount(docs, minlength=len(sums))
             pieces = [(p, s, None) for p, s in _split(part)]
-            pieces.append(((first + number) % parts, slice(0, 0), np.column_stack([sums, lengths])))
+            pieces.append((((first >> 24) + number) % parts, slice(0, 0), np.column_stack([sums, lengths])))
             for p, s, own in pieces:
                 cells = [*_packed(word[s], follows[s], context[s], hashes, place, listed), doc[s] << 1 | train[doc[s]]]
                 ids = pa.array([block.doc_ids if own is not None else None], pa.list_(pa.int64()))
@@ -376,8 +376,9 @@ def place_pairs(rows: DataFrame, sent, parts: int) -> DataFrame:
 
 
 SUMS = "block long, doc_ids array<long>, own binary, docs binary, sums binary, known binary"
-#: Places of pairs whose context is not listed: its hash, the counts of pair and word, the place.
-LATER = ["unlisted", "pairs", "counts", "blocks", "places"]
+#: Places of pairs whose context is not listed, by block and document: the context's hash, the
+#: counts of pair and word, the document; the blocks and how many places each has.
+LATER = ["unlisted", "pairs", "counts", "places", "blocks", "lengths"]
 PLACED = f"part long, {SUMS}, " + ", ".join(f"{n} binary" for n in LATER)
 
 
@@ -413,16 +414,21 @@ def _score_part(sent, parts: int = 1, salts: int = 1):
         cells = [(met & 0xFFFF).astype(np.uint16), np.column_stack([totals, base]), known.astype(np.uint32)]
         packed = [pa.array([c[a:b].tobytes() for a, b in pairwise(borders)], pa.binary()) for c in cells]
         block_ids = table.column("block").to_numpy()
-        whole = [pa.array(block_ids % parts), table.column("block"), table.column("doc_ids"), table.column("sums"), *packed]
+        whole = [pa.array(np.full(len(lengths), own_part)), table.column("block"), table.column("doc_ids"), table.column("sums"), *packed]
         whole = pa.table(whole, names=["part", *_named(SUMS)])
         # places of later pairs, by the part of their context
         hashes = unlisted[contexts[later] - UNLISTED]
         part = np.repeat((hashes % parts + own_part % salts) % parts, times[later])
-        at = np.repeat(later, times)
-        order = np.argsort(part, kind="stable")
-        cells = [np.repeat(hashes, times[later]), np.repeat(pair[later].astype(np.uint32), times[later]), np.repeat(word[later], times[later]), block_ids[docs[at] >> 16], (docs[at] & 0xFFFF).astype(np.uint16)]
-        pieces = list(_split(part[order]))
-        columns = [pa.array([p for p, _ in pieces], pa.int64())] + [pa.array([c[order][s].tobytes() for _, s in pieces], pa.binary()) for c in cells]
+        hashes, pairs, counts = (np.repeat(x, times[later]) for x in (hashes, pair[later].astype(np.uint32), word[later]))
+        docs = docs[np.repeat(later, times)]
+        order = np.lexsort((docs, part))
+        part, docs, *cells = (x[order] for x in (part, docs, hashes, pairs, counts))
+        rows = []
+        for p, s in _split(part):
+            starts = _runs(docs[s] >> 16)
+            blocks_met = block_ids[docs[s][starts] >> 16], np.diff(np.append(starts, s.stop - s.start)).astype(np.uint32)
+            rows.append([p, *(x.tobytes() for x in (*(c[s] for c in cells), (docs[s] & 0xFFFF).astype(np.uint16), *blocks_met))])
+        columns = [pa.array([row[i] for row in rows], pa.binary() if i else pa.int64()) for i in range(1 + len(LATER))]
         return pa.concat_tables([whole, pa.table(columns, names=["part", *LATER])], promote_options="default")
 
     return score
@@ -436,7 +442,8 @@ def _score_later(sent):
         model = sent.value
         ready = table.filter(pc.is_valid(table.column("block"))).select(_named(SUMS))
         table = table.filter(pc.is_null(table.column("block")))
-        hashes, pair, word, block_ids, docs = (_unpacked(table, c, k) for c, k in zip(LATER, ("<i8", "<u4", "<i8", "<i8", "<u2"), strict=True))
+        hashes, pair, word, docs, block_ids, lengths = (_unpacked(table, c, k) for c, k in zip(LATER, ("<i8", "<u4", "<i8", "<u2", "<i8", "<u4"), strict=True))
+        block_ids = np.repeat(block_ids, lengths)
         known, n = (counts.column(c).to_numpy() for c in ("word", "n"))
         order = np.argsort(known)
         # a context that no training row has is not in the table
