@@ -179,18 +179,29 @@ def _by_part(part: np.ndarray, word: np.ndarray, hashes: np.ndarray, place: np.n
     return np.argsort(part * (listed + len(hashes)) + rank[word])
 
 
-#: Packed pairs: places of the listed words, hashes of the others and how often each follows,
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers by their first bytes, then their second ones, so that small ones compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(packed: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+#: Packed pairs: steps between places of the listed words (planes), hashes of the others and how often each follows,
 #: contexts of all pairs, hashes of the unlisted contexts.
 PAIRS = ["places", "words", "lengths", "contexts", "unlisted"]
 
 
-def _packed(word: np.ndarray, before: np.ndarray, context: np.ndarray, hashes: np.ndarray, place: np.ndarray, listed: int) -> list[np.ndarray]:
+def _packed(word: np.ndarray, before: np.ndarray, context: np.ndarray, hashes: np.ndarray, place: np.ndarray, listed: int) -> list[bytes]:
     """Pairs in the order of ``_by_part`` as the columns ``PAIRS``."""
     first = np.count_nonzero(place[word] < listed)
     others = word[first:]
     starts = _runs(others)
     lengths = np.diff(np.append(starts, len(others))).astype(np.uint32)
-    return [place[word[:first]].astype(np.uint16), hashes[others[starts]], lengths, context, hashes[before[context == listed]]]
+    steps = np.diff(place[word[:first]], prepend=0).astype(np.uint16)
+    return [_planes(steps), *(x.tobytes() for x in (hashes[others[starts]], lengths, context, hashes[before[context == listed]]))]
 
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -223,8 +234,8 @@ def pair_counts(rows: DataFrame, sent, parts: int) -> DataFrame:
             order = _by_part(part, word, hashes, place, listed)
             part, word, before, context, tuning, rest = (x[order] for x in (part, word, before, context, tuning, rest))
             for p, s in _split(part):
-                cells = [*_packed(word[s], before[s], context[s], hashes, place, listed), rest[s], tuning[s]]
-                yield pa.RecordBatch.from_arrays([pa.array([p])] + [pa.array([c.tobytes()], pa.binary()) for c in cells], names=names)
+                cells = [*_packed(word[s], before[s], context[s], hashes, place, listed), rest[s].tobytes(), tuning[s].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([p])] + [pa.array([c], pa.binary()) for c in cells], names=names)
 
     return rows.mapInArrow(run, "part long, " + ", ".join(f"{n} binary" for n in names[1:]))
 
@@ -233,6 +244,10 @@ def _unpacked(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def _from_rows(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_from_planes(x, kind) for x in table.column(name).to_pylist())])
+
+
 def _pair_keys(table: pa.Table, listed: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of word and context of each packed pair, hashes of the unlisted contexts).
 
@@ -243,7 +258,7 @@ def _pair_keys(table: pa.Table, listed: int) -> tuple[np.ndarray, np.ndarray]:
     words, at = [np.zeros(0, np.int64)], 0
     for places, lengths in zip(table.column("places").to_pylist(), table.column("lengths").to_pylist(), strict=True):
         lengths = np.frombuffer(lengths, "<u4")
-        words += [np.frombuffer(places, "<u2").astype(np.int64), np.repeat(listed + number[at : at + len(lengths)], lengths)]
+        words += [np.cumsum(_from_planes(places, "<u2"), dtype=np.int64), np.repeat(listed + number[at : at + len(lengths)], lengths)]
         at += len(lengths)
     contexts = _unpacked(table, "contexts", "<u2").astype(np.int64)
     unlisted, number = np.unique(_unpacked(table, "unlisted", "<i8"), return_inverse=True)
@@ -365,10 +380,10 @@ def place_pairs(rows: DataFrame, sent, parts: int) -> DataFrame:
             pieces = [(p, s, None) for p, s in _split(part)]
             pieces.append((((first >> 24) + number) % parts, slice(0, 0), np.column_stack([sums, lengths])))
             for p, s, own in pieces:
-                cells = [*_packed(word[s], follows[s], context[s], hashes, place, listed), doc[s] << 1 | train[doc[s]]]
+                cells = [*_packed(word[s], follows[s], context[s], hashes, place, listed), (doc[s] << 1 | train[doc[s]]).tobytes()]
                 ids = pa.array([block.doc_ids if own is not None else None], pa.list_(pa.int64()))
                 columns = [pa.array([p]), pa.array([first + number]), ids]
-                columns += [pa.array([c.tobytes()], pa.binary()) for c in cells]
+                columns += [pa.array([c], pa.binary()) for c in cells]
                 columns.append(pa.array([own.tobytes() if own is not None else None], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -377,7 +392,7 @@ def place_pairs(rows: DataFrame, sent, parts: int) -> DataFrame:
 
 SUMS = "block long, doc_ids array<long>, own binary, docs binary, sums binary, known binary"
 #: Places of pairs whose context is not listed, by block and document: the context's hash, the
-#: counts of pair and word, the document; the blocks and how many places each has.
+#: counts of pair and word, the document; the blocks and how many places each has (all as planes).
 LATER = ["unlisted", "pairs", "counts", "places", "blocks", "lengths"]
 PLACED = f"part long, {SUMS}, " + ", ".join(f"{n} binary" for n in LATER)
 
@@ -427,7 +442,7 @@ def _score_part(sent, parts: int = 1, salts: int = 1):
         for p, s in _split(part):
             starts = _runs(docs[s] >> 16)
             blocks_met = block_ids[docs[s][starts] >> 16], np.diff(np.append(starts, s.stop - s.start)).astype(np.uint32)
-            rows.append([p, *(x.tobytes() for x in (*(c[s] for c in cells), (docs[s] & 0xFFFF).astype(np.uint16), *blocks_met))])
+            rows.append([p, *(_planes(x) for x in (*(c[s] for c in cells), (docs[s] & 0xFFFF).astype(np.uint16), *blocks_met))])
         columns = [pa.array([row[i] for row in rows], pa.binary() if i else pa.int64()) for i in range(1 + len(LATER))]
         return pa.concat_tables([whole, pa.table(columns, names=["part", *LATER])], promote_options="default")
 
@@ -442,7 +457,7 @@ def _score_later(sent):
         model = sent.value
         ready = table.filter(pc.is_valid(table.column("block"))).select(_named(SUMS))
         table = table.filter(pc.is_null(table.column("block")))
-        hashes, pair, word, docs, block_ids, lengths = (_unpacked(table, c, k) for c, k in zip(LATER, ("<i8", "<u4", "<i8", "<u2", "<i8", "<u4"), strict=True))
+        hashes, pair, word, docs, block_ids, lengths = (_from_rows(table, c, k) for c, k in zip(LATER, ("<i8", "<u4", "<i8", "<u2", "<i8", "<u4"), strict=True))
         block_ids = np.repeat(block_ids, lengths)
         known, n = (counts.column(c).to_numpy() for c in ("word", "n"))
         order = np.argsort(known)
