@@ -2,36 +2,37 @@
 
 Features are cut at approximate quantiles. Rows that agree in all bins, fold and side are
 one cell with sums of the label, from which every gradient and loss follows exactly, so that
-what a round works on is bounded by the number of different cells. Cells stay with their
-tasks, together with the margin each model gives them, and a round goes on from there: the
-tasks of a barrier stage exchange histograms per level of the trees, all models' at once,
-and take the same splits. A model may leave one fold out; each model ends when a slice of
-its training rows has gained nothing for some rounds, and is cut back to its best round.
-
-A job has a bounded number of rounds and writes the cells with their margins to the shared
+what a round works on is bounded by the number of different cells. Cells stay in blocks,
+together with the margin each model gives them, and a round goes on from there: each level of
+the trees is a job that sums the blocks' histograms, all models' at once, and the driver takes
+the splits. Few cells are one block, and a single task runs all rounds there. (No barrier stage
+does this: each of its exchanges takes a second at least, however little is sent.) A model may
+leave one fold out; each model ends when a slice of its training rows has gained nothing for
+some rounds, and is cut back to its best round.
+
+After a bounded number of rounds the cells with their margins are written to the shared
 folder: a lost executor costs the rounds since then.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import sys
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import BarrierTaskContext, cloudpickle, keyword_only
+from pyspark import RDD, TaskContext, cloudpickle, keyword_only
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from fleetgauge.sources.shared import remove_shared, write_shared
 
@@ -40,13 +41,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bins of a feature, one of them for missing values.
 BINS = 64
-#: Cells of a task, and rounds of a job.
+#: Cells of a block, and rounds until margins are written.
 CELLS, ROUNDS_A_JOB = 50_000, 100
+#: Blocks whose histograms the driver adds up; more are added up by tasks first.
+DIRECT = 64
 #: Added to the sum of second derivatives of a leaf; least such sum of a split's sides.
 SMOOTHING, LEAST = 1.0, 1e-3
 SQUARED, LOGISTIC = "squared", "logistic"
 
-STATE = "bins binary, folds binary, held binary, n binary, total binary, squares binary, margins binary, log string"
+STATE = "part int, bins binary, folds binary, held binary, n binary, total binary, squares binary, margins binary, log string"
 
 
 class Options(NamedTuple):
@@ -99,27 +102,42 @@ def cells(df: DataFrame, features: Sequence[str], borders: list[list[float]], la
 
 
 class State:
-    """The cells of a task and the models' margins there."""
+    """The cells of a block and the models' margins there."""
 
     def __init__(self, bins: np.ndarray, folds: np.ndarray, held: np.ndarray, n: np.ndarray, total: np.ndarray, squares: np.ndarray, margins: np.ndarray):
         self.bins, self.folds, self.held = bins, folds, held
         self.n, self.total, self.squares, self.margins = n, total, squares, margins
 
     @classmethod
-    def of(cls, batches: Iterator[pa.RecordBatch], features: int, models: int) -> State:
+    def of(cls, row: Row | dict, features: int, models: int) -> State:
         kinds = [np.uint8, np.int32, bool, float, float, float, float]
         shapes = [(features, -1), (-1,), (-1,), (-1,), (-1,), (-1,), (models, -1)]
-        parts = [[np.zeros([max(s, 0) for s in shape], k)] for k, shape in zip(kinds, shapes, strict=True)]
-        for batch in batches:
-            for row in range(batch.num_rows):
-                for i, (kind, shape) in enumerate(zip(kinds, shapes, strict=True)):
-                    parts[i].append(np.frombuffer(batch.column(i)[row].as_py(), kind).reshape(shape))
-        return cls(*[np.concatenate(p, axis=-1) for p in parts])
+        names = ["bins", "folds", "held", "n", "total", "squares", "margins"]
+        return cls(*[np.frombuffer(row[c], kind).reshape(shape) for c, kind, shape in zip(names, kinds, shapes, strict=True)])
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.bins, self.folds, self.held, self.n, self.total, self.squares, self.margins]
+
+    def record(self, part: int, log: str | None = None) -> pa.RecordBatch:
+        columns = [pa.array([a.tobytes()], pa.binary()) for a in self.arrays()]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *columns, pa.array([log], pa.string())], names=[f.split()[0] for f in STATE.split(", ")])
 
-    def record(self, log: str | None) -> pa.RecordBatch:
-        arrays = [self.bins, self.folds, self.held, self.n, self.total, self.squares, self.margins]
-        columns = [pa.array([a.tobytes()], pa.binary()) for a in arrays]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([log], pa.string())], names=[f.split()[0] for f in STATE.split(", ")])
+    def placed(self, splits: list[tuple[np.ndarray, np.ndarray]], models: int) -> np.ndarray:
+        """(models, cells): the node of each cell below the splits so far."""
+        nodes, rows, each = np.zeros((models, len(self.n)), np.int64), np.arange(models)[:, None], np.arange(len(self.n))
+        for feature, border in splits:
+            nodes = 2 * nodes + (self.bins[feature[rows, nodes], each] > border[rows, nodes])
+        return nodes
+
+    def level(self, loss: str, some: np.ndarray, folds: int, splits: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The histogram of the nodes below the splits so far."""
+        return self.histogram(self.placed(splits, len(some)), 2 ** len(splits), *self.slopes(loss, some, folds))
+
+    def moved(self, some: np.ndarray, splits: list[tuple[np.ndarray, np.ndarray]], leaves: np.ndarray) -> State:
+        """The same cells, with a tree more in the margins of some models."""
+        margins = self.margins.copy()
+        margins[some] += leaves[np.arange(len(some))[:, None], self.placed(splits, len(some))]
+        return State(*self.arrays()[:-1], margins)
 
     def slopes(self, loss: str, some: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
         """First and second derivatives (models, cells) of the training loss."""
@@ -173,75 +191,118 @@ def best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return feature, border, children.reshape(best.shape[0], -1, 2)
 
 
-def _together(context: BarrierTaskContext, array: np.ndarray) -> np.ndarray:
-    """The sum of all tasks' arrays, the same in each task."""
-    if len(context.getTaskInfos()) == 1:
-        return array
-    told = context.allGather(base64.b64encode(zlib.compress(np.ascontiguousarray(array).tobytes(), 1)).decode())
-    return sum(np.frombuffer(zlib.decompress(base64.b64decode(t)), float).reshape(array.shape) for t in told)
-
-
-def _job(options: Options, features: int, folds: int, first_round: int, known: list[dict]):
-    """A barrier task's rounds. ``known`` has each model's losses so far and whether it goes on."""
+class Here:
+    """One block, in the task that works on it."""
+
+    def __init__(self, state: State):
+        self.state = state
+
+    def total(self, work: Callable[[State], np.ndarray]) -> np.ndarray:
+        return work(self.state)
+
+    def move(self, work: Callable[[State], State]) -> None:
+        self.state = work(self.state)
+
+
+class Across:
+    """Blocks kept by the executors, seen from the driver."""
+
+    def __init__(self, blocks: RDD):
+        self.blocks, self.before = blocks.persist(StorageLevel.MEMORY_AND_DISK), None
+
+    def total(self, work: Callable[[State], np.ndarray]) -> np.ndarray:
+        """The sum of an array over the blocks."""
+        arrays = self.blocks.map(lambda block: work(State(*block)))
+        out = sum(arrays.collect()) if arrays.getNumPartitions() <= DIRECT else arrays.treeReduce(np.add)
+        self._forget()
+        return out
+
+    def move(self, work: Callable[[State], State]) -> None:
+        """A new state of the blocks; the old one is kept until a job has made it."""
+        self._forget()
+        self.before, self.blocks = self.blocks, self.blocks.map(lambda block: work(State(*block)).arrays()).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _forget(self) -> None:
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+
+    def close(self) -> None:
+        self._forget()
+        self.blocks.unpersist()
+
+
+def _rounds(cells: Here | Across, options: Options, folds: int, first_round: int, known: list[dict]) -> dict:
+    """Some rounds on. ``known`` has each model's losses so far and whether it goes on; so has
+    what is returned, with the new trees."""
+    loss, active = options.loss, np.array([m for m, k in enumerate(known) if k["active"]])
+    losses, trees = [list(m["losses"]) for m in known], [[] for _ in known]
+
+    def note(measured: np.ndarray) -> np.ndarray:
+        """Which of the active models go on, given their losses on held rows."""
+        on = []
+        for model, (error, n) in zip(active, measured.tolist(), strict=True):
+            own = losses[model]
+            own.append(error / n if n else 0.0)
+            best = min(range(len(own)), key=own.__getitem__)
+            on.append(not (options.patience and n and len(own) - 1 - best >= options.patience))
+        return np.array(on, bool)
+
+    last = min(first_round + ROUNDS_A_JOB, options.rounds)
+    for _ in range(first_round, last):
+        splits: list[tuple[np.ndarray, np.ndarray]] = []
+        for level in range(options.depth):
+            if level == 0:
+                both = cells.total(lambda s, some=active: np.concatenate([s.level(loss, some, folds, []).ravel(), s.losses(loss, some, folds).ravel()]))
+                held = both[-2 * len(active) :].reshape(-1, 2)
+                sums = both[: -held.size].reshape(len(active), 1, -1, BINS, 2)
+                on = note(held)
+                active, sums = active[on], sums[on]
+                if not len(active):
+                    break
+            else:
+                sums = cells.total(lambda s, some=active, splits=tuple(splits): s.level(loss, some, folds, splits))
+            feature, border, children = best_splits(sums)
+            splits.append((feature, border))
+        if not len(active):
+            break
+        leaves = -options.step * children[..., 0] / (children[..., 1] + SMOOTHING)
+        cells.move(lambda s, some=active, splits=tuple(splits), leaves=leaves: s.moved(some, splits, leaves))
+        feature, border = (np.concatenate(side, axis=1) for side in zip(*splits, strict=True))
+        for row, model in enumerate(active):
+            trees[model].append([feature[row].tolist(), border[row].tolist(), leaves[row].tolist()])
+    if len(active) and last == options.rounds:
+        note(cells.total(lambda s, some=active: s.losses(loss, some, folds)))
+        active = active[:0]
+    return {"active": active.tolist(), "losses": losses, "trees": trees}
+
+
+def _in_task(options: Options, features: int, folds: int, first_round: int, known: list[dict]):
+    """The rounds of a single block, in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = BarrierTaskContext.get()
-        state = State.of(batches, features, folds + 1)
-        losses = [list(m["losses"]) for m in known]
-        active = np.array([m for m, k in enumerate(known) if k["active"]])
-        trees: list[list] = [[] for _ in known]
-
-        def note(measured: np.ndarray) -> np.ndarray:
-            """Which of the active models go on, given their losses on held rows."""
-            on = []
-            for model, (loss, n) in zip(active, measured.tolist(), strict=True):
-                own = losses[model]
-                own.append(loss / n if n else 0.0)
-                best = min(range(len(own)), key=own.__getitem__)
-                on.append(not (options.patience and n and len(own) - 1 - best >= options.patience))
-            return np.array(on, bool)
-
-        last = min(first_round + ROUNDS_A_JOB, options.rounds)
-        for _ in range(first_round, last):
-            held = state.losses(options.loss, active, folds)
-            gradient, curve = state.slopes(options.loss, active, folds)
-            nodes, width = np.zeros(gradient.shape, np.int64), 1
-            split_features, split_bins = [], []
-            for level in range(options.depth):
-                sums = state.histogram(nodes, width, gradient, curve)
-                if level == 0:
-                    both = _together(context, np.concatenate([sums.ravel(), held.ravel()]))
-                    sums, held = both[: sums.size].reshape(sums.shape), both[sums.size :].reshape(held.shape)
-                    on = note(held)
-                    active, sums = active[on], sums[on]
-                    gradient, curve, nodes = gradient[on], curve[on], nodes[on]
-                    if not len(active):
-                        break
-                else:
-                    sums = _together(context, sums)
-                feature, border, children = best_splits(sums)
-                split_features.append(feature)
-                split_bins.append(border)
-                rows = np.arange(len(active))[:, None]
-                taken = state.bins[feature[rows, nodes], np.arange(nodes.shape[1])]
-                nodes = 2 * nodes + (taken > border[rows, nodes])
-                width *= 2
-            if not len(active):
-                break
-            leaves = -options.step * children[..., 0] / (children[..., 1] + SMOOTHING)
-            state.margins[active] += leaves[np.arange(len(active))[:, None], nodes]
-            feature, border = np.concatenate(split_features, axis=1), np.concatenate(split_bins, axis=1)
-            for row, model in enumerate(active):
-                trees[model].append([feature[row].tolist(), border[row].tolist(), leaves[row].tolist()])
-        if len(active) and last == options.rounds:
-            note(_together(context, state.losses(options.loss, active, folds)))
-            active = active[:0]
-        log = {"active": active.tolist(), "losses": losses, "trees": trees}
-        yield state.record(json.dumps(log) if context.partitionId() == 0 else None)
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Here(State.of(row, features, folds + 1))
+                log = _rounds(own, options, folds, first_round, known)
+                yield own.state.record(row["part"], json.dumps(log))
 
     return run
 
 
+def _blocks(state: DataFrame, tasks: int, features: int, models: int) -> RDD:
+    """The arrays of each block, a block a task."""
+    keyed = state.rdd.map(lambda row: (row.part, State.of(row, features, models).arrays()))
+    return keyed.partitionBy(tasks, int).values()
+
+
+def _written(blocks: RDD, spark: SparkSession) -> DataFrame:
+    def rows(part: int, own: Iterator[list[np.ndarray]]) -> Iterator[tuple]:
+        return ((part, *[a.tobytes() for a in block], None) for block in own)
+
+    return spark.createDataFrame(blocks.mapPartitionsWithIndex(rows), STATE)
+
+
 def fit_ensembles(
     df: DataFrame, features: Sequence[str], borders: list[list[float]], label: str, options: Options,
     fold: Column | None = None, folds: int = 0, held: Column | None = None,
@@ -272,18 +333,28 @@ def fit_ensembles(
             column = lambda c: table.column(c).to_numpy()
             bins = np.stack([column(f"bin{i}").astype(np.uint8) for i in range(width)])
             margins = np.repeat(np.array(starts)[:, None], table.num_rows, axis=1)
-            yield State(bins, column("fold").astype(np.int32), column("held").astype(bool), column("n"), column("total"), column("squares"), margins).record(None)
+            state = State(bins, column("fold").astype(np.int32), column("held").astype(bool), column("n"), column("total"), column("squares"), margins)
+            yield state.record(TaskContext.get().partitionId())
 
     state = write_shared(summed.repartition(tasks).mapInArrow(pack, STATE))
     remove_shared(summed)
     known = [{"losses": [], "active": bool(count), "trees": []} for _ in starts]
     done = 0
     while done < options.rounds and any(k["active"] for k in known):
-        job = _job(options, width, folds, done, [{k: m[k] for k in ("losses", "active")} for m in known])
-        turned = write_shared(state.repartition(tasks).mapInArrow(job, STATE, barrier=True))
-        remove_shared(state)
+        so_far = [{k: m[k] for k in ("losses", "active")} for m in known]
+        if tasks == 1:
+            turned = write_shared(state.mapInArrow(_in_task(options, width, folds, done, so_far), STATE))
+            log = json.loads(turned.select("log").first().log)
+        else:
+            own = Across(_blocks(state, tasks, width, folds + 1))
+            log = _rounds(own, options, folds, done, so_far)
+            turned = state
+            if log["active"]:
+                turned = write_shared(_written(own.blocks, df.sparkSession))
+            own.close()
+        if turned is not state:
+            remove_shared(state)
         state = turned
-        log = json.loads(state.where("log is not null").select("log").first().log)
         for m, model in enumerate(known):
             model["losses"], model["active"] = log["losses"][m], m in log["active"]
             model["trees"] += log["trees"][m]

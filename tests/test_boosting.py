@@ -1,6 +1,7 @@
 """The histogram booster against a plain one that works on single rows."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -100,6 +101,18 @@ def test_each_model_stops_ten_rounds_after_its_best(spark):
         assert len(model.losses) - 1 - best == 10 and len(model.leaves) == best and best > 0
 
 
+def test_a_level_over_several_blocks_takes_no_second(spark, monkeypatch):
+    """60 exchanges, which a barrier stage takes a minute for; the same trees as in one task."""
+    df, _ = table(spark, 400, 5)
+    borders, options = boosting.bin_borders(df, FEATURES), Options(SQUARED, 12, 0.5, 5, None)
+    one = boosting.fit_ensembles(df, FEATURES, borders, "y", options)[0]
+    monkeypatch.setattr(boosting, "CELLS", 100)
+    began = time.monotonic()
+    several = boosting.fit_ensembles(df, FEATURES, borders, "y", options)[0]
+    assert time.monotonic() - began < 40
+    assert len(several.leaves) == 12 and np.allclose(several.leaves, one.leaves)
+
+
 def test_missing_values_no_rows_and_one_value(spark):
     df, _ = table(spark, 30, 3)
     options = Options(SQUARED, 3, 0.5, 2, 10)
