@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
-from fleetgauge.operators import boosting
+from fleetgauge.operators import boosting, forest
 from fleetgauge.operators.ordered import quantiles, running_totals
 from fleetgauge.operators.sampling import bottom_k
 from fleetgauge.plans import drift
@@ -88,32 +87,24 @@ def fit_rows(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
     return cast_features(chosen).repartition(key).sortWithinPartitions(key)
 
 
-def _fit(estimator, df: DataFrame, key: str = "firmware_version", most: int | None = None) -> PipelineModel:
-    """Fitted on rows that are kept while the learner passes over them."""
-    rows = fit_rows(df, key, most).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=[assembler(), estimator]).fit(rows)
-    finally:
-        rows.unpersist()
+def _forest(df: DataFrame, label: str, key: str, classes: bool, options: forest.Options) -> PipelineModel:
+    features = S.RISK_FEATURES
+    borders = boosting.bin_borders(df, features)
+    trees = forest.fit_forest(df, features, borders, label, options, key)
+    return PipelineModel([forest.Forest.of(features, borders, classes, trees)])
 
 
-def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees: int = 100, depth: int = 15):
-    return _fit(
-        RandomForestRegressor(
-            labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=S.SEED
-        ),
-        df,
-    )
+def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees: int = 100, depth: int = 15, key: str = "firmware_version"):
+    """A forest over all rows, whose nodes try all features."""
+    return _forest(df, label, key, False, forest.Options(trees, depth, len(S.RISK_FEATURES), S.SEED))
 
 
-def train_rf_classifier(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15, most: int = FIT_ROWS):
-    return _fit(
-        RandomForestClassifier(
-            labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=S.SEED
-        ),
-        df,
-        most=most,
-    )
+def train_rf_classifier(
+    df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15, most: int = FIT_ROWS, key: str = "firmware_version"
+):
+    """A forest for a label of 0 and 1, whose nodes try a root of the features' number."""
+    tried = math.ceil(len(S.RISK_FEATURES) ** 0.5)
+    return _forest(fit_rows(df, key, most), label, key, True, forest.Options(trees, depth, tried, S.SEED))
 
 
 def _boosted(df: DataFrame, key: str, label: str, options: boosting.Options, stop: bool = True) -> PipelineModel:
