@@ -16,6 +16,7 @@ from fleetgauge.plans import drift, features, kpis, models, scoring, sketches, s
 from fleetgauge.schemas import SCHEMAS, required_nulls
 from fleetgauge.sources import files, roundtrips
 from fleetgauge.sources import fixtures as V
+from fleetgauge.sources.shared import remove_shared, write_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,11 +232,18 @@ LEAST_AUC, LEAST_R2, LEAST_ACCURACY = 0.90, 0.78, 0.87
 
 
 def _labelled_rows(spark: SparkSession, d: str) -> DataFrame:
-    return models.add_label(V.patch_features(spark, d).select(MODEL_COLUMNS))
+    """All patches with their label, written once, as fits and metrics read them several times."""
+    rows = write_shared(V.patch_features(spark, d).select(MODEL_COLUMNS))
+    labelled = write_shared(models.add_label(rows))
+    remove_shared(rows)
+    return labelled
 
 
 def _train_test(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return models.split(_labelled_rows(spark, d), "firmware_version")
+    labelled = _labelled_rows(spark, d)
+    fit, test = map(write_shared, models.split(labelled, "firmware_version"))
+    remove_shared(labelled)
+    return fit, test
 
 
 def _sizes(test: DataFrame) -> DataFrame:
@@ -250,8 +258,8 @@ def _reaches(df: DataFrame, column: str, least: float):
 def _regression(train: Callable) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         fit, test = _train_test(spark, d)
-        scored = train(fit).transform(models.cast_features(test))
-        found = models.regression_metrics(scored, "error_rate_per_10k")
+        scored = train(fit).transform(models.cast_features(test)).select("error_rate_per_10k", "prediction")
+        found = models.regression_metrics(write_shared(scored), "error_rate_per_10k")
         return _sizes(test).withColumn("r2_reached", _reaches(found, "r2", LEAST_R2))
 
     return run
@@ -260,7 +268,8 @@ def _regression(train: Callable) -> Query:
 def _classification(train: Callable) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         fit, test = _train_test(spark, d)
-        found = models.classification_metrics(models.score(test, train(fit)), predicted="high_risk_flag")
+        scored = models.score(test, train(fit)).select("label", "risk_score", "high_risk_flag")
+        found = models.classification_metrics(write_shared(scored), predicted="high_risk_flag")
         return _sizes(test).withColumns(
             {
                 "auc_reached": _reaches(found, "roc_auc", LEAST_AUC),

@@ -1,14 +1,14 @@
 """Gradient-boosted trees over binned features, several models in one run.
 
-Features are cut at approximate quantiles. Rows that agree in all bins, fold and side are
-one cell with sums of the label, from which every gradient and loss follows exactly, so that
-what a round works on is bounded by the number of different cells. Cells stay in blocks,
-together with the margin each model gives them, and a round goes on from there: each level of
-the trees is a job that sums the blocks' histograms, all models' at once, and the driver takes
-the splits. Few cells are one block, and a single task runs all rounds there. (No barrier stage
-does this: each of its exchanges takes a second at least, however little is sent.) A model may
-leave one fold out; each model ends when a slice of its training rows has gained nothing for
-some rounds, and is cut back to its best round.
+Features are cut at approximate quantiles. Rows that agree in all bins are one cell with sums
+of the label by fold and side, from which every gradient and loss follows exactly, so that what
+a round works on is bounded by the number of different cells. Up to ``CELLS`` of them a model
+is fitted by one task, all models at once: its cells stay there with the margin the model gives
+them, and a round takes no job. More cells stay in blocks, and a round goes on from there: each
+level of the trees is a job that sums the blocks' histograms, all models' at once, and the
+driver takes the splits. (No barrier stage does this: each of its exchanges takes a second at
+least, however little is sent.) A model may leave one fold out; each model ends when a slice of
+its training rows has gained nothing for some rounds, and is cut back to its best round.
 
 After a bounded number of rounds the cells with their margins are written to the shared
 folder: a lost executor costs the rounds since then.
@@ -32,6 +32,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
 from fleetgauge.sources.shared import remove_shared, write_shared
@@ -41,14 +42,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bins of a feature, one of them for missing values.
 BINS = 64
-#: Cells of a block, and rounds until margins are written.
-CELLS, ROUNDS_A_JOB = 50_000, 100
+#: Bits of a bin in a code.
+BITS = 6
+#: Cells that one task fits a model on, a block being a twentieth, and rounds until margins
+#: are written.
+CELLS, ROUNDS_A_JOB = 1_000_000, 100
+#: Bins of features whose histogram is taken at once, and rows that walk down trees at once.
+JOINT, WALK = 1 << 10, 1 << 14
 #: Blocks whose histograms the driver adds up; more are added up by tasks first.
 DIRECT = 64
 #: Added to the sum of second derivatives of a leaf; least such sum of a split's sides.
 SMOOTHING, LEAST = 1.0, 1e-3
 SQUARED, LOGISTIC = "squared", "logistic"
 
+ALONE = "model int, bins binary, n binary, total binary, held_n binary, held_total binary, held_squares binary, margin binary, log string"
+NUMBERS = ["n", "total", "held_n", "held_total", "held_squares"]
 STATE = "part int, bins binary, folds binary, held binary, n binary, total binary, squares binary, margins binary, log string"
 
 
@@ -78,27 +86,93 @@ def bin_borders(df: DataFrame, features: Sequence[str]) -> list[list[float]]:
     return [sorted(set(row[i] or [])) for i in range(len(features))]
 
 
-def bin_of(value: Column, borders: Sequence[float]) -> Column:
-    """0 for missing values, else 1 + the number of borders below."""
+def binned(values: Sequence[np.ndarray], borders: list[list[float]]) -> np.ndarray:
+    """(features, rows): 0 for missing values, else 1 + the number of borders below."""
+    return np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(b, v, "left")).astype(np.uint8) for v, b in zip(values, borders, strict=True)])
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low + 1)
-        middle = (low + high) // 2
-        return F.when(value <= borders[middle], search(low, middle)).otherwise(search(middle + 1, high))
 
-    return F.when(value.isNull() | F.isnan(value), 0).otherwise(search(0, len(borders)))
+def codes_of(features: int) -> list[str]:
+    """Names of the numbers that hold a row's bins."""
+    return [f"code{i}" for i in range(-(-features // (63 // BITS)))]
+
+
+def packed(bins: np.ndarray) -> list[np.ndarray]:
+    """The bins of each row as few numbers."""
+    out = []
+    for first in range(0, len(bins), 63 // BITS):
+        code = np.zeros(bins.shape[1], np.int64)
+        for i, own in enumerate(bins[first : first + 63 // BITS]):
+            code |= own.astype(np.int64) << (BITS * i)
+        out.append(code)
+    return out
+
+
+def unpacked(codes: Sequence[np.ndarray], features: int) -> np.ndarray:
+    """(features, rows): the bins that ``packed`` took."""
+    places = [divmod(f, 63 // BITS) for f in range(features)]
+    return np.stack([(codes[c] >> (BITS * i) & (1 << BITS) - 1).astype(np.uint8) for c, i in places])
+
+
+def with_codes(df: DataFrame, features: Sequence[str], borders: list[list[float]], *others: Column) -> DataFrame:
+    """The codes of each row, and other columns."""
+    given = df.select(*[F.col(c).cast("double").alias(f"feature{i}") for i, c in enumerate(features)], *others)
+    width, names = len(features), codes_of(len(features))
+    kept = given.columns[width:]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = binned([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], borders)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, packed(bins)), *batch.columns[width:]], names=[*names, *kept])
+
+    return given.mapInArrow(code, StructType([*[StructField(c, LongType()) for c in names], *given.schema.fields[width:]]))
+
+
+def by_cell(batches: Iterator[tuple[pd.Series, ...]], borders: list[list[float]], score: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.Series]:
+    """The score of each row's bins. Scores are kept, as rows of later batches have the same bins."""
+    seen, scores = np.empty(0, np.int64), np.empty(0)
+    for columns in batches:
+        bins = binned([c.to_numpy(float) for c in columns], borders)
+        codes = packed(bins)
+        if len(codes) > 1:
+            yield pd.Series(score(bins))
+            continue
+        own, first, back = np.unique(codes[0], return_index=True, return_inverse=True)
+        at = np.searchsorted(seen, own)
+        new = np.append(seen, -1)[at] != own
+        found = np.empty(len(own))
+        found[~new] = scores[at[~new]]
+        found[new] = score(bins[:, first[new]])
+        if len(seen) > CELLS:
+            seen, scores = own, found
+        else:
+            seen, scores = np.insert(seen, at[new], own[new]), np.insert(scores, at[new], found[new])
+        yield pd.Series(found[back])
+
+
+def walked(bins: np.ndarray, features: np.ndarray, borders: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """The sum, at each row, of its leaves in trees that have all their nodes."""
+    rows, width = bins.shape[1], len(bins)
+    out = np.zeros(rows)
+    for first in range(0, rows, WALK):
+        own = np.ascontiguousarray(bins[:, first : first + WALK].T)
+        flat, row = own.ravel(), np.arange(len(own)) * width
+        for feature, border, leaf in zip(features, borders, leaves, strict=True):
+            feature, at = feature.astype(np.int64), np.zeros(len(own), np.int64)
+            for _ in range(len(leaf).bit_length() - 1):
+                right = flat.take(row + feature.take(at)) > border.take(at)
+                at += at
+                at += 1
+                at += right
+            out[first : first + WALK] += leaf.take(at - len(feature))
+    return out
 
 
 def cells(df: DataFrame, features: Sequence[str], borders: list[list[float]], label: str, fold: Column, held: Column) -> DataFrame:
     """One row per combination of bins, fold and side, with count, sum and squares of the label."""
     y = F.col(label).cast("double")
-    binned = df.where(y.isNotNull()).select(
-        *[bin_of(F.col(c).cast("double"), b).alias(f"bin{i}") for i, (c, b) in enumerate(zip(features, borders, strict=True))],
-        fold.cast("int").alias("fold"), held.alias("held"), y.alias("y"),
-    )
-    keys = [c for c in binned.columns if c != "y"]
-    return binned.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("squares"))
+    rows = with_codes(df.where(y.isNotNull()), features, borders, fold.cast("int").alias("fold"), held.alias("held"), y.alias("y"))
+    keys = [c for c in rows.columns if c != "y"]
+    return rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("squares"))
 
 
 class State:
@@ -191,17 +265,86 @@ def best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return feature, border, children.reshape(best.shape[0], -1, 2)
 
 
-class Here:
-    """One block, in the task that works on it."""
+class Alone:
+    """All cells of one model in the task that fits it, for ``_rounds`` its blocks and their
+    ``State`` in one. What a level finds out is kept for the next."""
+
+    def __init__(self, bins: np.ndarray, n: np.ndarray, total: np.ndarray, held_n: np.ndarray, held_total: np.ndarray, held_squares: np.ndarray, margin: np.ndarray):
+        self.kept, self.margin, self.bins = [bins, n, total, held_n, held_total, held_squares], margin.copy(), bins
+        self.n, self.sum = n, total
+        self.held = np.flatnonzero(held_n)
+        self.own = [side[self.held] for side in (held_n, held_total, held_squares)]
+        self.flat, self.row = np.ascontiguousarray(bins.T).ravel(), np.arange(len(n)) * len(bins)
+        # features of few bins share a histogram, from which each one's is summed
+        used = [np.unique(own) for own in bins]
+        self.groups: list[tuple[list[int], list[np.ndarray], np.ndarray]] = []
+        width = JOINT + 1
+        for f in sorted(range(len(bins)), key=lambda f: len(used[f])):
+            place = np.searchsorted(used[f], bins[f])
+            if width * len(used[f]) <= JOINT:
+                some, marks, joint = self.groups[-1]
+                self.groups[-1] = [*some, f], [*marks, used[f]], joint * len(used[f]) + place
+                width *= len(used[f])
+            else:
+                self.groups.append(([f], [used[f]], place))
+                width = len(used[f])
 
-    def __init__(self, state: State):
-        self.state = state
+    @classmethod
+    def of(cls, row: dict, features: int) -> Alone:
+        numbers = [np.frombuffer(row[f.split()[0]], float) for f in ALONE.split(", ")[2:-1]]
+        return cls(np.frombuffer(row["bins"], np.uint8).reshape(features, -1), *numbers)
+
+    def record(self, model: int, log: str | None = None) -> pa.RecordBatch:
+        columns = [pa.array([a.tobytes()], pa.binary()) for a in (*self.kept, self.margin)]
+        return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), *columns, pa.array([log], pa.string())], names=[f.split()[0] for f in ALONE.split(", ")])
+
+    def total(self, work: Callable[[Alone], np.ndarray]) -> np.ndarray:
+        return work(self)
+
+    def move(self, work: Callable[[Alone], Alone]) -> None:
+        work(self)
+
+    def _place(self, split: tuple[np.ndarray, np.ndarray]) -> None:
+        """Each cell goes on from its node by the last split."""
+        feature, border = split[0][0], split[1][0]
+        right = self.flat.take(self.row + feature.take(self.nodes)) > border.take(self.nodes)
+        self.nodes += self.nodes
+        self.nodes += right
+
+    def level(self, loss: str, some: np.ndarray, folds: int, splits: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        if splits:
+            self._place(splits[-1])
+        else:
+            self.nodes = np.zeros(len(self.n), np.int64)
+            if loss == SQUARED:
+                self.slopes = self.n * self.margin - self.sum, self.n
+            else:
+                p = 1 / (1 + np.exp(-self.margin))
+                self.slopes = self.n * p - self.sum, self.n * p * (1 - p)
+        width = 2 ** len(splits)
+        out = np.zeros((1, width, len(self.bins), BINS, 2))
+        for some, marks, joint in self.groups:
+            sizes = [len(m) for m in marks]
+            at = self.nodes * int(np.prod(sizes)) + joint if splits else joint
+            for k, slope in enumerate(self.slopes):
+                sums = np.bincount(at, slope, width * int(np.prod(sizes))).reshape(width, *sizes)
+                for i, (f, mark) in enumerate(zip(some, marks, strict=True)):
+                    out[0, :, f, mark, k] = sums.sum(axis=tuple(j + 1 for j in range(len(sizes)) if j != i)).T
+        return out
 
-    def total(self, work: Callable[[State], np.ndarray]) -> np.ndarray:
-        return work(self.state)
+    def losses(self, loss: str, some: np.ndarray, folds: int) -> np.ndarray:
+        n, total, squares = self.own
+        margin = self.margin[self.held]
+        if loss == SQUARED:
+            each = squares - 2 * margin * total + n * margin * margin
+        else:
+            each = n * np.logaddexp(0, margin) - total * margin
+        return np.array([[each.sum(), n.sum()]])
 
-    def move(self, work: Callable[[State], State]) -> None:
-        self.state = work(self.state)
+    def moved(self, some: np.ndarray, splits: Sequence[tuple[np.ndarray, np.ndarray]], leaves: np.ndarray) -> Alone:
+        self._place(splits[-1])
+        self.margin += leaves[0].take(self.nodes)
+        return self
 
 
 class Across:
@@ -232,7 +375,7 @@ class Across:
         self.blocks.unpersist()
 
 
-def _rounds(cells: Here | Across, options: Options, folds: int, first_round: int, known: list[dict]) -> dict:
+def _rounds(cells: Alone | Across, options: Options, folds: int, first_round: int, known: list[dict]) -> dict:
     """Some rounds on. ``known`` has each model's losses so far and whether it goes on; so has
     what is returned, with the new trees."""
     loss, active = options.loss, np.array([m for m, k in enumerate(known) if k["active"]])
@@ -277,17 +420,52 @@ def _rounds(cells: Here | Across, options: Options, folds: int, first_round: int
     return {"active": active.tolist(), "losses": losses, "trees": trees}
 
 
-def _in_task(options: Options, features: int, folds: int, first_round: int, known: list[dict]):
-    """The rounds of a single block, in its task."""
+def _in_tasks(summed: DataFrame, features: int, options: Options, folds: int, starts: list[float], known: list[dict]) -> None:
+    """The rounds of all models, a model a task."""
+    spark, codes = summed.sparkSession, codes_of(features)
+    held, models = F.coalesce("held", F.lit(False)), []
+    for m in range(folds + 1):
+        own = F.lit(True) if m == folds else F.coalesce(F.col("fold") != m, F.lit(True))
+        part = lambda c, side, own=own: F.sum(F.when(own & side, F.col(c)).otherwise(0.0))
+        sides = [part("n", ~held), part("total", ~held), part("n", held), part("total", held), part("squares", held)]
+        models.append(F.struct(F.lit(m).alias("model"), *[s.alias(c) for s, c in zip(sides, NUMBERS, strict=True)]))
+    each = summed.groupBy(*codes).agg(F.array(*models).alias("models")).select(*codes, F.inline("models"))
+    each = each.where((F.col("n") > 0) | (F.col("held_n") > 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Here(State.of(row, features, folds + 1))
-                log = _rounds(own, options, folds, first_round, known)
-                yield own.state.record(row["part"], json.dumps(log))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            table = pa.Table.from_batches(some).sort_by([(c, "ascending") for c in codes])
+            column = lambda c: table.column(c).to_numpy()
+            model = int(column("model")[0])
+            bins = unpacked([column(c) for c in codes], features)
+            yield Alone(bins, *[column(c) for c in NUMBERS], np.full(table.num_rows, starts[model])).record(model)
 
-    return run
+    state = write_shared(each.repartitionById(folds + 1, "model").mapInArrow(pack, ALONE))
+    done = 0
+    while done < options.rounds and any(k["active"] for k in known):
+        active = [m for m, k in enumerate(known) if k["active"]]
+        so_far = [[{k: m[k] for k in ("losses", "active")}] for m in known]
+
+        def run(batches: Iterator[pa.RecordBatch], so_far=so_far, done=done) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    own = Alone.of(row, features)
+                    log = _rounds(own, options, 0, done, so_far[row["model"]])
+                    yield own.record(row["model"], json.dumps(log))
+
+        rows = state.where(F.col("model").isin(active)).repartitionById(folds + 1, "model")
+        turned = write_shared(rows.mapInArrow(run, ALONE))
+        for row in turned.select("model", "log").collect():
+            model, log = known[row.model], json.loads(row.log)
+            model["losses"], model["active"] = log["losses"][0], bool(log["active"])
+            model["trees"] += log["trees"][0]
+            active.remove(row.model)
+        for m in active:  # no rows to fit on
+            known[m]["active"] = False
+        remove_shared(state)
+        state, done = turned, done + ROUNDS_A_JOB
+    remove_shared(state)
 
 
 def _blocks(state: DataFrame, tasks: int, features: int, models: int) -> RDD:
@@ -303,55 +481,30 @@ def _written(blocks: RDD, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(blocks.mapPartitionsWithIndex(rows), STATE)
 
 
-def fit_ensembles(
-    df: DataFrame, features: Sequence[str], borders: list[list[float]], label: str, options: Options,
-    fold: Column | None = None, folds: int = 0, held: Column | None = None,
-) -> list[Ensemble]:
-    """``folds`` models that each leave one fold out, and one that sees all rows.
-
-    Rows without a label are left out. ``held`` marks the rows that decide when a model ends;
-    without it, or with a ``patience`` of None, all rounds are run. No rows give models without
-    trees.
-    """
-    summed = cells(df, features, borders, label, F.lit(-1) if fold is None else fold, F.lit(False) if held is None else held)
-    summed = write_shared(summed)
-    sums = summed.groupBy("fold", "held").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    starts = []
-    for m in range(folds + 1):
-        own = [r for r in sums if not r.held and (r.fold != m or m == folds)]
-        n, total = sum(r.n for r in own), sum(r.total for r in own)
-        mean = total / n if n else 0.0
-        odds = min(max(mean, 1e-6), 1 - 1e-6)
-        starts.append(mean if options.loss == SQUARED else float(np.log(odds / (1 - odds))))
-    count, width = sum(r.cells for r in sums), len(features)
-    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-count // CELLS)))
+def _in_blocks(summed: DataFrame, features: int, options: Options, folds: int, starts: list[float], known: list[dict], count: int) -> None:
+    """The rounds of all models, over blocks of cells."""
+    spark, codes = summed.sparkSession, codes_of(features)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-count // max(1, CELLS // 20))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [b for b in batches if b.num_rows]
         if some:
             table = pa.Table.from_batches(some)
             column = lambda c: table.column(c).to_numpy()
-            bins = np.stack([column(f"bin{i}").astype(np.uint8) for i in range(width)])
             margins = np.repeat(np.array(starts)[:, None], table.num_rows, axis=1)
+            bins = unpacked([column(c) for c in codes], features)
             state = State(bins, column("fold").astype(np.int32), column("held").astype(bool), column("n"), column("total"), column("squares"), margins)
             yield state.record(TaskContext.get().partitionId())
 
-    state = write_shared(summed.repartition(tasks).mapInArrow(pack, STATE))
-    remove_shared(summed)
-    known = [{"losses": [], "active": bool(count), "trees": []} for _ in starts]
+    sides = summed.withColumns({"fold": F.coalesce("fold", F.lit(-1)), "held": F.coalesce("held", F.lit(False))})
+    state = write_shared(sides.repartition(tasks).mapInArrow(pack, STATE))
     done = 0
     while done < options.rounds and any(k["active"] for k in known):
         so_far = [{k: m[k] for k in ("losses", "active")} for m in known]
-        if tasks == 1:
-            turned = write_shared(state.mapInArrow(_in_task(options, width, folds, done, so_far), STATE))
-            log = json.loads(turned.select("log").first().log)
-        else:
-            own = Across(_blocks(state, tasks, width, folds + 1))
-            log = _rounds(own, options, folds, done, so_far)
-            turned = state
-            if log["active"]:
-                turned = write_shared(_written(own.blocks, df.sparkSession))
-            own.close()
+        own = Across(_blocks(state, tasks, features, folds + 1))
+        log = _rounds(own, options, folds, done, so_far)
+        turned = write_shared(_written(own.blocks, spark)) if log["active"] else state
+        own.close()
         if turned is not state:
             remove_shared(state)
         state = turned
@@ -360,6 +513,40 @@ def fit_ensembles(
             model["trees"] += log["trees"][m]
         done += ROUNDS_A_JOB
     remove_shared(state)
+
+
+def fit_ensembles(
+    df: DataFrame, features: Sequence[str], borders: list[list[float]], label: str, options: Options,
+    fold: Column | None = None, folds: int = 0, held: Column | None = None,
+) -> list[Ensemble]:
+    """``folds`` models that each leave one fold out, and one that sees all rows.
+
+    Rows without a label are left out. ``held`` marks the rows that decide when a model ends;
+    without it, or with a ``patience`` of None, all rounds are run. No rows give models without
+    trees.
+    """
+    summed = cells(df, features, borders, label, F.lit(-1) if fold is None else fold, F.lit(False) if held is None else held)
+    summed = write_shared(summed)
+    out = fit_cells(summed, len(features), options, folds)
+    remove_shared(summed)
+    return out
+
+
+def fit_cells(summed: DataFrame, features: int, options: Options, folds: int = 0) -> list[Ensemble]:
+    """As ``fit_ensembles``, from what ``cells`` gives, which is read several times."""
+    sums = summed.groupBy("fold", "held").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    starts = []
+    for m in range(folds + 1):
+        own = [r for r in sums if not r.held and (r.fold != m or m == folds)]
+        n, total = sum(r.n for r in own), sum(r.total for r in own)
+        mean = total / n if n else 0.0
+        odds = min(max(mean, 1e-6), 1 - 1e-6)
+        starts.append(mean if options.loss == SQUARED else float(np.log(odds / (1 - odds))))
+    known = [{"losses": [], "active": bool(sums), "trees": []} for _ in starts]
+    if summed.select(*codes_of(features)).distinct().count() <= CELLS:
+        _in_tasks(summed, features, options, folds, starts, known)
+    else:
+        _in_blocks(summed, features, options, folds, starts, known, sum(r.cells for r in sums))
     out = []
     for start, model in zip(starts, known, strict=True):
         trees = model["trees"]
@@ -371,35 +558,33 @@ def fit_ensembles(
     return out
 
 
-def margins(values: np.ndarray, borders: list[list[float]], model: Ensemble) -> np.ndarray:
-    """The sum of the trees at each row of ``values`` (rows, features)."""
-    bins = np.zeros(values.shape, np.int64)
-    for f, own in enumerate(borders):
-        bins[:, f] = np.where(np.isnan(values[:, f]), 0, 1 + np.searchsorted(own, values[:, f], "left"))
-    rows, out = np.arange(len(values)), np.full(len(values), model.start)
-    depth = model.leaves.shape[1].bit_length() - 1
-    for feature, border, leaves in zip(model.features, model.bins, model.leaves, strict=True):
-        node = np.zeros(len(values), np.int64)
-        for level in range(depth):
-            at = 2**level - 1 + node
-            node = 2 * node + (bins[rows, feature[at]] > border[at])
-        out += leaves[node]
-    return out
+def margins(bins: np.ndarray, model: Ensemble) -> np.ndarray:
+    """The sum of the trees at each row of ``bins`` (features, rows)."""
+    return model.start + walked(bins, model.features, model.bins, model.leaves)
 
 
-def margin_column(features: Sequence[str], borders: list[list[float]], models: list[Ensemble], which: Column | None = None) -> Column:
-    """The margin of each row under the model ``which`` (an index), by default the only one."""
+def cell_margin(features: int, models: list[Ensemble], which: str) -> Column:
+    """The margin of each cell under the model ``which`` (a column with its index); 0 without one."""
 
     @F.pandas_udf("double")
-    def margin(which: pd.Series, *columns: pd.Series) -> pd.Series:
-        values = np.stack([c.to_numpy(float) for c in columns], axis=1)
-        out = np.zeros(len(values))
-        for m in which.unique():
+    def margin(which: pd.Series, *codes: pd.Series) -> pd.Series:
+        bins, out = unpacked([c.to_numpy() for c in codes], features), np.zeros(len(which))
+        for m, model in enumerate(models):
             own = (which == m).to_numpy()
-            out[own] = margins(values[own], borders, models[m])
+            out[own] = margins(bins[:, own], model)
         return pd.Series(out)
 
-    return margin(F.lit(0) if which is None else which, *[F.col(c).cast("double") for c in features])
+    return margin(which, *codes_of(features))
+
+
+def margin_column(features: Sequence[str], borders: list[list[float]], model: Ensemble) -> Column:
+    """The margin of each row."""
+
+    @F.pandas_udf("double")
+    def margin(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        return by_cell(batches, borders, lambda bins: margins(bins, model))
+
+    return margin(*[F.col(c).cast("double") for c in features])
 
 
 class BoostedTrees(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -449,7 +634,7 @@ class BoostedTrees(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         borders, model = self._parts()
-        margin = margin_column(self.getOrDefault(self.inputCols), borders, [model])
+        margin = margin_column(self.getOrDefault(self.inputCols), borders, model)
         if self.getOrDefault(self.loss) == SQUARED:
             return df.withColumn("prediction", margin)
         scored = df.withColumn("_risk", 1 / (1 + F.exp(-margin)))

@@ -18,15 +18,13 @@ from fleetgauge import settings as S
 from fleetgauge.functions import expressions as X
 from fleetgauge.operators import boosting, forest
 from fleetgauge.operators.ordered import quantiles, running_totals
-from fleetgauge.operators.sampling import bottom_k
 from fleetgauge.plans import drift
 from fleetgauge.plans.scoring import flag_high_risk
 from fleetgauge.plans.stats import quantile
 from fleetgauge.schemas import require_columns
 from fleetgauge.sources import registry
+from fleetgauge.sources.shared import write_shared
 
-#: Labelled rows that a forest classifier fits on at most, chosen by a hash of the key.
-FIT_ROWS = 200_000
 #: Rounds without gain that end a boosted model, and the depth of its trees.
 PATIENCE, DEPTH = 10, 5
 #: Share of the training rows that decide when it ends.
@@ -81,10 +79,9 @@ def with_validation(df: DataFrame, key: str, part: float = VALIDATION, seed: int
     return df.withColumn("is_validation", _share(key, seed) < part)
 
 
-def fit_rows(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """All rows, or ``most`` of them by a hash of the key, dealt out by the key."""
-    chosen = df if most is None else bottom_k(df, _share(key, S.SEED + 3), key, most)
-    return cast_features(chosen).repartition(key).sortWithinPartitions(key)
+def fit_rows(df: DataFrame, key: str) -> DataFrame:
+    """All rows, dealt out by the key."""
+    return cast_features(df).repartition(key).sortWithinPartitions(key)
 
 
 def _forest(df: DataFrame, label: str, key: str, classes: bool, options: forest.Options) -> PipelineModel:
@@ -100,11 +97,12 @@ def train_rf_regressor(df: DataFrame, label: str = "error_rate_per_10k", trees:
 
 
 def train_rf_classifier(
-    df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15, most: int = FIT_ROWS, key: str = "firmware_version"
+    df: DataFrame, label: str = "label", trees: int = 100, depth: int = 15, key: str = "firmware_version"
 ):
-    """A forest for a label of 0 and 1, whose nodes try a root of the features' number."""
+    """A forest over all rows for a label of 0 and 1, whose nodes try a root of the features'
+    number."""
     tried = math.ceil(len(S.RISK_FEATURES) ** 0.5)
-    return _forest(fit_rows(df, key, most), label, key, True, forest.Options(trees, depth, tried, S.SEED))
+    return _forest(df, label, key, True, forest.Options(trees, depth, tried, S.SEED))
 
 
 def _boosted(df: DataFrame, key: str, label: str, options: boosting.Options, stop: bool = True) -> PipelineModel:
@@ -137,24 +135,29 @@ def cross_validate_boosted(
     """(fold, n, rounds, metric): one row per fold, by a hash of the key, with the RMSE or the
     ROC-AUC on its rows of a model that never saw them.
 
-    The models of all folds share their passes; each ends early by a slice of its own training
-    rows. A fold of one class only has no AUC.
+    The models of all folds are fitted at once; each ends early by a slice of its own training
+    rows. A fold of one class only has no AUC. Rows are scored by cell, as a model gives those
+    that agree in all bins the same margin.
     """
     features, fold = S.RISK_FEATURES, F.floor(_share(key, S.SEED + 2) * folds).cast("int")
     borders = boosting.bin_borders(df, features)
     held, options = _share(key, S.SEED + 1) < VALIDATION, boosting.Options(loss, rounds, step, DEPTH, PATIENCE)
-    fitted = boosting.fit_ensembles(df, features, borders, label, options, fold, folds, held)[:folds]
-    margin = boosting.margin_column(features, borders, fitted, F.col("fold"))
-    scored = df.select(F.col(label).cast("double").alias(label), *features, fold.alias("fold"))
-    scored = scored.where(F.col(label).isNotNull()).withColumn("margin", margin)
+    cells = write_shared(boosting.cells(df, features, borders, label, fold, held))
+    fitted = boosting.fit_cells(cells, len(features), options, folds)[:folds]
+    scored = cells.withColumn("margin", boosting.cell_margin(len(features), fitted, "fold"))
+    n, margin = F.col("n"), F.col("margin")
+    squares = F.col("squares") - 2 * margin * F.col("total") + n * margin * margin
     sizes = scored.groupBy("fold").agg(
-        X.rows().alias("n"), F.sqrt(F.avg((F.col(label) - F.col("margin")) ** 2)).alias("rmse")
+        F.sum("n").cast("bigint").alias("n"), F.sqrt(F.greatest(F.sum(squares), F.lit(0.0)) / F.sum("n")).alias("rmse")
     )
     if loss == boosting.SQUARED:
         found = sizes.withColumnRenamed("rmse", "metric")
     else:
-        areas = roc_auc(scored, label, "margin", by=["fold"]).withColumnRenamed("roc_auc", "metric")
-        found = sizes.drop("rmse").join(areas, "fold", "left")
+        sides = scored.withColumn("margin", _no_nan("margin")).groupBy("fold", "margin").agg(
+            F.sum("total").cast("bigint").alias("pos"), F.sum(n - F.col("total")).cast("bigint").alias("neg")
+        )
+        areas = _area(running_totals(sides, "margin", ["pos", "neg"], ["fold"], descending=True), ["fold"])
+        found = sizes.drop("rmse").join(areas.withColumnRenamed("roc_auc", "metric"), "fold", "left")
     ends = F.create_map(*[F.lit(x) for m, model in enumerate(fitted) for x in (m, len(model.leaves))])
     return found.select("fold", "n", ends[F.col("fold")].alias("rounds"), "metric")
 
@@ -200,10 +203,13 @@ def prediction_band(pred: DataFrame, label: str, prediction: str = "prediction")
     return pred.agg((F.stddev_samp(F.col(label) - F.col(prediction)) * 1.96).alias("band"))
 
 
+def _no_nan(score: str) -> Column:
+    return F.when(F.isnan(score), F.raise_error(F.lit(f"{score} holds NaN"))).otherwise(F.col(score))
+
+
 def _by_score(pred: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives at each distinct score, and above it. A NaN score is an error."""
-    checked = F.when(F.isnan(score), F.raise_error(F.lit(f"{score} holds NaN"))).otherwise(F.col(score))
-    counts = pred.withColumn(score, checked).groupBy(*by, score).agg(
+    counts = pred.withColumn(score, _no_nan(score)).groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     return running_totals(counts, score, ["pos", "neg"], by, descending=True)
@@ -241,7 +247,11 @@ def roc_auc(
 ) -> DataFrame:
     """Exact area under the ROC curve, also per group: each negative counts the positives above
     it, ties half."""
-    ran = _by_score(pred, label, score, by)
+    return _area(_by_score(pred, label, score, by), by)
+
+
+def _area(ran: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The area from positives and negatives at each score, and above it."""
     above = F.col("pos_before").cast("double") + F.col("pos") / 2
     sums = ran.groupBy(*by).agg(
         F.sum(F.col("neg") * above).alias("_area"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")

@@ -105,3 +105,43 @@ def test_a_hundred_deep_trees_take_no_minutes(spark):
     began = time.monotonic()
     assert models.train_rf_regressor(df).stages[-1].getNumTrees == 100
     assert time.monotonic() - began < 60
+
+
+def test_a_classifier_fits_on_all_rows(spark, monkeypatch):
+    """It took 200,000 of them by a hash of the key."""
+    seen, fit = [], forest.fit_forest
+    monkeypatch.setattr(forest, "fit_forest", lambda df, *rest: seen.append(df.count()) or fit(df, *rest))
+    columns = [(F.col("id") % (k + 2)).cast("double").alias(c) for k, c in enumerate(models.S.RISK_FEATURES)]
+    df = spark.range(200_500).select(F.col("id").cast("string").alias("firmware_version"), *columns, (F.col("id") % 2).alias("label"))
+    model = models.train_rf_classifier(df, trees=2, depth=3).stages[-1]
+    assert seen == [200_500] and model.getNumTrees == 2
+
+
+def test_blocks_hold_every_row_and_a_hot_cell_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 50)
+    hot = F.col("id") < 900
+    df = spark.range(1000).select("id", *[F.when(hot, 1.0).otherwise(F.col("id") % k).alias(c) for c, k in zip(FEATURES, (7, 5, 3))], (F.col("id") % 4).cast("double").alias("y"))
+    packed, rows, cells = forest._blocks(df, FEATURES, boosting.bin_borders(df, FEATURES), "y", "id")
+    blocks = [(np.frombuffer(r.n, np.int64), np.frombuffer(r.y, float)) for r in packed.collect()]
+    assert rows == sum(n.sum() for n, _ in blocks) == 1000 and 1 < cells <= 101
+    assert sum((n * y).sum() for n, y in blocks) == 1500 and max(n.sum() for n, _ in blocks) < 200
+
+
+def test_trees_grown_on_cells_equal_those_on_rows():
+    rng = np.random.default_rng(9)
+    bins = rng.integers(0, 4, (3, 500)).astype(np.uint8)
+    y, w = rng.normal(size=500) + bins[0], rng.integers(1, 4, 500).astype(float)
+    cells, place = np.unique(bins, axis=1, return_inverse=True)
+    n, total = np.bincount(place.ravel(), w), np.bincount(place.ravel(), w * y)
+    options = forest.Options(1, 4, 2, 5)
+    rows, summed = forest.grow(options, 0, 0, bins, y, w), forest.grow(options, 0, 0, cells, total / n, n)
+    assert all(np.allclose(a, b) for a, b in zip(rows, summed, strict=True))
+
+
+def test_weights_are_poisson_draws():
+    n = np.array([1] * 400_000 + [3] * 100_000)
+    w = forest.poisson(np.random.default_rng(1), n)
+    for own, mean in ((w[:400_000], 1), (w[400_000:], 3)):
+        assert own.mean() == pytest.approx(mean, rel=0.01) and own.var() == pytest.approx(mean, rel=0.02)
+    share = np.random.default_rng(2).random(400_000)
+    assert np.array_equal(forest.poisson(np.random.default_rng(2), n[:400_000]), np.searchsorted(forest.ONCE, share, "right"))
