@@ -49,6 +49,8 @@ BITS = 6
 CELLS, ROUNDS_A_JOB = 1_000_000, 100
 #: Bins of features whose histogram is taken at once, and rows that walk down trees at once.
 JOINT, WALK = 1 << 10, 1 << 14
+#: Cells for which a grid is worth it, and its places for each of them, at most.
+GRID, SPARE = 1 << 14, 4
 #: Blocks whose histograms the driver adds up; more are added up by tasks first.
 DIRECT = 64
 #: Added to the sum of second derivatives of a leaf; least such sum of a split's sides.
@@ -277,6 +279,7 @@ class Alone:
         self.flat, self.row = np.ascontiguousarray(bins.T).ravel(), np.arange(len(n)) * len(bins)
         # features of few bins share a histogram, from which each one's is summed
         used = [np.unique(own) for own in bins]
+        self.used = used
         self.groups: list[tuple[list[int], list[np.ndarray], np.ndarray]] = []
         width = JOINT + 1
         for f in sorted(range(len(bins)), key=lambda f: len(used[f])):
@@ -289,21 +292,26 @@ class Alone:
                 self.groups.append(([f], [used[f]], place))
                 width = len(used[f])
 
-    @classmethod
-    def of(cls, row: dict, features: int) -> Alone:
-        numbers = [np.frombuffer(row[f.split()[0]], float) for f in ALONE.split(", ")[2:-1]]
-        return cls(np.frombuffer(row["bins"], np.uint8).reshape(features, -1), *numbers)
-
     def record(self, model: int, log: str | None = None) -> pa.RecordBatch:
-        columns = [pa.array([a.tobytes()], pa.binary()) for a in (*self.kept, self.margin)]
+        columns = [pa.array([a.tobytes()], pa.binary()) for a in (*self.kept, self.margins())]
         return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), *columns, pa.array([log], pa.string())], names=[f.split()[0] for f in ALONE.split(", ")])
 
+    def margins(self) -> np.ndarray:
+        return self.margin
+
     def total(self, work: Callable[[Alone], np.ndarray]) -> np.ndarray:
         return work(self)
 
     def move(self, work: Callable[[Alone], Alone]) -> None:
         work(self)
 
+    def _slope(self, loss: str) -> None:
+        if loss == SQUARED:
+            self.slopes = self.n * self.margin - self.sum, self.n
+        else:
+            p = 1 / (1 + np.exp(-self.margin))
+            self.slopes = self.n * p - self.sum, self.n * p * (1 - p)
+
     def _place(self, split: tuple[np.ndarray, np.ndarray]) -> None:
         """Each cell goes on from its node by the last split."""
         feature, border = split[0][0], split[1][0]
@@ -316,11 +324,7 @@ class Alone:
             self._place(splits[-1])
         else:
             self.nodes = np.zeros(len(self.n), np.int64)
-            if loss == SQUARED:
-                self.slopes = self.n * self.margin - self.sum, self.n
-            else:
-                p = 1 / (1 + np.exp(-self.margin))
-                self.slopes = self.n * p - self.sum, self.n * p * (1 - p)
+            self._slope(loss)
         width = 2 ** len(splits)
         out = np.zeros((1, width, len(self.bins), BINS, 2))
         for some, marks, joint in self.groups:
@@ -338,7 +342,7 @@ class Alone:
         if loss == SQUARED:
             each = squares - 2 * margin * total + n * margin * margin
         else:
-            each = n * np.logaddexp(0, margin) - total * margin
+            each = n * (np.maximum(margin, 0) + np.log(1 + np.exp(-np.abs(margin)))) - total * margin
         return np.array([[each.sum(), n.sum()]])
 
     def moved(self, some: np.ndarray, splits: Sequence[tuple[np.ndarray, np.ndarray]], leaves: np.ndarray) -> Alone:
@@ -347,6 +351,74 @@ class Alone:
         return self
 
 
+class Grid(Alone):
+    """As ``Alone``, where the cells fill much of the grid of all combinations of bins: there a
+    node is a box, so its sums are those of a part of the grid, and no cell has to be placed."""
+
+    def __init__(self, *arrays: np.ndarray):
+        super().__init__(*arrays)
+        # many bins last, as sums run along them
+        self.axes = sorted(range(len(self.bins)), key=lambda f: len(self.used[f]))
+        shape = [len(self.used[f]) for f in self.axes]
+        self.at = np.ravel_multi_index([np.searchsorted(self.used[f], self.bins[f]) for f in self.axes], shape)
+        self.n, self.sum, self.margin = (self._spread(side, shape) for side in (self.n, self.sum, self.margin))
+        self.held = self.at[self.held]
+
+    def _spread(self, side: np.ndarray, shape: list[int]) -> np.ndarray:
+        out = np.zeros(int(np.prod(shape)))
+        out[self.at] = side
+        return out.reshape(shape)
+
+    def margins(self) -> np.ndarray:
+        return self.margin.ravel()[self.at]
+
+    def level(self, loss: str, some: np.ndarray, folds: int, splits: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        if splits:
+            self._cut(splits[-1])
+        else:
+            self.boxes = [tuple(slice(0, len(self.used[f])) for f in self.axes)]
+            self._slope(loss)
+        out = np.zeros((1, len(self.boxes), len(self.bins), BINS, 2))
+        for node, box in enumerate(self.boxes):
+            for k, slope in enumerate(self.slopes):
+                sums = slope[box]
+                if not sums.size:
+                    continue
+                for axis in reversed(range(len(box))):
+                    f = self.axes[axis]
+                    out[0, node, f, self.used[f][box[axis]], k] = sums.sum(axis=tuple(range(axis)))
+                    sums = sums.sum(axis=axis)
+        return out
+
+    def losses(self, loss: str, some: np.ndarray, folds: int) -> np.ndarray:
+        grid, self.margin = self.margin, self.margin.ravel()
+        out = super().losses(loss, some, folds)
+        self.margin = grid
+        return out
+
+    def _cut(self, split: tuple[np.ndarray, np.ndarray]) -> None:
+        """Each box becomes two by the last split, of which one may be empty."""
+        out = []
+        for box, f, border in zip(self.boxes, split[0][0], split[1][0], strict=True):
+            axis = self.axes.index(f)
+            own = box[axis]
+            cut = min(max(int(np.searchsorted(self.used[f], border, "right")), own.start), own.stop)
+            out += [(*box[:axis], slice(own.start, cut), *box[axis + 1 :]), (*box[:axis], slice(cut, own.stop), *box[axis + 1 :])]
+        self.boxes = out
+
+    def moved(self, some: np.ndarray, splits: Sequence[tuple[np.ndarray, np.ndarray]], leaves: np.ndarray) -> Grid:
+        self._cut(splits[-1])
+        for box, leaf in zip(self.boxes, leaves[0], strict=True):
+            self.margin[box] += leaf
+        return self
+
+
+def alone(arrays: list[np.ndarray]) -> Alone:
+    """The cells of one model, on a grid where they fill enough of it."""
+    count, places = arrays[0].shape[1], np.prod([float(len(np.unique(own))) for own in arrays[0]])
+    return (Grid if count >= GRID and places <= SPARE * count else Alone)(*arrays)
+
+
 class Across:
     """Blocks kept by the executors, seen from the driver."""
 
@@ -450,7 +522,8 @@ def _in_tasks(summed: DataFrame, features: int, options: Options, folds: int, st
         def run(batches: Iterator[pa.RecordBatch], so_far=so_far, done=done) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    own = Alone.of(row, features)
+                    numbers = [np.frombuffer(row[c], float) for c in (*NUMBERS, "margin")]
+                    own = alone([np.frombuffer(row["bins"], np.uint8).reshape(features, -1), *numbers])
                     log = _rounds(own, options, 0, done, so_far[row["model"]])
                     yield own.record(row["model"], json.dumps(log))
 

@@ -156,3 +156,48 @@ def test_bottom_k_equals_a_sort(spark, k):
     df = df.withColumn("s", F.when(F.col("id") % 40 != 0, F.col("s")))
     expected = [r.id for r in df.orderBy(F.asc_nulls_last("s"), "id").limit(k).collect()]
     assert sorted(r.id for r in bottom_k(df, F.col("s"), "id", k).collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("loss", [SQUARED, LOGISTIC])
+def test_a_grid_gives_the_trees_of_single_cells(loss):
+    rng = np.random.default_rng(11)
+    bins = np.unique(rng.integers(0, 7, (3, 600)).astype(np.uint8) * 3, axis=1)
+    n, held = rng.integers(0, 9, bins.shape[1]).astype(float), rng.integers(0, 3, bins.shape[1]).astype(float)
+    high = bins[0] + rng.normal(size=bins.shape[1]) * 5 > bins[1]
+    arrays = [bins, n, np.where(high, n, 0.0), held, np.where(high, held, 0.0), np.where(high, held, 0.0), np.zeros(bins.shape[1])]
+    found = []
+    for kind in (boosting.Alone, boosting.Grid):
+        cells = kind(*arrays)
+        log = boosting._rounds(cells, Options(loss, 9, 0.3, 4, None), 0, 0, [{"losses": [], "active": True}])
+        found.append((log["trees"][0], log["losses"][0], cells.margins()))
+    for (f, b, leaves), (g, c, others) in zip(found[0][0], found[1][0], strict=True):
+        assert f == g and b == c and np.allclose(leaves, others)
+    assert np.allclose(found[0][1], found[1][1]) and np.allclose(found[0][2], found[1][2])
+
+
+def test_rounds_on_many_cells_run_no_job_each(spark, monkeypatch):
+    """Above 50,000 cells each level of a tree was a job: 5 a round, 0.2 seconds at least."""
+    columns = {c: F.rand(i) * 1000 for i, c in enumerate(FEATURES)}
+    df = spark.range(60_000).select("id", *[v.alias(c) for c, v in columns.items()]).withColumn("y", F.col("a") + F.rand(9) * 300)
+    borders, options = boosting.bin_borders(df, FEATURES), Options(SQUARED, 30, 0.1, 5, None)
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        model = boosting.fit_ensembles(df, FEATURES, borders, "y", options)[0]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.leaves) == 30 and jobs < 30
+
+
+def test_folds_are_scored_by_cell_as_by_row(spark):
+    columns = {c: F.floor(F.rand(i) * 6) for i, c in enumerate(models.S.RISK_FEATURES)}
+    df = spark.range(800).select(F.col("id").cast("string").alias("firmware_version"), *[v.alias(c) for c, v in columns.items()])
+    df = df.withColumn("y", F.col("code_churn_score") * 3.0 + F.rand(9)).localCheckpoint()
+    found = {r.fold: r for r in models.cross_validate_boosted(df, "firmware_version", "y", SQUARED, 2, 20, 0.3).collect()}
+    fold = F.floor(models._share("firmware_version", models.S.SEED + 2) * 2)
+    borders, held = boosting.bin_borders(df, models.S.RISK_FEATURES), models._share("firmware_version", models.S.SEED + 1) < models.VALIDATION
+    fitted = boosting.fit_ensembles(df, models.S.RISK_FEATURES, borders, "y", Options(SQUARED, 20, 0.3, models.DEPTH, models.PATIENCE), fold, 2, held)
+    for m in (0, 1):
+        own = df.where(fold == m).withColumn("p", boosting.margin_column(models.S.RISK_FEATURES, borders, fitted[m]))
+        n, rmse = own.agg(F.count("*"), F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2))).first()
+        assert found[m].n == n and found[m].metric == pytest.approx(rmse) and found[m].rounds == len(fitted[m].leaves)
