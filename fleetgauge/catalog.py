@@ -318,7 +318,7 @@ def scored_by_model(spark: SparkSession, d: str) -> DataFrame:
 def retrained(spark: SparkSession, d: str) -> DataFrame:
     """The held-out rows after refitting on history and new rows, and whether the AUC holds."""
     old, new = _sides(_labelled_rows(spark, d))
-    both = drift.append_new(old, drift.mark_new(new))
+    both = write_shared(drift.append_new(old, drift.mark_new(new)))
     _, auc = models.retrain(both)
     _, test = models.split_stratified(both, "firmware_version")
     return _sizes(test).withColumn("auc_reached", _reaches(auc, "roc_auc", LEAST_AUC))

@@ -23,7 +23,7 @@ from fleetgauge.plans.scoring import flag_high_risk
 from fleetgauge.plans.stats import quantile
 from fleetgauge.schemas import require_columns
 from fleetgauge.sources import registry
-from fleetgauge.sources.shared import write_shared
+from fleetgauge.sources.shared import remove_shared, write_shared
 
 #: Rounds without gain that end a boosted model, and the depth of its trees.
 PATIENCE, DEPTH = 10, 5
@@ -67,7 +67,7 @@ def split_stratified(
     """
     hashed = df.withColumn("_hash", _share(key, seed))
     borders = quantiles(hashed, "_hash", [test], by=[label]).select(label, "value")
-    placed = hashed.join(borders, label)
+    placed = hashed.join(F.broadcast(borders), label)
     return tuple(
         placed.where(side).select(df.columns)
         for side in (F.col("_hash") >= F.col("value"), F.col("_hash") < F.col("value"))
@@ -144,7 +144,9 @@ def cross_validate_boosted(
     held, options = _share(key, S.SEED + 1) < VALIDATION, boosting.Options(loss, rounds, step, DEPTH, PATIENCE)
     cells = write_shared(boosting.cells(df, features, borders, label, fold, held))
     fitted = boosting.fit_cells(cells, len(features), options, folds)[:folds]
-    scored = cells.withColumn("margin", boosting.cell_margin(len(features), fitted, "fold"))
+    whole = cells.groupBy("fold", *boosting.codes_of(len(features))).agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+    scored = write_shared(whole.withColumn("margin", boosting.cell_margin(len(features), fitted, "fold")).select("fold", "n", "total", "squares", "margin"))
+    remove_shared(cells)
     n, margin = F.col("n"), F.col("margin")
     squares = F.col("squares") - 2 * margin * F.col("total") + n * margin * margin
     sizes = scored.groupBy("fold").agg(
@@ -330,9 +332,10 @@ def retrain(
     df: DataFrame, key: str = "firmware_version", rounds: int = 500, step: float = 0.01
 ) -> tuple[PipelineModel, DataFrame]:
     """Refit on history and new rows, all rounds; the model and its ROC-AUC on held-out rows."""
-    train, test = split_stratified(df, key)
+    train, test = map(write_shared, split_stratified(df, key))
     options = boosting.Options(boosting.LOGISTIC, rounds, step, DEPTH, None)
     model = _boosted(train, key, "label", options, stop=False)
+    remove_shared(train)
     return model, roc_auc(score(test, model))
 
 
