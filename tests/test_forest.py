@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -145,3 +146,23 @@ def test_weights_are_poisson_draws():
         assert own.mean() == pytest.approx(mean, rel=0.01) and own.var() == pytest.approx(mean, rel=0.02)
     share = np.random.default_rng(2).random(400_000)
     assert np.array_equal(forest.poisson(np.random.default_rng(2), n[:400_000]), np.searchsorted(forest.ONCE, share, "right"))
+
+
+def test_scores_kept_from_earlier_batches_are_those_of_each_row(monkeypatch):
+    monkeypatch.setattr(boosting, "CELLS", 30)
+    rng = np.random.default_rng(4)
+    bins, y = rng.integers(0, 5, (3, 300)).astype(np.uint8), rng.normal(size=300)
+    options, heap = forest.Options(1, 4, 3, 1), 2**5 - 1
+    tree = forest.Tree(np.full(heap, -1, np.int8), np.zeros(heap, np.uint8), np.zeros(heap), np.zeros(3))
+    grown = forest.grow(options, 0, 0, bins, y + bins[0], np.ones(300))
+    tree.feature[grown.node], tree.border[grown.node], tree.value[grown.node] = grown.feature, grown.border, grown.value
+    sides = forest.full([tree])
+    borders = [[0.5, 1.5, 2.5, 3.5]] * 3
+    batches = [[pd.Series(c) for c in rng.integers(0, 5, (3, 40)).astype(float)] for _ in range(5)]
+    batches[2][1][7] = np.nan
+    for columns, found in zip(batches, boosting.by_cell(iter(batches), borders, lambda b: boosting.walked(b, *sides)), strict=True):
+        for row, got in enumerate(found):
+            node, own = 0, [0 if np.isnan(c[row]) else 1 + int(c[row]) for c in columns]
+            while tree.feature[node] >= 0:
+                node = 2 * node + 1 + (own[tree.feature[node]] > tree.border[node])
+            assert got == pytest.approx(tree.value[node])
